@@ -1,13 +1,17 @@
 """The queries of this subpackage and their SQL."""
 
-from sparkweave.llm import quality, secrets, topk, toxicity, urlfilter
+from sparkweave.llm import langid, packing, quality, secrets, simhash, substring, topk, toxicity, urlfilter
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op2_secrets": secrets.op2_secrets,
     "op3_topk": topk.op3_topk,
+    "op4_langid": langid.op4_langid,
+    "op5_packing": packing.op5_packing,
+    "op7_substring": substring.op7_substring,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_url_filter": urlfilter.op9_url_filter,
+    "op10_simhash": simhash.op10_simhash,
 }
 
 ORACLES = {
