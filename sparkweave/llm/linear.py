@@ -18,15 +18,35 @@ from sparkweave.llm import textvec
 Extract = Callable[[list[str], "np.ndarray | None"], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
-def collect_rows(df: DataFrame, extract: Extract, others: str) -> tuple[list, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """The other columns of a bounded sample ``df`` with a text, and the features of all its rows."""
+def count_features(df: DataFrame, extract: Extract, size: int, label: str, tasks: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """In how many rows of a bounded sample ``df`` each feature stands, and the sum of ``label`` over them.
+
+    The sample goes to ``tasks`` tasks, each of which sends two arrays as long as there are features.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, marked = np.zeros(size, "<f4"), np.zeros(size, "<f4")
+        for batch in batches:
+            labels = batch.column(label).to_numpy()
+            for start, group in textvec.groups([t or "" for t in batch.column("text").to_pylist()]):
+                number, feature, _ = extract(group, None)
+                total += np.bincount(feature, minlength=size)
+                marked += np.bincount(feature, labels[start + number], size)
+        yield pa.RecordBatch.from_pydict({"total": [total.tobytes()], "marked": [marked.tobytes()]})
+
+    rows = df.select("text", label).repartition(tasks).mapInArrow(run, "total binary, marked binary").collect()
+    return tuple(np.sum([np.zeros(size), *(np.frombuffer(r[c], "<f4") for r in rows)], 0) for c in ("total", "marked"))
+
+
+def collect_rows(df: DataFrame, extract: Extract, others: str, wanted: np.ndarray | None = None) -> tuple[list, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The other columns of a bounded sample ``df`` with a text, and the (wanted) features of all its rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, values = [], []
             texts = [t or "" for t in batch.column("text").to_pylist()]
             for _, group in textvec.groups(texts):
-                number, feature, value = extract(group, None)
+                number, feature, value = extract(group, wanted)
                 cuts = np.searchsorted(number, np.arange(len(group) + 1))
                 ids += [feature[a:b].astype("<u4").tobytes() for a, b in zip(cuts, cuts[1:])]
                 values += [value[a:b].astype("<f2").tobytes() for a, b in zip(cuts, cuts[1:])]

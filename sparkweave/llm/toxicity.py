@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkweave.llm import linear, textvec
-from sparkweave.llm.common import labelled_sample, pick, table
+from sparkweave.llm.common import labelled_sample, materialize, pick, shared_dir, table
 
 BITS = 18
 SIZES = (3, 4, 5)
@@ -45,20 +45,23 @@ def ngram_features(texts: list[str], wanted: np.ndarray | None):
 
 
 def fit(sample: DataFrame, steps: int = 150, rate: float = 0.05, ridge: float = 2.0, least: float = 4.0, min_count: int = 3) -> tuple[np.ndarray, float]:
-    """Weights of the features (log-count ratio times coefficient) and intercept, from text, toxic."""
-    rows, (number, feature, _) = linear.collect_rows(sample, ngram_features, "toxic int")
-    y = np.array([float(r["toxic"]) for r in rows])
-    size, share = 1 << BITS, y.mean() if len(y) else 0.0
+    """Weights of the features (log-count ratio times coefficient) and intercept, from text, toxic.
+
+    The sample is read three times; only counts and the chosen features of its rows are collected.
+    """
+    size = 1 << BITS
+    total, toxic = linear.count_features(sample, ngram_features, size, "toxic")
+    n, positive = sample.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    share = positive / max(1, n)
     if not 0 < share < 1:
         return np.zeros(size), -50.0 if share == 0 else 50.0
-    total, toxic = np.bincount(feature, minlength=size), np.bincount(feature, y[number], size)
-    ratio = np.log((toxic + 1) / (y.sum() + 2)) - np.log((total - toxic + 1) / (len(y) - y.sum() + 2))
+    ratio = np.log((toxic + 1) / (positive + 2)) - np.log((total - toxic + 1) / (n - positive + 2))
     ratio[~linear.surprising(toxic, total, share, least, min_count)] = 0
     chosen = np.flatnonzero(ratio)
     place = np.full(size, -1)
     place[chosen] = np.arange(len(chosen))
-    used = place[feature] >= 0
-    number, column = number[used], place[feature[used]]
+    rows, (number, feature, _) = linear.collect_rows(sample, ngram_features, "toxic int", ratio != 0)
+    y, column = np.array([float(r["toxic"]) for r in rows]), place[feature]
     x = ratio[chosen][column]
 
     def gradient(w):
@@ -89,7 +92,8 @@ def classify_toxicity(docs: DataFrame, labels: DataFrame, held_out: F.Column | N
     docs = pick(docs, doc_id=id_col, text=text_col)
     aside = F.lit(False) if held_out is None else F.coalesce(held_out, F.lit(False))
     taught = pick(labels, doc_id=id_col, toxic=label_col).where(F.col("toxic").isin(0, 1) & ~aside).withColumn("toxic", F.col("toxic").cast("int"))
-    model = fit(labelled_sample(docs, taught, max_train_rows).select("text", "toxic"))
+    sample = labelled_sample(docs, taught, max_train_rows).select("text", "toxic")
+    model = fit(materialize(sample, f"{shared_dir(docs.sparkSession)}/sample"))
     return score(docs, model).select("doc_id", aside.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
