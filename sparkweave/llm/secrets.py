@@ -151,18 +151,42 @@ def scan_secrets(docs: DataFrame, ledger_path: str | None = None, rules: tuple[R
     return ledger.findings(paths)
 
 
-def redact(text: F.Column, spans: F.Column, mask: str = "[SECRET]") -> F.Column:
-    """``text`` with each stretch covered by spans replaced by ``mask``."""
-    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at"))
-
-    def step(acc, s):
-        piece = F.substring(text, (acc.at + 1).cast("int"), F.greatest(s.start - acc.at, F.lit(0)).cast("int"))
-        return F.when(s.end <= acc.at, acc).otherwise(
-            F.struct(F.concat(acc.out, piece, F.when(s.start >= acc.at, F.lit(mask)).otherwise(F.lit(""))).alias("out"), s.end.alias("at"))
-        )
-
-    done = F.aggregate(spans, start, step, lambda acc: F.concat(acc.out, F.substring(text, (acc.at + 1).cast("int"), F.length(text))))
-    return F.when(F.size(spans) == 0, text).otherwise(done)
+def mask_secrets(docs: DataFrame, mask: str = "[SECRET]", rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES) -> DataFrame:
+    """``docs`` (doc_id, text, maybe n_chars and more) with each stretch covered by spans replaced by ``mask``.
+
+    Findings travel to the rows by content address, and only those of blobs that have any.
+    """
+    spark = docs.sparkSession
+    slim = pick(docs, doc_id="doc_id", text="text")
+    ledger = BlobLedger(spark, f"{shared_dir(spark)}/secrets", rules)
+    ledger.update(slim, ledger.paths(slim))
+    spans = ledger.seen().where(F.size("spans") > 0).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
+    joined = docs.withColumn("_of", _address()).join(spans, F.col("_of") == F.col("_blob"), "left").drop("_of", "_blob")
+    names = joined.schema.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [cover(t, s, mask) if s else t for t, s in zip(batch.column("text").to_pylist(), batch.column("_spans").to_pylist(), strict=True)]
+            columns = {n: batch.column(n) for n in names if n != "_spans"}
+            columns["text"] = pa.array(texts, pa.string())
+            if "n_chars" in columns:
+                new = pa.array([None if t is None else len(t) for t in texts], pa.int64())
+                columns["n_chars"] = pa.compute.if_else(pa.compute.is_valid(batch.column("_spans")), new, columns["n_chars"])
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    return joined.mapInArrow(run, schema)
+
+
+def cover(text: str | None, spans: list[dict], mask: str) -> str:
+    out, at = [], 0
+    for s in sorted(spans, key=lambda s: (s["start"], s["end"])):
+        if s["end"] <= at:
+            continue
+        if s["start"] >= at:
+            out += [(text or "")[at : s["start"]], mask]
+        at = s["end"]
+    return "".join([*out, (text or "")[at:]])
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
