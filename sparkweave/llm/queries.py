@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
-from sparkweave.llm import langid, packing, quality, secrets, simhash, substring, topk, toxicity, urlfilter
+from sparkweave.llm import decontaminate, langid, packing, quality, secrets, simhash, substring, topk, toxicity, urlfilter
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_topk": topk.op3_topk,
     "op4_langid": langid.op4_langid,
     "op5_packing": packing.op5_packing,
+    "op6_decontamination": decontaminate.op6_decontamination,
     "op7_substring": substring.op7_substring,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_url_filter": urlfilter.op9_url_filter,
@@ -16,5 +17,6 @@ QUERIES = {
 
 ORACLES = {
     "op3_topk": topk.OP3_SQL,
+    "op6_decontamination": decontaminate.OP6_SQL,
     "op9_url_filter": urlfilter.OP9_SQL,
 }
