@@ -145,8 +145,8 @@ def _expand(at: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.repeat(at - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
 
 
-def parse_block(rows: list[dict]) -> dict[str, list]:
-    """id, digest and covered runs (start, n) of windows that a smaller id has too."""
+def parse_block(rows: list[dict]) -> np.ndarray:
+    """Runs of windows that a smaller id has too (dtype _SETTLED)."""
     ids, digests, starts, sizes, keys = [], [], [], [], []
     for r in rows:
         entries = len(r["anchors"]) // 8
@@ -169,8 +169,22 @@ def parse_block(rows: list[dict]) -> dict[str, list]:
     at, n = runs(np.concatenate([[True], ~same])) if len(hit) else (np.zeros(0, np.int64),) * 2
     out = np.empty(len(at), _SETTLED)
     out["id"], out["digest"], out["start"], out["n"] = ids[entry[hit[at]]], digests[entry[hit[at]]], start[at], n
-    out = np.concatenate([out, *(np.frombuffer(r["settled"], _SETTLED) for r in rows)])
-    out = out[np.lexsort((out["digest"], out["id"]))]
+    return np.concatenate([out, *(np.frombuffer(r["settled"], _SETTLED) for r in rows)])
+
+
+def dealt(covered: np.ndarray, parts: int) -> Iterator[tuple[int, bytes]]:
+    """Covered runs by the part of their document."""
+    part = (textvec.mix(covered["id"].view(U64)) % U64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    at, n = runs(np.concatenate([[True], part[order][1:] != part[order][:-1]])) if len(part) else (np.zeros(0, np.int64),) * 2
+    for a, m in zip(at.tolist(), n.tolist()):
+        yield int(part[order[a]]), covered[order[a : a + m]].tobytes()
+
+
+def by_document(payloads: list[bytes]) -> dict[str, object]:
+    """id, digest and runs (start, n) of each document."""
+    out = np.concatenate([np.zeros(0, _SETTLED), *(np.frombuffer(p, _SETTLED) for p in payloads)])
+    out = out[np.lexsort((out["start"], out["digest"], out["id"]))]
     at, n = runs(np.concatenate([[True], (out["id"][1:] != out["id"][:-1]) | (out["digest"][1:] != out["digest"][:-1])])) if len(out) else (np.zeros(0, np.int64),) * 2
     pairs = np.stack([out["start"], out["n"]], 1).astype("<u4")
     return {"id": out["id"][at], "digest": out["digest"][at].astype(np.int64), "runs": [pairs[a : a + m].tobytes() for a, m in zip(at.tolist(), n.tolist())]}
@@ -188,12 +202,13 @@ def factors(covered: np.ndarray, window: int) -> list[tuple[int, int]]:
     return spans
 
 
-def dedupe_substrings(docs: DataFrame, window: int = 13, gram: int = 4, block_bytes: int = 8 << 20, task_windows: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedupe_substrings(docs: DataFrame, window: int = 13, gram: int = 4, block_bytes: int = 4 << 20, task_windows: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, spans (removed words, end exclusive) and kept (the other words, joined by a space) of every row."""
     spark = docs.sparkSession
     docs = pick(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("bigint"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // block_bytes))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), blocks // 8)
     digest = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,7 +224,11 @@ def dedupe_substrings(docs: DataFrame, window: int = 13, gram: int = 4, block_by
         yield pa.RecordBatch.from_pylist(list(held.flush()), schema)
 
     def parse(group: pa.Table) -> pa.Table:
-        out = parse_block(group.to_pylist())
+        rows = list(dealt(parse_block(group.to_pylist()), parts))
+        return pa.table({"part": pa.array([r[0] for r in rows], pa.int32()), "covered": pa.array([r[1] for r in rows], pa.binary())})
+
+    def collect(group: pa.Table) -> pa.Table:
+        out = by_document(group.column("covered").to_pylist())
         return pa.table({"id": pa.array(out["id"], pa.int64()), "digest": pa.array(out["digest"], pa.int64()), "runs": pa.array(out["runs"], pa.binary())})
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,8 +240,7 @@ def dedupe_substrings(docs: DataFrame, window: int = 13, gram: int = 4, block_by
                 counts.append(len(words))
                 own = []
                 if parts.is_valid:
-                    pairs = np.frombuffer(b"".join(parts.as_py()), "<u4").reshape(-1, 2).astype(np.int64)
-                    own = factors(pairs[np.argsort(pairs[:, 0], kind="stable")], window)
+                    own = factors(np.frombuffer(parts.as_py(), "<u4").reshape(-1, 2).astype(np.int64), window)
                 spans.append([{"start": a, "end": b} for a, b in own])
                 last, rest = 0, []
                 for a, b in own:
@@ -232,8 +250,9 @@ def dedupe_substrings(docs: DataFrame, window: int = 13, gram: int = 4, block_by
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "spans", "kept"])
 
     rows = docs.where("doc_id is not null and text is not null").select("doc_id", "text", digest.alias("digest")).mapInArrow(index, ENTRY)
-    found = rows.groupBy("block").applyInArrow(parse, "id bigint, digest bigint, runs binary")
-    found = found.groupBy("id", "digest").agg(F.collect_list("runs").alias("runs"))
+    # runs of a document come from many blocks: they travel in bulk by parts of the ids, not one by one
+    found = rows.groupBy("block").applyInArrow(parse, "part int, covered binary")
+    found = found.groupBy("part").applyInArrow(collect, "id bigint, digest bigint, runs binary")
     texts = docs.withColumn("of", digest)
     joined = texts.join(found, (F.col("doc_id") == F.col("id")) & (F.col("of") == F.col("digest")), "left")
     return joined.select("doc_id", "text", "runs").mapInArrow(cut, f"doc_id bigint, n_words bigint, spans {SPANS}, kept string")
