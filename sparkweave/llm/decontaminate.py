@@ -141,8 +141,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, size: int = 5) -> DataFrame:
     """The rows of ``docs``, all columns, that hold no item."""
     found = contaminated(docs, benchmark, threshold, size)
-    found = materialize(found.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).distinct(), f"{shared_dir(docs.sparkSession)}/found")
-    return docs.join(found, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_digest")), "left_anti")
+    found = materialize(found.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")).distinct(), f"{shared_dir(docs.sparkSession)}/found")
+    return docs.join(found, docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__digest")), "left_anti")
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -125,20 +125,18 @@ def fit(sample: DataFrame, grades: int, steps: int = 300, rate: float = 0.05, ri
     return weights, thresholds(x)
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], keep_columns: bool = False) -> DataFrame:
-    """doc_id (or all columns), expected_grade and tails (P(grade >= 1), ...) of every row."""
+def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """doc_id, expected_grade and tails (P(grade >= 1), ...) of every row."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, cuts = shipped.value
         for batch, total in linear.scored(batches, ShapeFeatures(), weights):
             tails = linear.sigmoid(total[:, None] - cuts)
-            rest = batch if keep_columns else batch.select(["doc_id"])
-            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(tails.sum(1)), pa.array(list(tails), pa.list_(pa.float64()))], [*rest.schema.names, "expected_grade", "tails"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(tails.sum(1)), pa.array(list(tails), pa.list_(pa.float64()))], ["doc_id", "expected_grade", "tails"])
 
-    kept = docs.schema.fields if keep_columns else [docs.schema["doc_id"]]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    return docs.mapInArrow(run, f"{schema}, expected_grade double, tails array<double>")
+    docs = docs.select("doc_id", "text")
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, expected_grade double, tails array<double>")
 
 
 def ratings(labels: DataFrame) -> DataFrame:
@@ -162,8 +160,14 @@ def rate_quality(docs: DataFrame, graded: DataFrame, grades: int = 3, max_train_
 
 def select_quality(docs: DataFrame, graded: DataFrame, grades: int = 3, max_train_rows: int = 8000, at_least: int = 1, least_tail: float = 0.5) -> DataFrame:
     """The rows of ``docs`` (all columns) whose tail probability suffices."""
-    scores = score(docs, fit_ratings(docs, graded, grades, max_train_rows), keep_columns=True)
-    return scores.where(F.element_at("tails", at_least) >= least_tail).select(*docs.columns)
+    shipped = docs.sparkSession.sparkContext.broadcast(fit_ratings(docs, graded, grades, max_train_rows))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, cuts = shipped.value
+        for batch, total in linear.scored(batches, ShapeFeatures(), weights):
+            yield batch.filter(pa.array(linear.sigmoid(total - cuts[at_least - 1]) >= least_tail))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

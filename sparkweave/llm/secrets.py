@@ -160,22 +160,21 @@ def mask_secrets(docs: DataFrame, mask: str = "[SECRET]", rules: tuple[Rule, ...
     slim = pick(docs, doc_id="doc_id", text="text")
     ledger = BlobLedger(spark, f"{shared_dir(spark)}/secrets", rules)
     ledger.update(slim, ledger.paths(slim))
-    spans = ledger.seen().where(F.size("spans") > 0).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
-    joined = docs.withColumn("_of", _address()).join(spans, F.col("_of") == F.col("_blob"), "left").drop("_of", "_blob")
+    spans = ledger.seen().where(F.size("spans") > 0).select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans"))
+    joined = docs.withColumn("__of", _address()).join(spans, F.col("__of") == F.col("__blob"), "left").drop("__of", "__blob")
     names = joined.schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [cover(t, s, mask) if s else t for t, s in zip(batch.column("text").to_pylist(), batch.column("_spans").to_pylist(), strict=True)]
-            columns = {n: batch.column(n) for n in names if n != "_spans"}
+            texts = [cover(t, s, mask) if s else t for t, s in zip(batch.column("text").to_pylist(), batch.column("__spans").to_pylist(), strict=True)]
+            columns = {n: batch.column(n) for n in names if n != "__spans"}
             columns["text"] = pa.array(texts, pa.string())
             if "n_chars" in columns:
                 new = pa.array([None if t is None else len(t) for t in texts], pa.int64())
-                columns["n_chars"] = pa.compute.if_else(pa.compute.is_valid(batch.column("_spans")), new, columns["n_chars"])
+                columns["n_chars"] = pa.compute.if_else(pa.compute.is_valid(batch.column("__spans")), new, columns["n_chars"])
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(run, docs.schema)
 
 
 def cover(text: str | None, spans: list[dict], mask: str) -> str:

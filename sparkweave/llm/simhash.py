@@ -203,17 +203,17 @@ def keep_one(docs: DataFrame, size: int = 3, radius: int = 2) -> DataFrame:
     """
     spark = docs.sparkSession
     classes = near_duplicates(docs, size, radius)
-    kept = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    left = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_kept")), "left_semi")
+    kept = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
+    left = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("__kept")), "left_semi")
     # rows that share the kept id: the first by content
-    repeated = classes.groupBy("doc_id").count().where("count > 1 or doc_id is null").select(F.col("doc_id").alias("_kept"))
+    repeated = classes.groupBy("doc_id").count().where("count > 1 or doc_id is null").select(F.col("doc_id").alias("__kept"))
     if repeated.isEmpty():
         return left
-    again = left.join(repeated, left["doc_id"].eqNullSafe(F.col("_kept")), "left_semi")
-    once = left.join(repeated, left["doc_id"].eqNullSafe(F.col("_kept")), "left_anti")
+    again = left.join(repeated, left["doc_id"].eqNullSafe(F.col("__kept")), "left_semi")
+    once = left.join(repeated, left["doc_id"].eqNullSafe(F.col("__kept")), "left_anti")
     others = [c for c in docs.columns if c != "doc_id"]
     first = F.min(F.struct(*(F.col(f"`{c}`") for c in others)))
-    chosen = again.where("doc_id is not null").groupBy("doc_id").agg(first.alias("_row")).select("doc_id", "_row.*")
+    chosen = again.where("doc_id is not null").groupBy("doc_id").agg(first.alias("__row")).select("doc_id", "__row.*")
     nameless = again.where("doc_id is null")
     nameless = fingerprint(nameless.select(F.to_json(F.struct(*map(F.col, docs.columns))).alias("doc_id"), "text"), size).groupBy("fp").agg(F.min("doc_id").alias("row"))
     nameless = nameless.select(F.from_json("row", docs.schema).alias("r")).select("r.*")
