@@ -10,6 +10,7 @@ from sparkweave.functions import urls as U
 from sparkweave.operators import evolution, graph, history, rules, score, stitch, traverse
 from sparkweave.plans.lens import LENS_SQL, lens, read
 from sparkweave.schema import BACKWARD_EDGES, CONTRACT_TYPES, FORWARD_EDGES, HUB_TYPES, SINK_TYPES, edge_id, family_for, node_id, weight_for
+from sparkweave.sources import extraction
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -566,3 +567,84 @@ def file_languages(spark, sf):
 def edge_weights(spark, sf):
     kind = F.when(F.col("event_type") == "click", "publishes_route").when(F.col("event_type") == "view", "crosses_context").when(F.col("event_type") == "purchase", "calls").otherwise("tested_by")
     return read(spark, sf, "events").select(kind.alias("type")).distinct().select("type", weight_for(F.col("type")).alias("weight"))
+
+
+# --- extraction: source text made of the tables' rows, read back by the parsers -----------------------
+
+
+def _python_files(spark, sf) -> DataFrame:
+    """A models module for each part, with a foreign key to its brand's base class and a loop in a view."""
+    body = F.concat(
+        F.lit("from django.db import models\nfrom shared.models import Base\n\nclass P"), "p_partkey", F.lit("(models.Model):\n    base = models.ForeignKey(Base, on_delete=models."),
+        F.when(F.col("p_size") % 2 == 0, "CASCADE").otherwise("PROTECT"), F.lit(")\n    f"), "p_size", F.lit(" = models.IntegerField("), F.when(F.col("p_size") % 3 == 0, "db_index=True").otherwise(""),
+        F.lit(")\n\nclass P"), "p_partkey", F.lit("View(APIView):\n    permission_classes = [IsOwnerPermission]\n\n    def get(self, request):\n        for row in P"), "p_partkey",
+        F.lit(".objects.filter(f"), "p_size", F.lit("=1):\n            print(row.base.name)\n"),
+    )
+    p = read(spark, sf, "part")
+    return p.select(F.concat(F.lit("src/"), F.regexp_replace("p_brand", "#", ""), F.lit("/p"), "p_partkey", F.lit(".py")).alias("path"), body.alias("content"))
+
+
+_PY = "p AS (SELECT p_partkey, p_size, replace(p_brand, '#', '') AS app, replace(p_brand, '#', '') || '.P' || p_partkey AS m FROM part)"
+
+
+@query(f"""WITH {_PY} SELECT 'django.model:' || m AS id, 'P' || p_partkey AS name FROM p UNION ALL SELECT 'django.field:' || m || '.base', 'base' FROM p
+UNION ALL SELECT 'django.field:' || m || '.f' || p_size, 'f' || p_size FROM p UNION ALL SELECT 'django.view:' || m || 'View', 'P' || p_partkey || 'View' FROM p
+UNION ALL SELECT DISTINCT 'django.app:' || app, app FROM p UNION ALL SELECT DISTINCT 'django.permission:' || app || '.IsOwnerPermission', 'IsOwnerPermission' FROM p""")
+def extract_nodes(spark, sf):
+    raw = extraction.extract(_python_files(spark, sf))
+    return extraction.to_graph(raw)[0].nodes.select("id", "name")
+
+
+@query(f"""WITH {_PY} SELECT src, type, dst FROM (SELECT 'django.model:' || m AS src, 'belongs_to' AS type, 'django.app:' || app AS dst FROM p UNION ALL SELECT 'django.model:' || m, 'has_field', 'django.field:' || m || '.base' FROM p
+UNION ALL SELECT 'django.model:' || m, 'has_field', 'django.field:' || m || '.f' || p_size FROM p UNION ALL SELECT 'django.view:' || m || 'View', 'has_permission', 'django.permission:' || app || '.IsOwnerPermission' FROM p
+UNION ALL SELECT 'django.view:' || m || 'View', 'queries_model', 'django.model:' || m FROM p)""")
+def extract_edges(spark, sf):
+    """Edges to the base class, which no file defines, are pruned."""
+    raw = extraction.extract(_python_files(spark, sf))
+    return extraction.to_graph(raw)[0].edges.select("src", "type", "dst")
+
+
+@query(f"WITH {_PY} SELECT 'django.view:' || m || 'View' AS node_id, 'base' AS subject FROM p")
+def extract_nplusone(spark, sf):
+    g, _ = extraction.to_graph(extraction.extract(_python_files(spark, sf)))
+    return rules.nplusone(g).select("node_id", "subject")
+
+
+@query(f"WITH {_PY} SELECT 'src/' || app || '/p' || p_partkey || '.py' AS path, 'get' AS name, 11 AS start, 13 AS \"end\", 2 AS complexity FROM p")
+def function_complexity(spark, sf):
+    return extraction.functions_table(_python_files(spark, sf))
+
+
+def _pages_files(spark, sf) -> DataFrame:
+    links = F.transform(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1), lambda x: F.concat(F.lit("{% url '"), x, F.lit("' %}")))
+    return read(spark, sf, "pages").select(F.concat(F.lit("app/templates/p"), "page_id", F.lit(".html")).alias("path"), F.array_join(links, "\n").alias("content"))
+
+
+@query("SELECT 'django.template:p' || page_id || '.html' AS src, 'django.url_name:' || href AS dst FROM (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS href FROM pages) WHERE href <> ''")
+def template_links(spark, sf):
+    return extraction.extract_templates(_pages_files(spark, sf)).where("type = 'calls'").select("src", "dst")
+
+
+@query(r"SELECT DISTINCT 'react.api_client:client:web/features/pages/p' || page_id || '.ts:' || regexp_extract(url, '://[^/?#]*(/[^?#]*)', 1) AS id FROM pages WHERE regexp_extract(url, '://[^/?#]*(/[^?#]*)', 1) <> ''")
+def extract_clients(spark, sf):
+    path = F.regexp_extract("url", r"://[^/?#]*(/[^?#]*)", 1)
+    files = read(spark, sf, "pages").where(path != "").select(F.concat(F.lit("web/features/pages/p"), "page_id", F.lit(".ts")).alias("path"), F.concat(F.lit("export const usePage = () => fetch('"), path, F.lit("')\n")).alias("content"))
+    return extraction.extract_sources(files).where("type = 'react.api_client'").select("id").distinct()
+
+
+_PATCH = "m AS (SELECT conv_id, turn, len(string_split(text, chr(10))) AS n FROM conversations WHERE text IS NOT NULL)"
+
+
+@query(f"WITH {_PATCH} SELECT 'c' || conv_id || '/' || turn AS path, CAST(turn + 1 + i AS INTEGER) AS line FROM m, unnest(range(0, n)) t(i)")
+def changed_lines(spark, sf):
+    """Every message as a patch that adds its lines after as many others as it has turns before it."""
+    c = read(spark, sf, "conversations").where("text is not null")
+    added = F.array_join(F.transform(F.split("text", "\n"), lambda x: F.concat(F.lit("+"), x)), "\n")
+    patch = F.concat(F.lit("diff --git a/x b/x\n--- a/x\n+++ b/x\n@@ -1,9 +"), F.col("turn") + 1, F.lit(",9 @@ here\n"), added)
+    return evolution.changed_lines(c.select(F.concat(F.lit("c"), "conv_id", F.lit("/"), "turn").alias("path"), patch.alias("patch")))
+
+
+@query("SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*')) AS name FROM (SELECT unnest(string_split(text, chr(10))) AS text FROM conversations WHERE role = 'user')")
+def patch_identifiers(spark, sf):
+    c = read(spark, sf, "conversations").where("role = 'user'")
+    return evolution.patch_identifiers(c.select(F.array_join(F.transform(F.split("text", "\n"), lambda x: F.concat(F.lit("+ "), x)), "\n").alias("patch")))
