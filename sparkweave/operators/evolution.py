@@ -20,7 +20,7 @@ def co_change(commits: DataFrame, least: int = 3) -> DataFrame:
     pairs = rows.select("sha", F.col("file").alias("a")).join(rows.select("sha", F.col("file").alias("b")), "sha").where("a < b")
     together = pairs.groupBy("a", "b").agg(F.count("*").alias("together")).where(F.col("together") >= least)
     n = rows.groupBy("file").agg(F.count("*").alias("n"))
-    return together.join(n.select(F.col("file").alias("a"), F.col("n").alias("of_a")), "a").join(n.select(F.col("file").alias("b"), F.col("n").alias("of_b")), "b")
+    return together.join(n.select(F.col("file").alias("a"), F.col("n").alias("of_a")), "a").join(n.select(F.col("file").alias("b"), F.col("n").alias("of_b")), "b").select("a", "b", "together", "of_a", "of_b")
 
 
 def couplings(pairs: DataFrame, impact_files: DataFrame, contexts: DataFrame, most: int = 40, shown: int = 12) -> DataFrame:
