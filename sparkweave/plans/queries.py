@@ -200,7 +200,7 @@ def delete_file_nodes(spark, sf):
 # --- walks --------------------------------------------------------------------------------------------
 
 #: The seeds of the walks: the views of one file.
-SEED_FILE = "building/NATION_3.py"
+SEED_FILE = "automobile/NATION_3.py"
 HOPS = 4
 _BARRED = "(o.context IS NOT NULL AND EXISTS (SELECT 1 FROM own) AND o.context NOT IN (SELECT context FROM own))"
 _WALK = f"""seeds AS (SELECT id, context FROM nodes WHERE file_path = '{SEED_FILE}'), own AS (SELECT DISTINCT context FROM seeds WHERE context IS NOT NULL),
@@ -425,7 +425,7 @@ def read_order(spark, sf):
 
 
 @query(on_lens("""SELECT unnest(list_filter([CASE WHEN bool_or(type IN ('django.route', 'django.serializer', 'django.serializer_field', 'react.form_schema')) THEN 'public_contract' END, CASE WHEN bool_or(type = 'django.migration_op') THEN 'schema_migration' END,
-CASE WHEN bool_or(type IN ('django.service', 'django.task')) THEN 'internal_service' END, 'mixed'], lambda x: x IS NOT NULL)) AS kind FROM inodes""", _WALK))
+CASE WHEN bool_or(type IN ('django.service', 'django.task')) THEN 'internal_service' END, CASE WHEN CAST(bool_or(type IN ('django.route', 'django.serializer', 'django.serializer_field', 'react.form_schema')) AS INTEGER) + CAST(bool_or(type = 'django.migration_op') AS INTEGER) + CAST(bool_or(type IN ('django.service', 'django.task')) AS INTEGER) > 1 THEN 'mixed' END], lambda x: x IS NOT NULL)) AS kind FROM inodes""", _WALK))
 def change_kinds(spark, sf):
     return score.classify_change(impact(spark, sf)[0], spark.createDataFrame([], "other_context string, waived boolean"))
 
@@ -539,9 +539,9 @@ def owners_last_match(spark, sf):
     return stitch.owners_of(paths, OWNER_RULES).select("path", F.array_join("owners", ",").alias("owners"))
 
 
-@query(on_lens("SELECT DISTINCT file_path AS path, CASE WHEN file_path LIKE 'orders/%' THEN 'sales' WHEN file_path LIKE 'services/%' THEN 'ops' WHEN file_path = 'building/NATION_3.py' THEN 'site' END AS context FROM nodes WHERE file_path IS NOT NULL"))
+@query(on_lens("SELECT DISTINCT file_path AS path, CASE WHEN file_path LIKE 'orders/%' THEN 'sales' WHEN file_path LIKE 'services/%' THEN 'ops' WHEN file_path = 'automobile/NATION_3.py' THEN 'site' END AS context FROM nodes WHERE file_path IS NOT NULL"))
 def context_prefix(spark, sf):
-    prefixes = spark.createDataFrame([("orders/", "sales", 0), ("services", "ops", 1), ("building/NATION_3.py", "site", 2), ("services/NATION_3.py", "late", 3)], "prefix string, context string, pos int")
+    prefixes = spark.createDataFrame([("orders/", "sales", 0), ("services", "ops", 1), ("automobile/NATION_3.py", "site", 2), ("services/NATION_3.py", "late", 3)], "prefix string, context string, pos int")
     paths = lens(spark, sf).nodes.where("file_path is not null").select(F.col("file_path").alias("path")).distinct()
     return stitch.contexts_by_prefix(paths, prefixes)
 
