@@ -2,7 +2,8 @@
 
 Documents are turned into token ids and cut into pieces no longer than a sequence. Pieces are placed one
 by one where the sum, over all gaps, of the squared number of open sequences with that gap becomes
-smallest; a full sequence is closed. Full-length pieces make a sequence of their own.
+smallest; a full sequence is closed. As all pieces of a shard are known, a sequence is only opened where
+no open one has room. Full-length pieces make a sequence of their own.
 
 The pieces are dealt evenly into shards of about ``shard_rows`` rows, each packed by one task: its memory
 depends on the shard only, and a shard leaves only a few sequences open. Within a shard the longest
@@ -106,7 +107,7 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
         if count[s]:
             change[0] -= 1
         g = int(change.argmin())
-        if change[g] <= 2 * count[capacity - s] + 1:
+        if count[g + s]:
             gap = g + s
             b = bins[gap].pop()
             count[gap] -= 1
