@@ -134,7 +134,9 @@ class BlobLedger:
         spans = self.seen().where(F.arrays_overlap("versions", current))
         spans = spans.groupBy("blob").agg(F.flatten(F.collect_list("spans")).alias("spans"))
         spans = spans.withColumn("spans", F.array_sort(F.transform("spans", lambda s: F.struct(s.start.alias("start"), rank[s.kind].alias("rank"), s.kind.alias("kind"), s.end.alias("end")))))
-        return paths.join(spans.where(F.size("spans") > 0), "blob", "left").select("doc_id", "blob", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
+        # written out, so that the join's both sides are plain shuffles and a blob with very many paths can be split
+        spans = materialize(spans.where(F.size("spans") > 0), f"{shared_dir(self.spark)}/found")
+        return paths.join(spans, "blob", "left").select("doc_id", "blob", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
 
 
 def _address():
