@@ -112,7 +112,7 @@ def fit(docs: DataFrame, max_train_rows: int = 6000, least_ratio: float = 0.5, l
         is_letter = letters()
         seen: dict[str, list[np.ndarray]] = {}
         docs_of: dict[str, int] = {}
-        for batch in batches:
+        for batch in textvec.portions(batches):
             for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
                 codes, _, _ = letter_text([text or ""], is_letter)
                 own = textvec.distinct(np.concatenate([textvec.char_ngrams(codes[:-1], n, 32) for n in SIZES]))
@@ -148,7 +148,7 @@ def identify_language(docs: DataFrame, held_out: F.Column | None = None, max_tra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filters, is_letter = model.value, letters()
-        for batch in batches:
+        for batch in textvec.portions(batches):
             names, scores = [], []
             for _, group in textvec.groups([t or "" for t in batch.column("text").to_pylist()]):
                 name, score = filters.predict(*letter_text(group, is_letter))

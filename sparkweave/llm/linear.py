@@ -26,7 +26,7 @@ def count_features(df: DataFrame, extract: Extract, size: int, label: str, tasks
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, marked = np.zeros(size, "<f4"), np.zeros(size, "<f4")
-        for batch in batches:
+        for batch in textvec.portions(batches):
             labels = batch.column(label).to_numpy()
             for start, group in textvec.groups([t or "" for t in batch.column("text").to_pylist()]):
                 number, feature, _ = extract(group, None)
@@ -42,7 +42,7 @@ def collect_rows(df: DataFrame, extract: Extract, others: str, wanted: np.ndarra
     """The other columns of a bounded sample ``df`` with a text, and the (wanted) features of all its rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in textvec.portions(batches):
             ids, values = [], []
             texts = [t or "" for t in batch.column("text").to_pylist()]
             for _, group in textvec.groups(texts):
@@ -66,7 +66,7 @@ def collect_rows(df: DataFrame, extract: Extract, others: str, wanted: np.ndarra
 def scored(batches: Iterator[pa.RecordBatch], extract: Extract, weights: np.ndarray) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
     """Each batch with the weighted sum of the features of its texts."""
     wanted = weights != 0
-    for batch in batches:
+    for batch in textvec.portions(batches):
         texts = [t or "" for t in batch.column("text").to_pylist()]
         out = np.zeros(len(texts))
         for start, group in textvec.groups(texts):

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkweave.llm import textvec
 from sparkweave.llm.common import pick, table
 
 #: Characters on which the two tokenizer libraries split alike by their fixed Unicode properties.
@@ -74,7 +75,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(spec.value)
         end = np.array([end_id], "<u4")
-        for batch in batches:
+        for batch in textvec.portions(batches):
             rows, piece, start, length, ids = [], [], [], [], []
             for i, text in enumerate(batch.column("text")):
                 tokens = np.concatenate([encoder.ids(text.as_py() or ""), end])

@@ -21,6 +21,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkweave.llm import textvec
 from sparkweave.llm.common import materialize, pick, shared_dir, table
 
 
@@ -82,7 +83,7 @@ def _scanner(rules: tuple[Rule, ...]):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready = {rule.version: (rank, rule, _compiled(rule)) for rank, rule in enumerate(rules)}
         kind = pa.list_(pa.struct([("start", pa.int64()), ("rank", pa.int32()), ("kind", pa.string()), ("end", pa.int64())]))
-        for batch in batches:
+        for batch in textvec.portions(batches):
             todo = batch.column("versions").to_pylist()
             spans = [scan_text(text.as_py(), [ready[v] for v in versions]) for text, versions in zip(batch.column("text"), todo, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("blob"), batch.column("versions"), pa.array(spans, kind)], ["blob", "versions", "spans"])
@@ -167,7 +168,7 @@ def mask_secrets(docs: DataFrame, mask: str = "[SECRET]", rules: tuple[Rule, ...
     names = joined.schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in textvec.portions(batches):
             texts = [cover(t, s, mask) if s else t for t, s in zip(batch.column("text").to_pylist(), batch.column("__spans").to_pylist(), strict=True)]
             columns = {n: batch.column(n) for n in names if n != "__spans"}
             columns["text"] = pa.array(texts, pa.string())

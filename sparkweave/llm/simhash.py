@@ -63,7 +63,7 @@ def fingerprint(docs: DataFrame, size: int = 3) -> DataFrame:
     """doc_id, fp (the 64 bits as a signed number) of every row of doc_id, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in textvec.portions(batches):
             texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
             found = [fingerprints_of(group, size) for _, group in textvec.groups(texts)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.concatenate([np.zeros(0, U64), *found]).view(np.int64))], ["doc_id", "fp"])

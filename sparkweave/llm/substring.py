@@ -215,7 +215,7 @@ def dedupe_substrings(docs: DataFrame, window: int = 13, gram: int = 4, block_by
         held = Windows(window, gram, blocks)
         names = [x.split()[0] for x in ENTRY.split(", ")]
         schema = pa.schema([(n, pa.int32() if n == "block" else pa.binary()) for n in names])
-        for batch in batches:
+        for batch in textvec.portions(batches):
             ids, digests = batch.column("doc_id").to_pylist(), batch.column("digest").to_pylist()
             for at, group in textvec.groups(batch.column("text").cast(pa.binary()).to_pylist()):
                 held.add(ids[at : at + len(group)], group, digests[at : at + len(group)])
@@ -233,7 +233,7 @@ def dedupe_substrings(docs: DataFrame, window: int = 13, gram: int = 4, block_by
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-        for batch in batches:
+        for batch in textvec.portions(batches):
             counts, spans, kept = [], [], []
             for text, parts in zip(batch.column("text").cast(pa.binary()), batch.column("runs"), strict=True):
                 words = (text.as_py() or b"").split()

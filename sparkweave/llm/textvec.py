@@ -28,6 +28,13 @@ def distinct(x: np.ndarray) -> np.ndarray:
     return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
 
 
+def portions(batches: Iterator, rows: int = 512) -> Iterator:
+    """Arrow batches cut small, so that only a few texts at a time become Python objects."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def groups(texts: list, max_chars: int = 1 << 18) -> Iterator[tuple[int, list]]:
     """Where a group starts, and its texts."""
     start, size = 0, 0

@@ -41,7 +41,7 @@ def host_rule(action: str, rule: str) -> UrlRule:
     """``host/path``: fits the host and its subdomains where the URL's path starts with the rule's."""
     host, slash, path = rule.partition("/")
     path = slash + path
-    pattern = rf"(?s)\A(?:(?!://).)*://(?:[^/?#]*\.)?(?i:{re.escape(host)})(?=[/?#]|\Z)" + (rf"(?=[^?#]*){re.escape(path)}" if path else "")
+    pattern = rf"(?s)\A(?:(?!://).)*://(?:[^/?#]*\.)?(?ai:{re.escape(host)})(?=[/?#]|\Z)" + (rf"(?=[^?#]*){re.escape(path)}" if path else "")
     whole = path if re.search(r"[^A-Za-z0-9]\Z", path) else re.sub(r"[A-Za-z0-9]*\Z", "", path)  # the last token may go on in the URL
     return UrlRule(action, rule, pattern, tuple(dict.fromkeys(_TOKEN.findall((host + whole).translate(_UPPER)))), len(rule))
 
