@@ -38,11 +38,17 @@ def couplings(pairs: DataFrame, impact_files: DataFrame, contexts: DataFrame, mo
     return top.where(one).select("a", "b", "together", degree.alias("degree"), F.coalesce(F.col("a_context") != F.col("b_context"), F.lit(False)).alias("cross_context")).orderBy(F.desc("together"), "a", "b").limit(shown)
 
 
-def knowledge_owners(commits: DataFrame, least: int = 3) -> DataFrame:
-    """file, author, commits: who committed a file most, where often enough; ties by name."""
-    by = commits.groupBy("file", "author").agg(F.count_distinct("sha").alias("commits"))
-    w = Window.partitionBy("file").orderBy(F.desc("commits"), "author")
-    return by.withColumn("nth", F.row_number().over(w)).where((F.col("nth") == 1) & (F.col("commits") >= least)).select("file", "author", "commits")
+def knowledge_owners(commits: DataFrame, least: int = 3, limit: int = 8) -> DataFrame:
+    """author, file, commits: authors of files with enough commits, by the busiest file of each; ties by name."""
+    busy = commits.groupBy("file").agg(F.count_distinct("sha").alias("commits")).where(F.col("commits") >= least)
+    first = F.min(F.struct((-F.col("commits")).alias("order"), "file", "commits")).alias("first")
+    by = commits.select("file", "author").distinct().join(busy, "file").groupBy("author").agg(first)
+    return by.orderBy("first", "author").limit(limit).select("author", "first.file", "first.commits")
+
+
+def file_complexity(functions: DataFrame, lines: DataFrame) -> DataFrame:
+    """path, complexity: summed over the functions that hold a changed line."""
+    return touched_functions(functions, lines).groupBy("path").agg(F.sum("complexity").alias("complexity"))
 
 
 def notes(spots: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -51,3 +51,26 @@ def match_reviews_to_prs(reviews: DataFrame, prs: DataFrame) -> DataFrame:
 def list_reviews(reviews: DataFrame, limit: int = 50, with_payload: bool = False) -> DataFrame:
     rows = reviews if with_payload else reviews.drop("payload")
     return rows.orderBy(F.desc("created_at"), "id").limit(max(1, min(200, limit)))
+
+
+# The share of the whole bar that each phase of indexing takes.
+PHASES = {"scan": (0, 20), "extract": (20, 88), "boot": (88, 94), "stitch": (94, 99), "skipped": (100, 100), "done": (100, 100)}
+
+
+def overall_percent(phase: Column, done: Column, total: Column, floor: Column) -> Column:
+    """Percent of the whole, never below the floor; other phases stand still."""
+    percent = floor
+    for name, (start, end) in PHASES.items():
+        share = F.when(total > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), done / total))).otherwise(0.0)
+        percent = F.when(phase == name, F.bround(F.lit(start) + (end - start) * share)).otherwise(percent)
+    return F.least(F.lit(100), F.greatest(F.lit(0), floor, percent)).cast("int")
+
+
+def summarize_reviews(reviews: DataFrame) -> DataFrame:
+    """Stored reviews with what their payload (JSON) says of confidence, contract and findings."""
+    p = lambda path: F.get_json_object("payload", f"$.{path}")
+    waived = F.from_json(p("findings"), "array<struct<waived:boolean>>")
+    return reviews.select(
+        "id", "created_at", "base_ref", "head_ref", p("confidence.level").alias("level"), p("confidence.sinks").cast("int").alias("sinks"), p("confidence.covered_sinks").cast("int").alias("covered_sinks"),
+        p("contract_break.kind").alias("contract_break"), F.size(F.filter(F.coalesce(waived, F.array().cast("array<struct<waived:boolean>>")), lambda f: ~F.coalesce(f["waived"], F.lit(False)))).alias("findings"), F.coalesce(p("what_if").cast("boolean"), F.lit(False)).alias("what_if"),
+    )

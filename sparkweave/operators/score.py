@@ -50,34 +50,111 @@ def score_confidence(impact: Graph, found: DataFrame, residuals: int = 0) -> Dat
     return row.withColumn("level", level).withColumn("score", F.round(ratio - 0.15 * F.col("blockers") - 0.05 * inferred, 3))
 
 
-def classify_change(impact: Graph, found: DataFrame) -> DataFrame:
-    """kind: the kinds of change that an impact set and its findings amount to; ``mixed`` if several."""
+# Types by which a change's seeds tell its kind, and types that only show.
+MIGRATING_TYPES = ("django.migration_op", "django.model", "django.field")
+UI_TYPES = ("react.component", "react.page", "react.route", "react.test", "react.feature")
+CROSSING_RULES = ("views_cannot_import_other_context_models", "react_feature_may_only_call_own_or_shared_api")
+
+
+def classify_change(impact: Graph, found: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
+    """kind: the kinds of change that the seeds (all impact nodes, if there are none), the impact set and findings make."""
     def any_type(*types: str) -> Column:
         return F.coalesce(F.bool_or(F.col("type").isin(*types)), F.lit(False))
 
-    flags = impact.nodes.agg(
-        any_type(*CONTRACT_TYPES).alias("public_contract"), any_type("django.migration_op").alias("schema_migration"),
-        any_type("django.permission", "django.throttle").alias("auth"), any_type("django.service", "django.task").alias("internal_service"),
-        (F.coalesce(F.bool_and(F.col("type").like("react.%")), F.lit(False))).alias("leaf_ui"), (F.count_distinct("context") > 1).alias("several"),
+    def flags(nodes: DataFrame, prefix: str) -> DataFrame:
+        return nodes.agg(F.count("*").alias(f"{prefix}_n"), any_type(*CONTRACT_TYPES).alias(f"{prefix}_contract"), any_type(*MIGRATING_TYPES).alias(f"{prefix}_migration"), any_type("django.permission").alias(f"{prefix}_auth"))
+
+    of_impact = impact.nodes.agg(
+        any_type("django.service").alias("service"), any_type("react.component", "react.page").alias("shows"), any_type("react.hook").alias("hook"),
+        (F.count("*") > 0).alias("some"), F.coalesce(F.bool_and(F.col("type").isin(*UI_TYPES)), F.lit(False)).alias("only_ui"),
     )
-    crossing = found.agg(F.coalesce(F.bool_or(F.col("other_context").isNotNull() & ~F.col("waived")), F.lit(False)).alias("crossing"))
-    row = flags.crossJoin(crossing)  # one row each
-    kinds = F.array_compact(F.array(*(F.when(F.col(k), k) for k in ("public_contract", "schema_migration", "auth", "internal_service", "leaf_ui")), F.when(F.col("crossing"), "cross_context")))
-    kinds = F.when(F.size(kinds) > 1, F.array_append(kinds, F.lit("mixed"))).otherwise(kinds)
+    crossing = found.agg(F.coalesce(F.bool_or(F.col("rule").isin(*CROSSING_RULES) & ~F.col("waived")), F.lit(False)).alias("crossing"))
+    row = of_impact.crossJoin(flags(impact.nodes, "i")).crossJoin(crossing)  # one row each
+    row = row.crossJoin(flags(seeds if seeds is not None else impact.nodes, "s"))
+
+    def told(name: str) -> Column:
+        return F.when(F.col("s_n") > 0, F.col(f"s_{name}")).otherwise(F.col(f"i_{name}"))
+
+    kinds = F.array_compact(F.array(F.when(told("auth"), "auth"), F.when(F.col("crossing"), "cross_context"), F.when(told("contract"), "public_contract"), F.when(told("migration"), "schema_migration")))
+    kinds = F.when(F.col("service") & ~told("contract"), F.array_append(kinds, F.lit("internal_service"))).otherwise(kinds)
+    leaf = (F.col("some") & F.col("only_ui")) | (F.col("shows") & ~F.col("hook"))
+    kinds = F.when(F.size(kinds) > 0, kinds).when(leaf, F.array(F.lit("leaf_ui"))).otherwise(F.array(F.lit("internal_service")))
     return row.select(F.explode(kinds).alias("kind"))
 
 
 def is_low_risk(kinds: Column, level: Column, blockers: Column) -> Column:
-    return (level == "high") & (blockers == 0) & F.forall(kinds, lambda k: k.isin("leaf_ui", "internal_service"))
+    risky = F.exists(kinds, lambda k: k.isin("cross_context", "public_contract", "schema_migration", "auth"))
+    return (blockers == 0) & (level != "low") & ~risky & ((level == "high") | F.array_contains(kinds, "leaf_ui"))
 
 
-def gate(level: Column, blockers: Column, warnings: Column, fail_on: str = "blocker") -> Column:
-    """Exit code for CI: 2 for blockers, 3 for warnings, 4 for low confidence, as far as asked."""
-    code = F.when((blockers > 0) & F.lit(fail_on in ("blocker", "warning", "low")), 2)
-    code = code.when((warnings > 0) & F.lit(fail_on == "warning"), 3).when((level == "low") & F.lit(fail_on in ("warning", "low")), 4)
+def gate(level: Column, blockers: Column, contract: Column, fail_on: str = "blocker") -> Column:
+    """Exit code for CI: 2 for blockers, then 4 for a breaking contract, then 3 for too low a confidence."""
+    if fail_on == "never":
+        return F.lit(0)
+    code = F.when(blockers > 0, 2)
+    if fail_on in ("low", "medium"):
+        code = code.when(contract == "breaking", 4).when(level.isin(*("low", "medium")[: 1 + (fail_on == "medium")]), 3)
     return code.otherwise(0)
 
 
+def contract_break(impact: Graph, diff: DataFrame) -> DataFrame:
+    """One row, kind and fields: whether a change (path, patch) breaks, drifts from or adds to the published contract."""
+    lines = diff.select("path", F.explode(F.split("patch", "\n")).alias("text"))
+    quoted = F.regexp_extract_all("text", F.lit("['\"](\\w+)['\"]"), 1)
+    listed = F.regexp_extract("text", "^[+-]\\s*['\"](\\w+)['\"]\\s*,?\\s*$", 1)
+    plus = F.col("text").startswith("+")
+    required = F.when(plus & F.col("text").rlike("required.*True"), F.filter(quoted, lambda q: ~q.isin("extra_kwargs", "required")))
+    nothing = F.array().cast("array<string>")
+    sets = lines.agg(
+        F.array_distinct(F.flatten(F.collect_list(F.coalesce(required, nothing)))).alias("required"),
+        F.collect_set(F.when(~plus & (listed != ""), listed)).alias("removed"), F.collect_set(F.when(plus & (listed != ""), listed)).alias("added"),
+    )
+    touched = impact.nodes.join(diff.select(F.col("path").alias("file_path")).distinct().withColumn("touched", F.lit(True)), "file_path", "left")
+
+    def moved(*types: str) -> Column:
+        return F.coalesce(F.bool_or(F.col("type").isin(*types) & F.coalesce("touched", F.lit(False))), F.lit(False))
+
+    of_type = lambda *types: F.col("type").isin(*types)
+    flags = touched.agg(
+        F.coalesce(F.bool_or(of_type(*CONTRACT_TYPES)), F.lit(False)).alias("some"), moved("django.serializer", "django.serializer_field", "fastapi.model").alias("serializer"),
+        moved("graphql.type", "graphql.field", "graphql.operation").alias("graphql"), moved("openapi.path").alias("openapi"), moved("react.form_schema").alias("form"),
+        F.collect_set(F.when(of_type("django.serializer_field", "django.field"), F.col("name"))).alias("served"),
+        F.array_distinct(F.flatten(F.collect_list(F.when(of_type("react.form_schema"), F.coalesce(extra("fields", "array<string>"), nothing)).otherwise(nothing)))).alias("posted"),
+    )
+    row = sets.crossJoin(flags)  # one row each
+    missing = F.array_except(F.array_except("served", "posted"), F.array(F.lit("id"), F.lit("pk")))
+    breaking = (F.size("required") > 0) | (F.col("serializer") & (F.size("removed") > 0)) | (F.col("graphql") & F.col("serializer"))
+    drift = F.col("serializer") & (F.col("openapi") | (F.col("form") & (F.size(missing) > 0)))
+    kind = F.when(~F.col("some"), "none").when(breaking, "breaking").when(drift, "drift").otherwise("additive")
+    gained = F.when(F.col("serializer") & ~breaking, F.col("added")).otherwise(nothing)
+    lost = F.when(F.col("serializer"), F.col("removed")).otherwise(nothing)
+    fields = F.array_distinct(F.concat("required", F.sort_array(lost), F.sort_array(gained), F.when(F.col("form") & F.col("serializer"), F.sort_array(missing)).otherwise(nothing)))
+    return row.select(kind.alias("kind"), F.when(F.col("some"), F.slice(fields, 1, 12)).otherwise(nothing).alias("fields"))
+
+
+def untested_fields(impact: Graph, names: DataFrame) -> DataFrame:
+    """type, name of changed fields (``names``: name) on the path that no test there mentions."""
+    said = impact.of_types(*TEST_TYPES).select(F.explode(extra("mentions", "array<string>")).alias("name")).distinct()
+    fields = impact.of_types("django.field", "django.serializer_field").where(~F.col("name").isin("id", "pk")).select("type", "name").distinct()
+    return fields.join(names.select("name").distinct(), "name", "left_semi").join(said, "name", "left_anti").select("type", "name")
+
+
+def ui_residuals(impact: Graph, paths: DataFrame, names: DataFrame) -> DataFrame:
+    """what: mutations that leave queries stale, changed pages without an error boundary, changed fields that no form has."""
+    n = impact.nodes
+    keys = n.agg(
+        F.count_if(F.col("type") == "react.query_key").alias("keys"), F.count_if((F.col("type") == "react.query_key") & F.coalesce(extra("invalidation", "boolean"), F.lit(False))).alias("fresh"),
+        F.count_if((F.col("type") == "react.hook") & (F.coalesce(extra("mutation", "boolean"), F.lit(False)) | F.col("name").contains("Mutation"))).alias("mutations"),
+    )
+    stale = keys.where("keys > 0 and mutations > 0 and fresh = 0").select(F.lit("a mutation leaves the page's queries stale").alias("what"))
+    bare = n.where((F.col("type") == "react.page") & (extra("has_error_boundary", "boolean") == F.lit(False))).join(paths.select(F.col("path").alias("file_path")), "file_path", "left_semi")
+    forms = n.select(F.explode(F.concat(F.coalesce(extra("form_fields", "array<string>"), F.array().cast("array<string>")), F.when(F.col("type") == "react.form_schema", F.coalesce(extra("fields", "array<string>"), F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>")))).alias("name")).distinct()
+    some = forms.limit(1).select(F.lit(True).alias("some"))
+    changed = n.where(F.col("type").isin("django.field", "django.serializer_field") & ~F.col("name").isin("id", "pk")).select("name").distinct().join(names.select("name").distinct(), "name", "left_semi")
+    absent = changed.join(forms, "name", "left_anti").join(F.broadcast(some))  # one row or none
+    return stale.unionByName(bare.select(F.concat(F.lit("no error boundary: "), "name").alias("what"))).unionByName(absent.select(F.concat(F.lit("not in a form: "), "name").alias("what")))
+
+
 def node_roles(impact: Graph, seeds: DataFrame) -> DataFrame:
     """id, roles (in fixed order) of every node."""
     seed = seeds.select("id").distinct().withColumn("seed", F.lit(True))
@@ -163,3 +240,20 @@ def related_nodes(members: DataFrame, impact: DataFrame) -> DataFrame:
 
 def without_hubs(nodes: DataFrame) -> DataFrame:
     return nodes.where(~F.col("type").isin(*HUB_TYPES))
+
+
+# Types that an overview leaves out.
+DETAIL_TYPES = ("django.field", "django.serializer_field", "graphql.field", "django.viewset_action", "react.query_key", "django.url_name")
+
+
+def visible_graph(graph: Graph, families: list[str], overview: bool = False, focus: str | None = None) -> Graph:
+    """Nodes of some families (of an overview without details), around a node if one is in focus, and their edges."""
+    nodes = graph.nodes.where(F.substring_index("type", ".", 1).isin(*families))
+    if overview:
+        nodes = nodes.where(~F.col("type").isin(*DETAIL_TYPES))
+    shown = graph.induced(nodes)
+    if focus is None:
+        return shown
+    at = shown.neighbors(focus)
+    near = at.select(F.col("src").alias("id")).unionByName(at.select(F.col("dst").alias("id"))).distinct()
+    return shown.induced(near)

@@ -424,10 +424,16 @@ def read_order(spark, sf):
     return score.read_order(paths, g.nodes, P.is_skippable(F.col("path")))
 
 
-@query(on_lens("""SELECT unnest(list_filter([CASE WHEN bool_or(type IN ('django.route', 'django.serializer', 'django.serializer_field', 'react.form_schema')) THEN 'public_contract' END, CASE WHEN bool_or(type = 'django.migration_op') THEN 'schema_migration' END,
-CASE WHEN bool_or(type IN ('django.service', 'django.task')) THEN 'internal_service' END, CASE WHEN CAST(bool_or(type IN ('django.route', 'django.serializer', 'django.serializer_field', 'react.form_schema')) AS INTEGER) + CAST(bool_or(type = 'django.migration_op') AS INTEGER) + CAST(bool_or(type IN ('django.service', 'django.task')) AS INTEGER) > 1 THEN 'mixed' END], lambda x: x IS NOT NULL)) AS kind FROM inodes""", _WALK))
+@query(on_lens("SELECT 'internal_service' AS kind WHERE EXISTS (SELECT 1 FROM inodes)", _WALK))
 def change_kinds(spark, sf):
-    return score.classify_change(impact(spark, sf)[0], spark.createDataFrame([], "other_context string, waived boolean"))
+    """The seeds are views and services are reached: an internal change."""
+    found, seeds = impact(spark, sf)
+    return score.classify_change(found, spark.createDataFrame([], "rule string, waived boolean"), seeds)
+
+
+@query(on_lens("SELECT DISTINCT unnest(['public_contract', 'schema_migration']) AS kind FROM inodes WHERE type = 'django.model'", _WALK))
+def change_kinds_without_seeds(spark, sf):
+    return score.classify_change(impact(spark, sf)[0], spark.createDataFrame([], "rule string, waived boolean"))
 
 
 @query(on_lens(f"SELECT type, name, 'test_' || split_part(type, '.', 2) || '_' || regexp_replace(lower(name), '[^a-z0-9]+', '_', 'g') AS test FROM (SELECT DISTINCT type, name FROM inodes WHERE type IN {_in(*SINK_TYPES)} AND id NOT IN (SELECT id FROM t2)) ORDER BY type, name LIMIT 8", _COVER))
@@ -464,7 +470,9 @@ def co_change(spark, sf):
     return evolution.co_change(commits(spark, sf))
 
 
-@query(f"WITH {_COMMITS}, n AS (SELECT file, author, count(DISTINCT sha) AS commits FROM c GROUP BY 1, 2) SELECT file, author, commits FROM (SELECT *, row_number() OVER (PARTITION BY file ORDER BY commits DESC, author) AS r FROM n) WHERE r = 1 AND commits >= 3")
+@query(f"""WITH {_COMMITS}, b AS (SELECT file, count(DISTINCT sha) AS commits FROM c GROUP BY 1 HAVING count(DISTINCT sha) >= 3),
+r AS (SELECT c.author, b.file, b.commits, row_number() OVER (PARTITION BY c.author ORDER BY b.commits DESC, b.file) AS r FROM (SELECT DISTINCT file, author FROM c) c JOIN b ON c.file = b.file)
+SELECT author, file, commits FROM r WHERE r = 1 ORDER BY commits DESC, file, author LIMIT 8""")
 def knowledge_owners(spark, sf):
     return evolution.knowledge_owners(commits(spark, sf))
 
@@ -648,3 +656,30 @@ def changed_lines(spark, sf):
 def patch_identifiers(spark, sf):
     c = read(spark, sf, "conversations").where("role = 'user'")
     return evolution.patch_identifiers(c.select(F.array_join(F.transform(F.split("text", "\n"), lambda x: F.concat(F.lit("+ "), x)), "\n").alias("patch")))
+
+
+@query(on_lens("""SELECT id, type FROM edges WHERE type IN ('calls', 'uses_serializer', 'serializes', 'queries_model', 'publishes_route', 'tested_by', 'belongs_to') AND src LIKE 'django.%' AND dst LIKE 'django.%'"""))
+def visible_graph(spark, sf):
+    """Nodes of one family without details, and the edges among them."""
+    return score.visible_graph(lens(spark, sf), ["django"], overview=True).edges.select("id", "type")
+
+
+_PHASE = "CASE event_type WHEN 'view' THEN 'scan' WHEN 'click' THEN 'extract' WHEN 'purchase' THEN 'stitch' WHEN 'signup' THEN 'done' ELSE 'idle' END"
+
+
+@query(f"""SELECT event_id, CAST(greatest(7, CASE {_PHASE} WHEN 'scan' THEN round_even(20 * k / 100.0, 0) WHEN 'extract' THEN round_even(20 + 68 * k / 100.0, 0) WHEN 'stitch' THEN round_even(94 + 5 * k / 100.0, 0) WHEN 'done' THEN 100 ELSE 7 END) AS INTEGER) AS percent
+FROM ({_EVENTS})""")
+def overall_percent(spark, sf):
+    kind = F.col("event_type")
+    phase = F.when(kind == "view", "scan").when(kind == "click", "extract").when(kind == "purchase", "stitch").when(kind == "signup", "done").otherwise("idle")
+    return _events(spark, sf).select("event_id", history.overall_percent(phase, F.col("k"), F.lit(100), F.lit(7)).alias("percent"))
+
+
+@query(f"""WITH v AS (SELECT event_id, CASE k % 3 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' ELSE 'high' END AS level, CASE WHEN k % 11 = 0 THEN 1 ELSE 0 END AS blockers, CASE WHEN k % 7 = 0 THEN 'breaking' ELSE 'none' END AS contract, CASE WHEN k % 2 = 0 THEN 'leaf_ui' ELSE event_type END AS kind FROM ({_EVENTS}))
+SELECT event_id, CASE WHEN blockers > 0 THEN 2 WHEN contract = 'breaking' THEN 4 WHEN level IN ('low', 'medium') THEN 3 ELSE 0 END AS code, blockers = 0 AND level <> 'low' AND (level = 'high' OR kind = 'leaf_ui') AS low_risk FROM v""")
+def merge_gate(spark, sf):
+    k = F.col("k")
+    level = F.when(k % 3 == 0, "low").when(k % 3 == 1, "medium").otherwise("high")
+    blockers, contract = F.when(k % 11 == 0, 1).otherwise(0), F.when(k % 7 == 0, "breaking").otherwise("none")
+    kinds = F.array(F.when(k % 2 == 0, "leaf_ui").otherwise(F.col("event_type")))
+    return _events(spark, sf).select("event_id", score.gate(level, blockers, contract, "medium").alias("code"), score.is_low_risk(kinds, level, blockers).alias("low_risk"))

@@ -116,10 +116,13 @@ def review(spark: SparkSession, index: Index, diff: DataFrame, manifest: Manifes
     found = found.join(on_path.withColumn("on_path", F.lit(True)), "node_id", "left").join(in_diff.withColumn("in_diff", F.lit(True)), "file_path", "left").where("on_path or in_diff").drop("on_path", "in_diff")
     found = scratch.cut(found)
     weak = impact.edges.where(F.col("confidence") < INFERRED_BELOW).select(F.concat_ws(" ", F.lit("inferred"), "type", "src", "dst").alias("what"))
-    residuals = scratch.cut(index.residuals.join(paths, "path", "left_semi").select("what").unionByName(weak).distinct())
+    changed = evolution.patch_identifiers(diff)
+    unsaid = score.untested_fields(impact, changed).select(F.concat(F.lit("no test mentions "), "name").alias("what"))
+    shown = score.ui_residuals(impact, paths, changed)
+    residuals = scratch.cut(index.residuals.join(paths, "path", "left_semi").select("what").unionByName(weak).unionByName(unsaid).unionByName(shown).distinct())
     confidence = score.score_confidence(impact, found, residuals.count())
     clusters = score.title_of(traverse.change_clusters(impact.edges, seeds), seeds)
-    kinds = score.classify_change(impact, found)
+    kinds = score.classify_change(impact, found, seeds)
     roles = score.node_roles(impact, seeds)
     marks = score.file_marks(impact, roles)
     order = score.read_order(paths, impact.nodes, is_skippable(F.col("path")))
@@ -128,6 +131,7 @@ def review(spark: SparkSession, index: Index, diff: DataFrame, manifest: Manifes
     document = {
         "confidence": c,
         "kinds": sorted(r["kind"] for r in kinds.collect()),
+        "contract_break": score.contract_break(impact, diff).first().asDict(),
         "clusters": [r.asDict() for r in clusters.orderBy(F.desc("files"), "title").limit(limit).collect()],
         "findings": [r.asDict() for r in found.orderBy("waived", "severity", "rule", "node_id").limit(limit).collect()],
         "untested": [r.asDict() for r in sinks.where("not covered").orderBy("type", "name").limit(limit).collect()],
@@ -156,13 +160,22 @@ def checklist(document: dict) -> list[dict]:
 
 
 def gate(document: dict, fail_on: str = "blocker") -> int:
-    """Exit code: 2 blockers, 3 warnings, 4 low confidence, 0 otherwise."""
-    c = document["confidence"]
-    if c["blockers"] and fail_on in ("blocker", "warning", "low"):
+    """Exit code: 2 blockers, 4 a breaking contract, 3 too low a confidence, 0 otherwise."""
+    c, contract = document["confidence"], document["contract_break"]["kind"]
+    if fail_on == "never":
+        return 0
+    if c["blockers"]:
         return 2
-    if c["warnings"] and fail_on == "warning":
-        return 3
-    return 4 if c["level"] == "low" and fail_on in ("warning", "low") else 0
+    if fail_on in ("low", "medium"):
+        return 4 if contract == "breaking" else 3 if c["level"] == "low" or c["level"] == fail_on else 0
+    return 0
+
+
+def gate_lines(document: dict, fail_on: str = "blocker") -> str:
+    """The gate as key and value lines for CI."""
+    c = document["confidence"]
+    rows = {"level": c["level"], "passed": str(gate(document, fail_on) == 0).lower(), "contract_break": document["contract_break"]["kind"], "sinks": c["sinks"]}
+    return "".join(f"{k}={v}\n" for k, v in rows.items())
 
 
 def markdown(document: dict) -> str:

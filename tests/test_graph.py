@@ -225,3 +225,49 @@ def test_evolution(spark):
     assert {tuple(r) for r in evolution.changed_lines(parts).collect()} == {("x.py", 2), ("x.py", 10), ("y", 1)}
     functions = spark.createDataFrame([("x.py", "f", 1, 3, 2), ("x.py", "g", 4, 9, 1)], "path string, name string, start int, end int, complexity int")
     assert [r["name"] for r in evolution.touched_functions(functions, evolution.changed_lines(parts)).collect()] == ["f"]
+
+
+def test_contract_breaks(spark):
+    nodes = [("s", "django.serializer", None, None, "s.py"), ("f", "react.form_schema", None, '{"fields":["a"]}', "f.ts"), ("x", "django.serializer_field", None, None, "s.py", "a"), ("y", "django.serializer_field", None, None, "s.py", "b")]
+    g = make(spark, nodes, [])
+
+    def kind(graph_, *files):
+        r = score.contract_break(graph_, spark.createDataFrame(files, "path string, patch string")).first()
+        return r["kind"], r["fields"]
+
+    assert kind(g, ("s.py", '@@\n-    "gone",\n+    "new",')) == ("breaking", ["gone"])
+    assert kind(g, ("s.py", '+    "new",')) == ("additive", ["new"])
+    assert kind(g, ("s.py", "+x"), ("f.ts", "+y")) == ("drift", ["b"])
+    assert kind(g, ("z.py", '+    extra_kwargs = {"total": {"required": True}}')) == ("breaking", ["total"])
+    assert kind(graph.Graph(g.nodes.where("false"), g.edges), ("s.py", '-    "gone",')) == ("none", [])
+
+
+def test_residuals_of_fields_and_ui(spark):
+    nodes = [("k", "react.query_key", None), ("h", "react.hook", None, '{"mutation":true}'), ("p", "react.page", None, '{"has_error_boundary":false}', "p.tsx"), ("f", "react.form_schema", None, '{"fields":["a"]}'), ("x", "django.field", None, None, None, "a"), ("y", "django.field", None, None, None, "b"), ("t", "django.test", None, '{"mentions":["a"]}')]
+    g = make(spark, nodes, [])
+    names, changed = spark.createDataFrame([("a",), ("b",), ("id",)], "name string"), spark.createDataFrame([("p.tsx",)], "path string")
+    assert {tuple(r) for r in score.untested_fields(g, names).collect()} == {("django.field", "b")}
+    assert {r["what"] for r in score.ui_residuals(g, changed, names).collect()} == {"a mutation leaves the page's queries stale", "no error boundary: p", "not in a form: b"}
+
+
+def test_kinds_gate_and_risk(spark):
+    found = spark.createDataFrame([(rules.RULES[0], False)], "rule string, waived boolean")
+    g = make(spark, [("s", "django.serializer", None), ("q", "django.service", None), ("m", "django.model", None)], [])
+    kinds = lambda graph_, f, s=None: {r["kind"] for r in score.classify_change(graph_, f, s).collect()}
+    assert kinds(g, found, g.of_types("django.serializer")) == {"public_contract", "cross_context"}
+    assert kinds(g, found.where("waived"), g.of_types("django.service")) == {"internal_service"}
+    ui = make(spark, [("c", "react.component", None), ("p", "react.page", None)], [])
+    assert kinds(ui, found.where("waived")) == {"leaf_ui"}
+    one = lambda c: spark.range(1).select(c.alias("x")).first()["x"]
+    low, breaking = F.lit("low"), F.lit("breaking")
+    assert [one(score.gate(low, F.lit(n), breaking, mode)) for n, mode in ((1, "never"), (1, "blocker"), (0, "blocker"), (0, "low"))] == [0, 2, 0, 4]
+    assert one(score.gate(F.lit("medium"), F.lit(0), F.lit("none"), "medium")) == 3 and one(score.gate(F.lit("medium"), F.lit(0), F.lit("none"), "low")) == 0
+    assert one(score.is_low_risk(F.array(F.lit("leaf_ui")), F.lit("medium"), F.lit(0))) and not one(score.is_low_risk(F.array(F.lit("auth")), F.lit("high"), F.lit(0)))
+
+
+def test_visible_graph_and_progress(spark):
+    g = make(spark, [("v", "django.view", None), ("f", "django.field", None), ("p", "react.page", None), ("m", "django.model", None)], [("v", "calls", "m"), ("m", "has_field", "f"), ("p", "calls", "v")])
+    assert ids(score.visible_graph(g, ["django"]).nodes) == {"v", "f", "m"} and ids(score.visible_graph(g, ["django"], True).nodes) == {"v", "m"}
+    assert ids(score.visible_graph(g, ["django", "react"], focus="v").nodes) == {"v", "m", "p"}
+    rows = spark.createDataFrame([("scan", 5, 10, 0), ("extract", 1, 0, 0), ("stitch", 1, 1, 0), ("what", 1, 1, 33), ("scan", 0, 10, 50)], "phase string, done int, total int, floor int")
+    assert [r["x"] for r in rows.select(history.overall_percent(*(F.col(c) for c in rows.columns)).alias("x")).collect()] == [10, 20, 99, 33, 50]

@@ -6,7 +6,8 @@ import subprocess
 import pytest
 
 from sparkweave.plans import review as R
-from sparkweave.sources import extraction, frontend_source, python_source, tree
+from sparkweave.operators import history
+from sparkweave.sources import extraction, frontend_source, python_source, store, tree
 from sparkweave.streaming import incremental
 
 TREE = {
@@ -144,3 +145,20 @@ def test_stream_keeps_the_newest_version(spark, tmp_path):
     arrive("2.json", ("a/m.py", model.format("New"), 2))
     got = {r["id"] for r in incremental.current_rows(spark, raw).where("type = 'django.model'").collect()}
     assert got == {"django.model:a.New", "django.model:b.Keep"}
+
+
+def test_store(spark, tmp_path):
+    s = store.Store(spark, str(tmp_path / "db"))
+    assert s.get_meta("a") is None and s.get_review("r") is None
+    s.set_meta("a", "1")
+    s.set_meta("a", "2")
+    s.save_review("r", "2024-01-01", {"confidence": {"level": "low", "sinks": 3}, "findings": [{"waived": True}, {"waived": False}]}, base_ref="main")
+    s.save_review("r", "2024-02-02", {"confidence": {"level": "high", "sinks": 4}, "findings": [{}]}, base_ref="other")
+    assert s.get_meta("a") == "2"
+    r = s.get_review("r")
+    assert (r["created_at"], r["base_ref"], r["payload"]["confidence"]["level"]) == ("2024-01-01", "main", "high")
+    shown = history.summarize_reviews(s.reviews()).first()
+    assert (shown["level"], shown["sinks"], shown["findings"], shown["what_if"]) == ("high", 4, 1, False)
+    assert history.list_reviews(s.reviews()).columns[:1] == ["id"] and "payload" not in history.list_reviews(s.reviews()).columns
+    files = spark.createDataFrame([("a", "1"), ("b", "2")], "path string, hash string")
+    assert store.fingerprint(files) == store.fingerprint(files.orderBy("path", ascending=False)) != store.fingerprint(files.where("path = 'a'"))
