@@ -7,6 +7,7 @@ reader can take in.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from html import escape
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,6 +50,11 @@ def stitched(graph: Graph, operations: DataFrame | None = None) -> tuple[DataFra
     is_client = F.coalesce(extra("client", "boolean"), F.lit(False))
     calls = stitch.match_graphql(operations_.where(is_client).select(F.col("id").alias("client"), "name", extra("selections", "array<string>").alias("selections")), operations_.where(~is_client).select(F.col("id").alias("server"), "name"))
     edges = edges.unionByName(make_edges(calls.select(F.col("server").alias("src"), F.col("client").alias("dst"), F.lit("consumed_by_client").alias("type")), 0.92))
+    procedures = graph.of_types("react.api_client").where(extra("procedure").isNotNull()).select(F.col("id").alias("call"), F.regexp_replace(extra("procedure"), r"\.", "/").alias("url"))
+    named = graph.of_types("graphql.operation", "fastapi.route", "django.route").where(~is_client)
+    named = named.select(F.col("id").alias("route"), F.regexp_replace(F.coalesce(extra("raw"), extra("route"), F.col("name")), r"^[A-Z]+\s+", "").alias("path"))
+    spoken_for = stitch.match_suffix(procedures, named.where("path <> ''"))
+    edges = edges.unionByName(make_edges(spoken_for.select(F.col("route").alias("src"), F.col("call").alias("dst"), F.lit("consumed_by_client").alias("type")), 0.7))
     visits = graph.of_types("react.test").select(F.col("id").alias("client"), F.explode(extra("visits", "array<string>")).alias("url"))
     pages = graph.of_types("react.route").select(F.col("id").alias("route"), F.col("name").alias("path"))
     seen = stitch.match_routes(visits, routes.unionByName(pages))
@@ -187,6 +193,16 @@ def markdown(document: dict) -> str:
     return "\n".join(lines) + "\n"
 
 
+def html(document: dict) -> str:
+    """The markdown brief as a page."""
+    out = []
+    for line in markdown(document).splitlines():
+        mark, _, text = line.partition(" ")
+        tag = {"#": "h1", "##": "h2", "-": "li"}.get(mark, "p")
+        out.append(f"<{tag}>{escape(text if tag != 'p' else line)}</{tag}>" if line else "")
+    return "<!doctype html><meta charset=utf-8>" + "\n".join(out) + "\n"
+
+
 def architecture_report(index: Index, manifest: Manifest | None = None) -> dict[str, DataFrame]:
     """Counts by type, findings of all rules, and the types' graph."""
     manifest = manifest or Manifest()

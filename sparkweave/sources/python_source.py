@@ -149,6 +149,17 @@ class Detector:
         for node in ast.walk(self.tree):
             if isinstance(node, ast.Call):
                 self.call(node)
+            elif isinstance(node, ast.Dict):
+                self.schedule(node)
+
+    def schedule(self, node: ast.Dict) -> None:
+        """An entry of a schedule: a task by name, and when it runs."""
+        entry = {text(k): v for k, v in zip(node.keys, node.values) if k is not None and text(k)}
+        if "schedule" in entry and text(entry.get("task")):
+            parts = [p for p in text(entry["task"]).split(".") if p not in PACKAGE_DIRS][-2:]
+            task = ".".join(parts if len(parts) == 2 else [self.app, *parts])
+            self.out.node("django.task", task, parts[-1], node.lineno, referenced=True, scheduled=True)
+            self.out.residual(f"task {task} is scheduled by name", node.lineno)
 
     # classes: the first fitting kind counts
 
@@ -337,6 +348,12 @@ class Detector:
             task = self.home(dotted(node.func.value))
             target = self.out.node("django.task", task, task.split(".")[-1], None, broker=ENQUEUES[method], referenced=True)
             self.out.edge(self.owner(node), "enqueues", target, 0.9)
+        elif method in ("chain", "group", "chord") and node.args:
+            links = [a for arg in node.args for a in (arg.elts if isinstance(arg, (ast.List, ast.Tuple)) else [arg])]
+            for link in links:
+                if isinstance(link, ast.Call) and last(link.func) in ("s", "si", "signature") and isinstance(link.func, ast.Attribute) and dotted(link.func.value):
+                    task = self.home(dotted(link.func.value))
+                    self.out.edge(self.owner(node), "enqueues", self.out.node("django.task", task, task.split(".")[-1], None, broker="celery", referenced=True), 0.9)
         elif method == "send_task" and first:
             parts = [p for p in first.split(".") if p not in PACKAGE_DIRS]
             self.out.edge(self.owner(node), "enqueues", f"django.task:{'.'.join(parts[-2:])}", 0.7)

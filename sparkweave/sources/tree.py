@@ -34,8 +34,8 @@ class Manifest:
 
     @classmethod
     def parse(cls, text: str) -> Manifest:
-        """From JSON; keys that are missing mean none, ``rules`` the defaults."""
-        data = json.loads(text) if text.strip() else {}
+        """From JSON, or YAML where a parser is installed; keys that are missing mean none, ``rules`` the defaults."""
+        data = _load(text) or {}
         return cls(data.get("contexts") or [], data.get("rules"), data.get("waivers") or [])
 
     def write(self) -> str:
@@ -69,6 +69,37 @@ class Manifest:
         return spark.createDataFrame([(w["rule"], w.get("node")) for w in self.waivers], "rule string, node string")
 
 
+def _load(text: str) -> dict | None:
+    if not text.strip() or text.lstrip()[0] in "{[":
+        return json.loads(text) if text.strip() else None
+    try:
+        import yaml
+    except ImportError as e:
+        raise ValueError("the manifest isn't JSON, and no YAML parser is installed") from e
+    return yaml.safe_load(text)
+
+
+def find_manifest(start: str, names: tuple[str, ...] = ("sparkweave.json", "sparkweave.yml")) -> str | None:
+    """The manifest of the nearest directory upwards that has one."""
+    folder = os.path.abspath(start)
+    while True:
+        for name in names:
+            if os.path.isfile(f"{folder}/{name}"):
+                return f"{folder}/{name}"
+        if folder == (folder := os.path.dirname(folder)):
+            return None
+
+
+def write_draft(root: str, manifest: Manifest, overwrite: bool = False) -> bool:
+    """Whether it was written: an existing one stays unless told otherwise."""
+    path = os.path.join(root, "sparkweave.json")
+    if os.path.exists(path) and not overwrite:
+        return False
+    with open(path, "w", encoding="utf-8") as f:
+        f.write(manifest.write())
+    return True
+
+
 def draft_manifest(files: DataFrame) -> Manifest:
     """A context for each app that has models or views; one row an app comes to the driver."""
     apps = files.where(F.col("path").rlike(r"/(models|views)(/|\.py$)")).select(F.element_at(F.split(F.regexp_replace("path", r"/(models|views)(/.*|\.py)$", ""), "/"), -1).alias("app")).distinct()
@@ -125,6 +156,18 @@ def git_diff(spark: SparkSession, root: str, base: str, head: str | None = None,
     return rows.join(patches, "path", "left")
 
 
+def git_worktree_diff(spark: SparkSession, root: str) -> DataFrame:
+    """Like git_diff against HEAD, files that git doesn't know yet included as added."""
+    new = []
+    for path in _git(root, "ls-files", "--others", "--exclude-standard").splitlines():
+        with open(f"{root}/{path}", encoding="utf-8", errors="replace") as f:
+            lines = f.read().splitlines()
+        patch = f"diff --git a/{path} b/{path}\n--- /dev/null\n+++ b/{path}\n@@ -0,0 +1,{len(lines)} @@\n" + "\n".join("+" + x for x in lines)
+        new.append((path, "A", len(lines), 0, patch))
+    known = git_diff(spark, root, "HEAD")
+    return known.unionByName(spark.createDataFrame(new, "path string, status string, added int, deleted int, patch string"))
+
+
 def git_refs(spark: SparkSession, root: str, limit: int = 50) -> DataFrame:
     """kind, name, sha of branches and tags, the newest first."""
     rows = [line.split("\t") for line in _git(root, "for-each-ref", "--sort=-creatordate", f"--count={limit}", "--format=%(refname)%09%(objectname)", "refs/heads", "refs/tags").splitlines()]

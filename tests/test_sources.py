@@ -73,6 +73,7 @@ def test_review(spark, index):
     assert {"views_cannot_import_other_context_models", "serializers_are_the_only_published_contract", "celery_tasks_must_be_idempotent_on_model_pk", "queryset_nplusone"} <= found
     assert r.document["confidence"]["level"] == "low" and R.gate(r.document) == 2 and "public_contract" in r.document["kinds"]
     assert r.document["reviewers"][0] in ("people-team", "shop-team") and r.document["read_order"] == ["back/shop/serializers.py"]
+    assert R.html(r.document).count("<h2>") >= 3 and "passed=false" in R.gate_lines(r.document)
     assert R.markdown(r.document).startswith("# Confidence low") and r.document["checklist"][0]["status"] == "todo"
     docs = R.review(spark, index, spark.createDataFrame([("README.md", "+x")], "path string, patch string"), MANIFEST)
     assert docs.document["findings"] == [] and docs.document["confidence"]["level"] == "high"
@@ -91,6 +92,8 @@ def test_python_details():
     assert [(g[1], g[4]) for g in got] == [("f", 5), ("g", 2)]
     rows = list(python_source.extract("a/views.py", "class V(APIView):\n    def get(self):\n        qs = M.objects.select_related('r')\n        for x in qs:\n            x.r.n; x.many.all()\n"))
     extra = next(json.loads(r[9]) for r in rows if r[9] and "nplusone" in r[9])
+    rows = list(python_source.extract("a/views.py", "from b.tasks import one, two\ndef v(request):\n    chain(one.s(1), two.si()).apply_async()\nS = {'x': {'task': 'c.tasks.nightly', 'schedule': 5}}\n"))
+    assert {r[7] for r in rows if r[2] == "enqueues"} >= {"django.task:b.one", "django.task:b.two"} and "django.task:c.nightly" in {r[1] for r in rows}
     assert extra["nplusone"][0]["accessed"] == ["many"]
     assert [r[3] for r in python_source.extract("a/b.py", "class A(:")] == ["a/b.py can't be parsed: SyntaxError"]
 
@@ -128,6 +131,11 @@ def test_tree_and_git(spark, tmp_path):
     d = tree.git_diff(spark, root, "HEAD~1", "HEAD").collect()
     assert [(r["path"], r["status"], r["added"], r["deleted"]) for r in d] == [("a/x.py", "M", 2, 1)] and "+y = 3" in d[0]["patch"]
     (tmp_path / "r/a/x.py").write_text("x = 4\n")
+    (tmp_path / "r/new.py").write_text("n = 1\n")
+    w = {r["path"]: (r["status"], r["added"]) for r in tree.git_worktree_diff(spark, root).collect()}
+    assert w == {"a/x.py": ("M", 1), "new.py": ("A", 1), "node_modules/y.js": ("A", 1), ".hid/z.py": ("A", 1)}
+    assert tree.find_manifest(f"{root}/a") is None and tree.write_draft(root, MANIFEST) and not tree.write_draft(root, MANIFEST)
+    assert tree.find_manifest(f"{root}/a") == f"{root}/sparkweave.json"
     assert ids(tree.git_dirty(spark, root), "path") >= {"a/x.py"} and tree.git_refs(spark, root).count() == 1
     assert len(tree.resolve_range(root, "HEAD~1")) == 2
 
