@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkweave.llm import textvec
@@ -194,15 +194,87 @@ def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 2, id_col: str
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, size: int = 3, radius: int = 2) -> DataFrame:
+def sketches(docs: DataFrame, size: int, width: int) -> DataFrame:
+    """doc_id, n, sketch: distinct shingles of a text, and the ``width`` smallest of their hashes, sorted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in textvec.portions(batches):
+            counts, rows = [], []
+            for text in batch.column("text").cast(pa.binary()).to_pylist():
+                h = textvec.distinct(np.array(shingle_hashes(text or b"", size), U64))
+                counts.append(len(h))
+                rows.append(h[:width].astype("<u8").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(rows, pa.binary())], ["doc_id", "n", "sketch"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n bigint, sketch binary")
+
+
+def likeness(a: bytes, b: bytes, width: int) -> float:
+    """Jaccard similarity by two sketches: exact while both texts have no more shingles than a sketch holds."""
+    x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
+    both = np.sort(np.concatenate([x, y]))
+    shared = both[1:][both[1:] == both[:-1]]
+    least = textvec.distinct(both)[:width]
+    return float((shared <= least[-1]).sum()) / len(least) if len(least) else 1.0
+
+
+def similar(docs: DataFrame, size: int = 5, threshold: float = 0.8, width: int = 128, keys: int = 6) -> DataFrame:
+    """doc_id, root: rows whose texts are alike by word shingles have the same root.
+
+    Candidates share two of the ``keys`` smallest shingle hashes; each meets the smallest id and its
+    neighbour by id that hold the same two, and their sketches decide. Texts with one set of shingles are
+    one node before that.
+    """
+    spark, scratch = docs.sparkSession, shared_dir(docs.sparkSession)
+    rounds = iter(range(1 << 30))
+    rows = materialize(sketches(docs, size, width).withColumn("node", F.xxhash64("n", "sketch")), f"{scratch}/sketches")
+    nodes = materialize(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("sketch").alias("sketch")), f"{scratch}/nodes")
+    least = F.transform(F.sequence(F.lit(0), F.lit(keys - 1)), lambda i: F.substring("sketch", 1, 8 * keys).substr(i * 8 + 1, F.lit(8)))
+    least = F.filter(least, lambda x: F.octet_length(x) == 8)
+    pairs = F.flatten(F.transform(least, lambda x, i: F.transform(F.slice(least, i + 2, F.lit(keys)), lambda y: F.xxhash64(x, y))))
+    pairs = F.when(F.size(least) == 1, F.array(F.xxhash64(F.get(least, F.lit(0))))).otherwise(pairs)
+    keyed = nodes.select("node", "first", F.explode(pairs).alias("key"))
+    w = Window.partitionBy("key").orderBy("first", "node")
+    met = keyed.select("node", F.first("node").over(w).alias("rep"), F.lag("node").over(w).alias("before")).where("before is not null")
+    met = met.select("node", F.explode(F.array_distinct(F.array("rep", "before"))).alias("other")).where("node <> other").distinct()
+    both = met.join(nodes.select("node", F.col("sketch").alias("x")), "node").join(nodes.select(F.col("node").alias("other"), F.col("sketch").alias("y")), "other")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [likeness(x, y, width) >= threshold for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    alike = both.select(F.col("node").alias("a"), F.col("other").alias("b"), "x", "y").mapInArrow(run, "a bigint, b bigint")
+    found = connected_components(alike, lambda df: materialize(df, f"{scratch}/round{next(rounds)}"))
+    # named by the smallest id
+    members = nodes.join(found, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
+    named = members.groupBy("component").agg(F.min("first").alias("root"))
+    return rows.select("doc_id", "node").join(members.join(named, "component").select("node", "root"), "node").select("doc_id", "root")
+
+
+def united(classes: DataFrame, alike: DataFrame) -> DataFrame:
+    """doc_id, component_id of rows linked by either of doc_id, component_id and doc_id, root."""
+    scratch, rounds = shared_dir(classes.sparkSession), iter(range(1 << 30))
+    links_ = classes.select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")).unionByName(alike.select(F.col("doc_id").alias("a"), F.col("root").alias("b")))
+    found = connected_components(links_, lambda df: materialize(df, f"{scratch}/round{next(rounds)}"))
+    joined = classes.select("doc_id", "component_id").join(found.withColumnsRenamed({"node": "doc_id", "component": "_root"}), "doc_id", "left")
+    return joined.select("doc_id", F.coalesce("_root", "component_id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, size: int = 3, radius: int = 2, similarity: float | None = 0.8) -> DataFrame:
     """One row of each component, with all columns: one with the smallest doc_id.
 
+    Fingerprints within two bits miss most near copies, so texts whose five-word shingles are alike to
+    ``similarity`` (None: off) are linked besides: of such a group, too, only the smallest doc_id stays.
+
     Rows without an id can't be told apart: if some component holds only such rows, one of each
     fingerprint among them stays.
     Only ids travel for the choice, then texts once, by id.
     """
     spark = docs.sparkSession
     classes = near_duplicates(docs, size, radius)
+    if similarity is not None:
+        classes = united(classes, similar(docs, threshold=similarity))
     kept = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
     left = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("__kept")), "left_semi")
     # rows that share the kept id: the first by content

@@ -312,3 +312,26 @@ def test_one_row_of_each_component_stays(docs, rows):
         least[c] = min(least.get(c, i), i)
     assert set(least.values()) >= {i for i in got if i is not None and i not in (114, 115)}
     assert all(n == 1 for i, n in got.items() if i is not None)
+
+
+def test_similar_texts_are_linked(spark, docs, rows, empty):
+    import random
+
+    rng = random.Random(9)
+    more = []
+    for k in range(12):
+        words = [f"w{rng.randrange(400)}" for _ in range(150 + 40 * k)]
+        more.append((1000 + 10 * k, " ".join(words)))
+        for c in range(1, 4):  # J about 0.9
+            other = list(words)
+            other[rng.randrange(len(words))] = "changed"
+            more.append((1000 + 10 * k + c, " ".join(other)))
+        more.append((1000 + 10 * k + 9, " ".join(words[: len(words) // 2] + [f"v{rng.randrange(400)}" for _ in range(len(words) // 2)])))
+    table = spark.createDataFrame(rows + more, "doc_id bigint, text string")
+    got = {r["doc_id"]: r["root"] for r in simhash.similar(table).collect() if r["doc_id"] is not None}
+    for i, _ in more:
+        assert got[i] == (i if i % 10 == 9 else i - i % 10)
+    kept = {r["doc_id"] for r in simhash.keep_one(table).collect()}
+    assert {i for i, _ in more if i in kept} == {i for i, _ in more if i % 10 in (0, 9)}
+    assert simhash.similar(empty).count() == 0
+    assert simhash.likeness(b"", b"", 8) == 1.0
