@@ -18,5 +18,6 @@ QUERIES = {
 ORACLES = {
     "op3_topk": topk.OP3_SQL,
     "op6_decontamination": decontaminate.OP6_SQL,
+    "op7_substring": substring.OP7_SQL,
     "op9_url_filter": urlfilter.OP9_SQL,
 }
