@@ -141,3 +141,14 @@ def test_pipeline_stages(spark, tmp_path):
     assert kept[3][53].endswith(" [SECRET]") and kept[3][0] == rows[0][1]
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r["doc_id"] for r in out} == set(kept[3])
+
+
+def test_pipeline_stages_take_empty_and_odd_tables(spark, docs, empty, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(None, None)], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for k, (_, f) in enumerate(corpus_pipeline.STAGES):
+        assert f(spark, empty, str(tmp_path)).count() == 0
+        out = f(spark, docs, str(tmp_path))
+        assert out.count() > 0 and (k == 4 or out.columns == docs.columns)
