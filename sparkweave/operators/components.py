@@ -18,13 +18,14 @@ def connected_components(edges: DataFrame, cut: Callable[[DataFrame], DataFrame]
     """node, component (its smallest member) of all nodes that have an edge to another node.
 
     ``edges``: columns a, b of one ordered type, in any direction; nulls and loops don't count.
-    ``cut``: writes a DataFrame out and reads it again (a checkpoint), called once a round.
+    ``cut``: writes a DataFrame out and reads it again (a checkpoint), called twice a round.
     """
     e = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e, before = cut(e), None
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # written out, so that both sides of the join are plain shuffles and a hub's rows can be split
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
