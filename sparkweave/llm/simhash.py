@@ -13,6 +13,9 @@ compared in place while they are short; long runs are linked exactly through the
 fingerprints at distance two share, which takes time in proportion to the run. Only a spanning forest of
 each group's links leaves it. Components then come from alternating stars.
 
+``similar`` links texts by their five-word shingles instead, for copies with more edits than two bits stand
+for; ``keep_one`` takes both kinds of links.
+
 Defined cases: a null text is the empty text; texts without words have fingerprint zero and link like any
 other. Repeated rows share a fingerprint. Rows with a null id get a fingerprint, but do not name a
 component: theirs is null if no row of it has an id.
