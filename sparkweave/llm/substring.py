@@ -8,7 +8,7 @@ its windows, whether an earlier document holds it. A greedy parse then turns run
 factors: each goes on while the next window is indexed too. Windows that lie across the boundary of two
 entries belong to one of them, so none is missed there. Words covered by factors are the duplicate spans.
 
-Windows are compared by their hash within their anchor's group (64 and 32 bits). Before they travel, each task
+Windows are compared by their hash and their anchor's (64 bits each). Before they travel, each task
 settles the windows that its own documents share, so that of a passage in very many documents each task
 sends one. Texts travel once, at the end, to meet their factors.
 
@@ -106,7 +106,6 @@ class Windows:
         block = (anchor[at] % U64(self.blocks)).astype(np.int64)
         by_block = np.argsort(block, kind="stable")
         at, n, block = at[by_block], n[by_block], block[by_block]
-        sent = (h & U64(0xFFFFFFFF)).astype("<u4")
         where, count = runs(np.concatenate([[True], block[1:] != block[:-1]])) if len(block) else (np.zeros(0, np.int64),) * 2
         for i, (a, m) in enumerate(zip(where.tolist(), count.tolist())):
             own_at, own_n = at[a : a + m], n[a : a + m]
@@ -114,7 +113,7 @@ class Windows:
             doc_at, doc_n = runs(np.concatenate([[True], of[1:] != of[:-1]]))
             yield {
                 "block": int(block[a]), "ids": ids[of[doc_at]].tobytes(), "digests": digests[of[doc_at]].tobytes(), "entries": small(doc_n),
-                "anchors": anchor[own_at].tobytes(), "starts": small(start[own_at]), "sizes": small(own_n), "hashes": sent[_expand(own_at, own_n)].tobytes(),
+                "anchors": anchor[own_at].tobytes(), "starts": small(start[own_at]), "sizes": small(own_n), "hashes": h[_expand(own_at, own_n)].tobytes(),
                 "settled": settled if not i else b"",
             }
         if not len(where) and settled:
@@ -147,7 +146,7 @@ def _expand(at: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 def parse_block(rows: list[dict]) -> np.ndarray:
     """Runs of windows that a smaller id has too (dtype _SETTLED)."""
-    ids, digests, starts, sizes, keys = [], [], [], [], []
+    ids, digests, starts, sizes, anchors, keys = [], [], [], [], [], []
     for r in rows:
         entries = len(r["anchors"]) // 8
         per_doc = unsmall(r["entries"], len(r["ids"]) // 8)
@@ -155,11 +154,13 @@ def parse_block(rows: list[dict]) -> np.ndarray:
         digests.append(np.repeat(np.frombuffer(r["digests"], "<u4"), per_doc))
         starts.append(unsmall(r["starts"], entries))
         sizes.append(unsmall(r["sizes"], entries))
-        keys.append(textvec.mix(np.repeat(np.frombuffer(r["anchors"], "<u8"), sizes[-1])) + np.frombuffer(r["hashes"], "<u4") * textvec.BASE)
-    ids, digests, starts, sizes, keys = (np.concatenate(x) for x in (ids, digests, starts, sizes, keys))
+        anchors.append(np.repeat(np.frombuffer(r["anchors"], "<u8"), sizes[-1]))
+        keys.append(np.frombuffer(r["hashes"], "<u8"))
+    ids, digests, starts, sizes, anchors, keys = (np.concatenate(x) for x in (ids, digests, starts, sizes, anchors, keys))
     entry = np.repeat(np.arange(len(ids)), sizes)
-    order = np.argsort(keys, kind="stable")
-    at, n = runs(np.concatenate([[True], keys[order][1:] != keys[order][:-1]])) if len(keys) else (np.zeros(0, np.int64),) * 2
+    order = np.lexsort((anchors, keys))
+    keys, anchors = keys[order], anchors[order]
+    at, n = runs(np.concatenate([[True], (keys[1:] != keys[:-1]) | (anchors[1:] != anchors[:-1])])) if len(keys) else (np.zeros(0, np.int64),) * 2
     first = np.empty(len(keys), np.int64)
     if len(keys):
         first[order] = np.repeat(np.minimum.reduceat(ids[entry[order]], at), n)

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from sparkweave.llm import langid, packing, secrets, simhash, substring, topk, toxicity, urlfilter
+from sparkweave.llm import langid, packing, secrets, simhash, substring, textvec, topk, toxicity, urlfilter
 
 
 def key(row):
@@ -335,3 +335,21 @@ def test_similar_texts_are_linked(spark, docs, rows, empty):
     assert {i for i, _ in more if i in kept} == {i for i, _ in more if i % 10 in (0, 9)}
     assert simhash.similar(empty).count() == 0
     assert simhash.likeness(b"", b"", 8) == 1.0
+
+
+def test_windows_that_share_half_their_hash_differ(monkeypatch):
+    real = textvec.Words.windows
+
+    def windows(self, n):
+        h, whole = real(self, n)
+        # only the high half tells windows apart; all have one anchor
+        return (h & np.uint64(0xFFFFFFFF00000000) if n == 13 else np.zeros_like(h)), whole
+
+    monkeypatch.setattr(textvec.Words, "windows", windows)
+    rows = []
+    for i, text in enumerate([" ".join(f"a{k}" for k in range(20)), " ".join(f"b{k}" for k in range(20)), " ".join(f"a{k}" for k in range(3, 18))]):
+        held = substring.Windows(13, 4, 1)
+        held.add([i], [text.encode()], [i])
+        rows += list(held.flush())
+    found = substring.parse_block(rows)
+    assert [(r["id"], r["start"], r["n"]) for r in found] == [(2, 0, 3)]
