@@ -23,6 +23,7 @@ component: theirs is null if no row of it has an id.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -197,23 +198,140 @@ def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 2, id_col: str
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-def sketches(docs: DataFrame, size: int, width: int) -> DataFrame:
-    """doc_id, n, sketch: distinct shingles of a text, and the ``width`` smallest of their hashes, sorted."""
+def shingle_set(text: bytes | None, size: int) -> np.ndarray:
+    """Distinct shingle hashes, sorted."""
+    return textvec.distinct(np.array(shingle_hashes(text or b"", size), U64))
+
+
+def set_id(h: np.ndarray) -> int:
+    """Name of a set of shingles (signed 64 bits)."""
+    return xxhash.xxh64_intdigest(h.tobytes(), 5) - (1 << 63)
+
+
+def least_shared(n: int, threshold: float) -> int:
+    """Shingles that a text with n of them has in common with any text alike to it; such a text has so many itself, too."""
+    return math.ceil(threshold * n - 1e-9)
+
+
+def more_shared(n: int) -> int:
+    """How many shared shingles the longer heads of ``heads`` promise."""
+    return n // 5 + 1
+
+
+def heads(docs: DataFrame, size: int, threshold: float) -> DataFrame:
+    """doc_id, node, n, head: a text's set of shingles, how many, and so many of its smallest hashes (sorted)
+    that two alike texts have ``more_shared`` (of the smaller n) in both heads.
+
+    Of n hashes at most n - least_shared are not in the other text. Of the two heads the one that ends
+    first has more_shared hashes of the other text, all of them within the other head.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in textvec.portions(batches):
+            nodes, counts, rows = [], [], []
+            for text in batch.column("text").cast(pa.binary()).to_pylist():
+                h = shingle_set(text, size)
+                n = len(h)
+                nodes.append(set_id(h))
+                counts.append(n)
+                rows.append(h[: n - least_shared(n, threshold) + more_shared(n)].astype("<u8").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(counts, pa.int64()), pa.array(rows, pa.binary())], ["doc_id", "node", "n", "head"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, node bigint, n bigint, head binary")
+
+
+def shared_in_heads(rows: DataFrame, blocks: int, at_once: int = 1_000_000) -> DataFrame:
+    """node, shared: how many hashes of a node's head other nodes' heads have too (nodes without any are left out)."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def send() -> pa.RecordBatch:
+            h = np.concatenate([np.zeros(0, U64), *parts])
+            node = np.repeat(np.array(owners, np.int64), np.fromiter(map(len, parts), np.int64, len(parts)))
+            block = (textvec.mix(h) % U64(blocks)).astype(np.int64)
+            order = np.argsort(block, kind="stable")
+            h, node, block = h[order], node[order], block[order]
+            at = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])) if len(h) else np.zeros(0, np.int64)
+            ends = np.append(at[1:], len(h))
+            data = [pa.array(block[at], pa.int32()), *(pa.array([x[i:j].tobytes() for i, j in zip(at, ends)], pa.binary()) for x in (h, node))]
+            return pa.RecordBatch.from_arrays(data, ["block", "hashes", "nodes"])
+
+        parts, owners, held = [], [], 0
+        for batch in batches:
+            for node, head in zip(batch.column("node").to_pylist(), batch.column("head").to_pylist(), strict=True):
+                parts.append(np.frombuffer(head, "<u8"))
+                owners.append(node)
+                held += len(parts[-1])
+                if held >= at_once:
+                    yield send()
+                    parts, owners, held = [], [], 0
+        yield send()
+
+    def count(group: pa.Table) -> pa.Table:
+        h, node = (np.concatenate([np.frombuffer(x, kind) for x in group.column(name).to_pylist()]) for name, kind in (("hashes", "<u8"), ("nodes", "<i8")))
+        order = np.lexsort((node, h))
+        h, node = h[order], node[order]
+        once = np.concatenate([[True], (h[1:] != h[:-1]) | (node[1:] != node[:-1])])
+        h, node = h[once], node[once]
+        same = h[1:] == h[:-1]
+        own, n = np.unique(node[np.concatenate([[False], same]) | np.concatenate([same, [False]])], return_counts=True)
+        return pa.table({"node": pa.array(own, pa.int64()), "c": pa.array(n, pa.int64())})
+
+    dealt = rows.select("node", "head").mapInArrow(deal, "block int, hashes binary, nodes binary")
+    return dealt.groupBy("block").applyInArrow(count, "node bigint, c bigint").groupBy("node").agg(F.sum("c").alias("shared"))
+
+
+def node_filter(nodes: DataFrame, most_bits: int = 26) -> np.ndarray:
+    """Bits (in 64-bit words, a power of two of them) set for all nodes and some others; of bounded size."""
+    bits = min(most_bits, max(10, (16 * nodes.count()).bit_length()))
+    place = F.col("node").bitwiseAND(F.lit((1 << bits) - 1).cast("bigint"))
+    words = nodes.select(F.shiftright(place, 6).cast("int").alias("at"), F.expr("shiftleft(1L, cast(node & 63 as int))").alias("bit")).groupBy("at").agg(F.expr("bit_or(bit)").alias("word")).toArrow()
+    out = np.zeros(1 << bits - 6, np.int64)
+    out[words.column("at").to_numpy()] = words.column("word").to_numpy()
+    return out
+
+
+def shingle_sets(docs: DataFrame, size: int, wanted: np.ndarray) -> DataFrame:
+    """node, n, hashes of the texts whose node is in the filter ``wanted``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mask = len(wanted) * 64 - 1
         for batch in textvec.portions(batches):
-            counts, rows = [], []
+            found = []
             for text in batch.column("text").cast(pa.binary()).to_pylist():
-                h = textvec.distinct(np.array(shingle_hashes(text or b"", size), U64))
-                counts.append(len(h))
-                rows.append(h[:width].astype("<u8").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(rows, pa.binary())], ["doc_id", "n", "sketch"])
+                h = shingle_set(text, size)
+                node = set_id(h)
+                if int(wanted[(node & mask) >> 6]) >> (node & 63) & 1:
+                    found.append((node, len(h), h.astype("<u8").tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), kind) for x, kind in zip(zip(*found) if found else ((), (), ()), (pa.int64(), pa.int64(), pa.binary()))], ["node", "n", "hashes"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n bigint, sketch binary")
+    return docs.select("text").mapInArrow(run, "node bigint, n bigint, hashes binary")
 
 
-def likeness(a: bytes, b: bytes, width: int) -> float:
-    """Jaccard similarity by two sketches: exact while both texts have no more shingles than a sketch holds."""
+def keys_of(sets: DataFrame, threshold: float) -> DataFrame:
+    """node, n, token, place: the shingles by which nodes find all nodes alike to them.
+
+    Shingles stand in one order for all, rarest first. Of two alike texts both have a common shingle among
+    the first n - least_shared + 1; the ones of a single text find nothing and are left out. place: how
+    many of the text's shingles stand before it.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in textvec.portions(batches, 64):
+            lists = [np.frombuffer(x, "<i8") for x in batch.column("hashes").to_pylist()]
+            sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+            own = [np.repeat(batch.column(c).to_numpy(), sizes) for c in ("node", "n")]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, own), pa.array(np.concatenate([np.zeros(0, np.int64), *lists]))], ["node", "n", "token"])
+
+    tokens = sets.mapInArrow(run, "node bigint, n bigint, token bigint")
+    common = tokens.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
+    held = tokens.join(common, "token").groupBy("node").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("c", "token"))).alias("held"))
+    first = F.size("held") - F.ceil(F.lit(threshold) * F.col("n") - F.lit(1e-9)).cast("int") + 1
+    held = held.withColumn("first", first).where("first > 0")
+    return held.select("node", "n", F.size("held").alias("m"), F.posexplode(F.slice("held", F.lit(1), F.col("first")))).select("node", "n", F.col("col.token").alias("token"), (F.col("n") - F.col("m") + F.col("pos")).alias("place"))
+
+
+def likeness(a: bytes, b: bytes, width: int | None = None) -> float:
+    """Jaccard similarity of two sorted sets of hashes; ``width``: estimated by so many of the smallest."""
     x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
     both = np.sort(np.concatenate([x, y]))
     shared = both[1:][both[1:] == both[:-1]]
@@ -221,34 +339,52 @@ def likeness(a: bytes, b: bytes, width: int) -> float:
     return float((shared <= least[-1]).sum()) / len(least) if len(least) else 1.0
 
 
-def similar(docs: DataFrame, size: int = 5, threshold: float = 0.8, width: int = 128, keys: int = 6) -> DataFrame:
-    """doc_id, root: rows whose texts are alike by word shingles have the same root.
-
-    Candidates share two of the ``keys`` smallest shingle hashes; each meets the smallest id and its
-    neighbour by id that hold the same two, and their sketches decide. Texts with one set of shingles are
-    one node before that.
-    """
-    spark, scratch = docs.sparkSession, shared_dir(docs.sparkSession)
-    rounds = iter(range(1 << 30))
-    rows = materialize(sketches(docs, size, width).withColumn("node", F.xxhash64("n", "sketch")), f"{scratch}/sketches")
-    nodes = materialize(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("sketch").alias("sketch")), f"{scratch}/nodes")
-    least = F.transform(F.sequence(F.lit(0), F.lit(keys - 1)), lambda i: F.substring("sketch", 1, 8 * keys).substr(i * 8 + 1, F.lit(8)))
-    least = F.filter(least, lambda x: F.octet_length(x) == 8)
-    pairs = F.flatten(F.transform(least, lambda x, i: F.transform(F.slice(least, i + 2, F.lit(keys)), lambda y: F.xxhash64(x, y))))
-    pairs = F.when(F.size(least) == 1, F.array(F.xxhash64(F.get(least, F.lit(0))))).otherwise(pairs)
-    keyed = nodes.select("node", "first", F.explode(pairs).alias("key"))
-    w = Window.partitionBy("key").orderBy("first", "node")
-    met = keyed.select("node", F.first("node").over(w).alias("rep"), F.lag("node").over(w).alias("before")).where("before is not null")
-    met = met.select("node", F.explode(F.array_distinct(F.array("rep", "before"))).alias("other")).where("node <> other").distinct()
-    both = met.join(nodes.select("node", F.col("sketch").alias("x")), "node").join(nodes.select(F.col("node").alias("other"), F.col("sketch").alias("y")), "other")
+def alike(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The pairs a, b whose whole sets have at least this Jaccard similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [likeness(x, y, width) >= threshold for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
+            keep = [likeness(x, y) >= threshold for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    alike = both.select(F.col("node").alias("a"), F.col("other").alias("b"), "x", "y").mapInArrow(run, "a bigint, b bigint")
-    found = connected_components(alike, lambda df: materialize(df, f"{scratch}/round{next(rounds)}"))
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+
+
+def similar(docs: DataFrame, size: int = 5, threshold: float = 0.8, block_bytes: int = 16 << 20) -> DataFrame:
+    """doc_id, root: rows whose texts are alike by word shingles (Jaccard similarity ``threshold``), directly
+    or over others, have the same root.
+
+    Exact but for equal 64-bit hashes. Texts with one set of shingles are one node. Nodes with too few
+    shared shingles drop out; the others meet under their rarest ones (``keys_of``): first only the
+    smallest and the next node of each key, which links large groups of copies in one row a node and key; then
+    all pairs of a key that these links have not connected and that sizes and places allow. Whole sets decide.
+    """
+    spark, scratch = docs.sparkSession, shared_dir(docs.sparkSession)
+    rounds = iter(range(1 << 30))
+
+    def cut(df: DataFrame) -> DataFrame:
+        return materialize(df, f"{scratch}/round{next(rounds)}")
+
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // block_bytes))
+    rows = materialize(heads(docs, size, threshold), f"{scratch}/heads")
+    nodes = materialize(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("n").alias("n")), f"{scratch}/nodes")
+    # the smaller of two alike texts has at least least_shared(n) shingles
+    promised = F.floor(F.ceil(F.lit(threshold) * F.col("n") - F.lit(1e-9)) / 5) + 1
+    left = materialize(nodes.join(shared_in_heads(rows, blocks), "node").where(F.col("shared") >= promised).select("node"), f"{scratch}/left")
+    sets = materialize(shingle_sets(docs, size, node_filter(left)).groupBy("node").agg(F.first("n").alias("n"), F.first("hashes").alias("hashes")), f"{scratch}/sets")
+    keyed = materialize(keys_of(sets, threshold), f"{scratch}/keys")
+    w = Window.partitionBy("token").orderBy("node")
+    met = keyed.select("node", F.first("node").over(w).alias("rep"), F.lag("node").over(w).alias("before")).where("before is not null")
+    met = met.select(F.col("node").alias("a"), F.explode(F.array_distinct(F.array("rep", "before"))).alias("b")).where("a <> b").distinct()
+    linked = cut(connected_components(cut(alike(met, sets, threshold)), cut))
+    keyed = keyed.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    x, y = (keyed.select("token", *(F.col(c).alias(side + c) for c in ("node", "n", "place", "component"))) for side in "xy")
+    needed = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("xn") + F.col("yn")) - F.lit(1e-9))
+    possible = (F.col("xnode") < F.col("ynode")) & (F.col("xcomponent") != F.col("ycomponent")) & (F.least(F.col("xn") - F.col("xplace"), F.col("yn") - F.col("yplace")) >= needed)
+    rest = x.join(y, "token").where(possible).select(F.col("xnode").alias("a"), F.col("ynode").alias("b")).distinct()
+    found = connected_components(alike(rest, sets, threshold).unionByName(linked.select(F.col("node").alias("a"), F.col("component").alias("b"))), cut)
     # named by the smallest id
     members = nodes.join(found, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
     named = members.groupBy("component").agg(F.min("first").alias("root"))

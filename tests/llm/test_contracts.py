@@ -353,3 +353,35 @@ def test_windows_that_share_half_their_hash_differ(monkeypatch):
         rows += list(held.flush())
     found = substring.parse_block(rows)
     assert [(r["id"], r["start"], r["n"]) for r in found] == [(2, 0, 3)]
+
+
+def test_all_alike_texts_are_linked_under_a_shared_passage(spark):
+    """A passage of thousands of texts supplies most of their shingles: held against all pairs."""
+    import random
+
+    rng = random.Random(4)
+    passage = [f"p{i}" for i in range(204)]
+    rows = []
+    for i in range(3000):
+        rows.append((i, passage + [f"d{i}x{k}" for k in range(50)]))
+    for i in range(0, 200):  # near copies (J about 0.96), far away by id
+        rows.append((9000 - i, rows[7 * i][1][:-5] + ["changed"] * 5))
+    for i in range(120):  # close to the threshold on both sides, more shingles than a sketch holds
+        own = [f"e{rng.randrange(10**9)}" for _ in range(504)]
+        other = own[: 504 - 50 - i % 12]
+        rows += [(20000 + 2 * i, own), (20001 + 2 * i, other + [f"f{rng.randrange(10**9)}" for _ in range(504 - len(other))])]
+    sets = [frozenset(xxhash.xxh64_intdigest(" ".join(w[k : k + 5]), 42) for k in range(len(w) - 4)) for _, w in rows]
+    # any two texts with the passage and different own words are at 0.67; only planted pairs can link
+    want = {i: i for i, _ in rows}
+    at = {i: s for (i, _), s in zip(rows, sets)}
+    linked = 0
+    for a, b in [(9000 - i, 7 * i) for i in range(200)] + [(20000 + 2 * i, 20001 + 2 * i) for i in range(120)]:
+        if len(at[a] & at[b]) / len(at[a] | at[b]) >= 0.8:
+            want[max(a, b)] = min(a, b)
+            linked += 1
+    assert 200 < linked < 320
+    for i in range(0, 3000, 500):
+        assert all(len(sets[i] & s) / len(sets[i] | s) < 0.8 for (j, _), s in zip(rows, sets) if want[i] != want[j])
+    table = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id bigint, text string").repartition(4)
+    got = {r["doc_id"]: r["root"] for r in simhash.similar(table).collect()}
+    assert got == want
