@@ -83,7 +83,7 @@ def index_tree(files: DataFrame, manifest: Manifest | None = None, operations: D
 
 
 def reindex(old: Index, files: DataFrame, manifest: Manifest | None = None) -> Index:
-    """The index after a change: files whose hash is known keep their rows, the others are read again."""
+    """The index after a change: the old one if no file changed, else all files are read again."""
     changed = files.join(old.files.select("path", "hash"), "path", "left").where(F.col("hash").isNull() | (F.sha2(F.col("content").cast("binary"), 256) != F.col("hash"))).drop("hash")
     if changed.isEmpty() and old.files.join(files.select("path"), "path", "left_anti").isEmpty():
         return old
