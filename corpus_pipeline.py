@@ -2,7 +2,7 @@
 
 1. quality classifier: documents whose chance of a grade above the lowest is under one half go;
 2. SimHash near-dedup: one document of each group of near copies stays (copies beyond the fingerprints'
-   radius are linked by sketches of their shingles);
+   radius are linked by their sets of shingles);
 3. benchmark decontamination: documents that contain an item of the benchmark go;
 4. secret scans: secrets are masked in the texts;
 5. best-fit packing: the documents' tokens are packed into sequences.
