@@ -8,20 +8,45 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def shared_root(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; only a session on one machine that leaves it unset gets a temporary folder, set once."""
+    root = spark.conf.get("spark.checkpoint.dir", "")
+    if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="sparkweave-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return root.rstrip("/")
+
+
 class Scratch:
-    """A new folder under ``spark.checkpoint.dir`` (a temporary one where unset), deleted when the JVM ends."""
+    """A new folder under ``spark.checkpoint.dir``, deleted when the JVM ends; tables can go earlier by ``drop``."""
 
     def __init__(self, spark: SparkSession):
-        root = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="sparkweave-")
-        self.path, self.made = f"{root.rstrip('/')}/sparkweave-{uuid.uuid4().hex}", 0
-        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.spark, self.made, self.paths = spark, 0, {}
+        self.path = f"{shared_root(spark)}/sparkweave-{uuid.uuid4().hex}"
+        folder, fs = self._at(self.path)
         fs.mkdirs(folder)
         fs.deleteOnExit(folder)
 
+    def _at(self, path: str):
+        folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return folder, folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
     def cut(self, df: DataFrame) -> DataFrame:
         """``df`` written out and read again."""
         self.made += 1
         path = f"{self.path}/{self.made}"
         df.write.parquet(path)
-        return df.sparkSession.read.schema(df.schema).parquet(path)
+        out = df.sparkSession.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (out, path)
+        return out
+
+    __call__ = cut
+
+    def drop(self, df: DataFrame) -> None:
+        """Delete the table that ``cut`` returned as ``df``; nothing may read it afterwards."""
+        if id(df) in self.paths:
+            folder, fs = self._at(self.paths.pop(id(df))[1])
+            fs.delete(folder, True)

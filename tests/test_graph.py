@@ -65,7 +65,7 @@ def test_cycles_end_and_paths_are_isolated(spark):
 
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(60)] + [(1000, 1000 + i) for i in range(1, 200)] + [(5000, 5000), (None, 3)]
-    got = {(r["node"], r["component"]) for r in connected_components(spark.createDataFrame(edges, "a int, b int"), Scratch(spark).cut).collect()}
+    got = {(r["node"], r["component"]) for r in connected_components(spark.createDataFrame(edges, "a int, b int"), Scratch(spark)).collect()}
     assert got == {(i, 0) for i in range(61)} | {(1000 + i, 1000) for i in range(200)}
 
 
