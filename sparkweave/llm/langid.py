@@ -9,17 +9,20 @@ of all of them is the score.
 An n-gram belongs to a language if the share of the language's documents that hold it is at least
 ``least_ratio`` of the greatest such share: words borrowed now and then don't enter a filter.
 
-Fitted on a bounded sample of labelled rows (``max_train_rows``, chosen by a hash of doc_id).
-
-Defined cases: a null text, or one without a letter, is ``und`` with score 0. A text none of whose n-grams
-is known, and ties, go to the language with most documents, then the smaller name. Without labelled rows
-every text is ``und``. Repeated rows and null ids are judged row by row; a null id is not held out.
+Fitted on a bounded sample of labelled rows (``max_train_rows``, chosen by a hash of doc_id; of each
+language a tenth of an even share at least, if it has so many).
+
+Defined cases: a null text, or one without a letter, is ``und`` with score 0; a very long text is read whole.
+A text none of whose n-grams is known, and ties, go to the language with most documents, then the smaller
+name. Without labelled rows every text is ``und``. Repeated rows and null ids are judged row by row; a null
+id is not held out. An empty table gives no rows. Columns other than id, text and language are not read, so
+clashing names do no harm.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
@@ -27,21 +30,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkweave.llm import textvec
-from sparkweave.llm.common import pick, table
+from sparkweave.llm.common import pick, sampled, table
 
 SIZES = (3, 4)
 _STEPS = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F], np.uint32)
 
 
-def letters() -> np.ndarray:
-    """For each code point: whether it is a letter."""
-    return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
+class Letters:
+    """Whether code points are letters; the table grows with the greatest code point asked for."""
+
+    def __init__(self):
+        self.table = np.zeros(0, bool)
+
+    def __call__(self, codes: np.ndarray) -> np.ndarray:
+        top = int(codes.max(initial=0)) + 1
+        if top > len(self.table):
+            size = min(0x110000, 1 << max(12, top.bit_length()))
+            self.table = np.fromiter((chr(i).isalpha() for i in range(size)), bool, size)
+        return self.table[codes]
 
 
-def letter_text(texts: list[str], is_letter: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def letter_text(texts: list[str], is_letter: Letters) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Lower-cased letters with one space between words and around each text; starts; whether there is a letter."""
     codes, starts = textvec.code_points([f" {t.lower()} " for t in texts])
-    letter = is_letter[codes]
+    letter = is_letter(codes)
     space = ~letter
     keep = letter | np.concatenate([[True], letter[:-1]])  # the first of several spaces
     keep[starts[:-1]] = True
@@ -101,15 +113,18 @@ def _cell(h: np.ndarray, j: int, bits: int) -> np.ndarray:
     return (h * _STEPS[j]) >> np.uint32(32 - bits)
 
 
-def fit(docs: DataFrame, max_train_rows: int = 6000, least_ratio: float = 0.5, least_docs: int = 2, bits: int = 20, hashes: int = 3) -> LanguageFilters:
-    """From text, lang (not null) and doc_id."""
+def fit(docs: DataFrame, max_train_rows: int = 6000, least_ratio: float = 0.5, least_docs: int = 2, bits: int = 20, hashes: int = 3, tasks: int = 8) -> LanguageFilters:
+    """From text, lang (not null) and doc_id. The sample goes to ``tasks`` tasks, each of which sends a row a language."""
     counts = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().collect()}
-    share = max_train_rows / max(1, sum(counts.values()))
-    if share < 1:
-        docs = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 20)) < int(share * (1 << 20)))
+    total = sum(counts.values())
+    if total > max_train_rows:
+        least, wanted = max(1, max_train_rows // (10 * len(counts))), F.lit(False)
+        for lang, n in counts.items():
+            wanted = wanted | ((F.col("lang") == lang) & sampled(F.col("doc_id"), max(max_train_rows * n // total, min(n, least)), n))
+        docs = docs.where(wanted)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        is_letter = letters()
+        is_letter = Letters()
         seen: dict[str, list[np.ndarray]] = {}
         docs_of: dict[str, int] = {}
         for batch in textvec.portions(batches):
@@ -124,8 +139,10 @@ def fit(docs: DataFrame, max_train_rows: int = 6000, least_ratio: float = 0.5, l
             counts = np.diff(np.append(at, len(every))).astype("<u4")
             yield pa.RecordBatch.from_pydict({"lang": [lang], "docs": [docs_of[lang]], "grams": [every[at].astype("<u4").tobytes()], "counts": [counts.tobytes()]})
 
-    rows = docs.select("text", "lang").mapInArrow(count, "lang string, docs bigint, grams binary, counts binary").collect()
+    rows = docs.select("text", "lang").repartition(tasks).mapInArrow(count, "lang string, docs bigint, grams binary, counts binary").collect()
     languages = sorted({r["lang"] for r in rows})
+    if counts and not languages:
+        raise ValueError(f"none of {total} rows with a language was drawn")
     documents = np.array([sum(r["docs"] for r in rows if r["lang"] == x) for x in languages], float)
     all_grams = textvec.distinct(np.concatenate([np.zeros(0, "<u4"), *(np.frombuffer(r["grams"], "<u4") for r in rows)]))
     held = np.zeros((len(languages), len(all_grams)))
@@ -144,10 +161,12 @@ def identify_language(docs: DataFrame, held_out: F.Column | None = None, max_tra
     """doc_id, held_out, lang_pred, score of every row; rows where ``held_out`` is true teach nothing."""
     docs = pick(docs, doc_id=id_col, text=text_col, lang=lang_col)
     aside = F.lit(False) if held_out is None else F.coalesce(held_out, F.lit(False))
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~aside), max_train_rows))
+    filters = fit(docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~aside), max_train_rows)
+    # plain values travel, so that reading them needs no class of this package
+    model = docs.sparkSession.sparkContext.broadcast(tuple(getattr(filters, f.name) for f in fields(filters)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filters, is_letter = model.value, letters()
+        filters, is_letter = LanguageFilters(*model.value), Letters()
         for batch in textvec.portions(batches):
             names, scores = [], []
             for _, group in textvec.groups([t or "" for t in batch.column("text").to_pylist()]):

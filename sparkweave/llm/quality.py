@@ -9,9 +9,11 @@ words themselves, each with the square root of its share of the text's words as
 bounded sample of labelled rows (``max_train_rows``, chosen by a hash of doc_id).
 
 Defined cases: a null text, or one without words, has no feature and gets the thresholds' own
-probabilities. Rows with a null grade teach nothing. Without labelled rows, or with one grade only, every
-text gets the highest tail probability that the rows support (1 if there are none), so nothing is dropped.
-Repeated rows and ties are judged one by one; null ids are kept.
+probabilities. A very long text is read whole; its arrays are the only ones that grow with it. Rows with a
+null grade teach nothing. Without labelled rows, or with one grade only, every text gets the highest tail
+probability that the rows support (1 if there are none), so nothing is dropped. Repeated rows and ties are
+judged one by one; null ids are kept. An empty table gives no rows. Only the id and the text are read, under
+names of their own; ``select_quality`` hands all other columns on, whatever they are called.
 """
 
 from __future__ import annotations
@@ -147,7 +149,7 @@ def ratings(labels: DataFrame) -> DataFrame:
 
 def fit_ratings(docs: DataFrame, graded: DataFrame, grades: int = 3, max_train_rows: int = 8000) -> tuple[np.ndarray, np.ndarray]:
     graded = graded.where(F.col("grade").between(0, grades - 1))
-    return fit(labelled_sample(docs.select("doc_id", "text"), graded, max_train_rows).select("text", "grade"), grades)
+    return fit(labelled_sample(docs.select("doc_id", "text"), graded, max_train_rows, "grade").select("text", "grade"), grades)
 
 
 def rate_quality(docs: DataFrame, graded: DataFrame, grades: int = 3, max_train_rows: int = 8000, at_least: int = 1, least_tail: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,13 +1,14 @@
 """Secret scans over an incremental ledger of blobs.
 
 Every version of a text is a *blob*, addressed by the SHA-256 of its content. A ledger table records
-which rules, by version, have scanned which blob and what they found. ``update`` scans only pairs of
-blob and rule version that the ledger lacks; ``findings`` joins what the ledger has back to all paths
-(rows) that hold the blob.
-
-Defined cases: a null text is the empty text. Rows with equal texts share one scan, whatever their id,
-a null id included. Repeated rows each get their findings. An empty table gives no rows. Columns other
-than the id and the text are ignored.
+which rules, by version, have scanned which blob and what each version found. ``update`` scans only pairs
+of blob and rule version that the ledger lacks; ``findings`` joins what the current versions found, and
+nothing that others did, back to all paths (rows) that hold the blob.
+
+Defined cases: a null text is the empty text; a very long text is scanned whole. Rows with equal texts share
+one scan, whatever their id, a null id included. Repeated rows each get their findings. Spans with one start
+stand in the order of the rules. An empty table gives no rows. Columns other than the id and the text are not
+read by a scan; masking hands them on, whatever they are called.
 """
 
 from __future__ import annotations
@@ -60,17 +61,20 @@ BASE_RULES = (
 )
 #: What the ledger looks for besides: key blocks, signed web tokens and prefixed service tokens.
 MORE_RULES = (
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 20, hints=("-----BEGIN ",)),
+    # through the END line; without one, through the lines of the key
+    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:(?!-----)[\s\S])*-----END [A-Z ]*PRIVATE KEY-----|(?:\s*[A-Za-z0-9+/=]{16,})*)", 20, hints=("-----BEGIN ",), revision=2),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 30, hints=("eyJ",)),
     Rule("prefixed", r"(?:ghp|gho|ghs|glpat|sk_live|xoxb|xoxp)[_-][A-Za-z0-9-]{16,}", 20, hints=("ghp_", "gho_", "ghs_", "glpat-", "sk_live", "xoxb", "xoxp")),
 )
 SPANS = "array<struct<start:bigint,rank:int,kind:string,end:bigint>>"
+#: What the ledger keeps of a span.
+FOUND = "array<struct<start:bigint,end:bigint,kind:string,version:string>>"
+LEDGER = f"blob binary, versions array<string>, spans {FOUND}"
 
 
-def scan_text(text: str, rules: list[tuple[int, Rule, re.Pattern]]) -> list[dict]:
-    """Spans of all rules in a whole text, by start and then by the rules' order."""
-    found = [(a, rank, rule.kind, b) for rank, rule, compiled in rules for a, b in rule.find(compiled, text)]
-    return [dict(zip(("start", "rank", "kind", "end"), x, strict=True)) for x in sorted(found)]
+def scan_text(text: str, rules: list[tuple[Rule, re.Pattern]]) -> list[dict]:
+    """Spans of all rules in a whole text."""
+    return [{"start": a, "end": b, "kind": rule.kind, "version": rule.version} for rule, compiled in rules for a, b in rule.find(compiled, text)]
 
 
 def _compiled(rule: Rule) -> re.Pattern:
@@ -81,8 +85,8 @@ def _compiled(rule: Rule) -> re.Pattern:
 
 def _scanner(rules: tuple[Rule, ...]):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ready = {rule.version: (rank, rule, _compiled(rule)) for rank, rule in enumerate(rules)}
-        kind = pa.list_(pa.struct([("start", pa.int64()), ("rank", pa.int32()), ("kind", pa.string()), ("end", pa.int64())]))
+        ready = {rule.version: (rule, _compiled(rule)) for rule in rules}
+        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string()), ("version", pa.string())]))
         for batch in textvec.portions(batches):
             todo = batch.column("versions").to_pylist()
             spans = [scan_text(text.as_py(), [ready[v] for v in versions]) for text, versions in zip(batch.column("text"), todo, strict=True)]
@@ -99,7 +103,7 @@ class BlobLedger:
 
     def seen(self) -> DataFrame | None:
         try:
-            return self.spark.read.schema(f"blob binary, versions array<string>, spans {SPANS}").parquet(f"{self.path}/ledger")
+            return self.spark.read.schema(LEDGER).parquet(f"{self.path}/ledger")
         except AnalysisException:
             return None
 
@@ -124,19 +128,23 @@ class BlobLedger:
         todo = todo.select("elected", F.col("blob").alias("of"), "versions")
         texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), _address().alias("blob"))
         texts = texts.join(todo, (F.col("blob") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("elected")))
-        scanned = texts.select("blob", "text", "versions").mapInArrow(_scanner(self.rules), f"blob binary, versions array<string>, spans {SPANS}")
+        scanned = texts.select("blob", "text", "versions").mapInArrow(_scanner(self.rules), LEDGER)
         # a row may be there more than once
         scanned.groupBy("blob").agg(F.first("versions").alias("versions"), F.first("spans").alias("spans")).write.mode("append").parquet(f"{self.path}/ledger")
 
+    def current(self) -> DataFrame:
+        """blob, spans (by start, then by the rules' order) of the blobs in which current rule versions found something."""
+        versions = [r.version for r in self.rules]
+        rank = F.create_map(*(x for i, v in enumerate(versions) for x in (F.lit(v), F.lit(i))))
+        found = self.seen().select("blob", F.filter("spans", lambda s: s["version"].isin(versions)).alias("spans")).where(F.size("spans") > 0)
+        found = found.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
+        shown = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), rank[s["version"]].alias("rank"), s["kind"].alias("kind"), s["end"].alias("end")))
+        return found.select("blob", F.array_sort(shown).alias("spans"))
+
     def findings(self, paths: DataFrame) -> DataFrame:
-        """doc_id, blob, spans of every path, by what the ledger has for the current rules."""
-        current = F.array(*(F.lit(r.version) for r in self.rules))
-        rank = F.create_map(*(x for i, r in enumerate(self.rules) for x in (F.lit(r.kind), F.lit(i))))
-        spans = self.seen().where(F.arrays_overlap("versions", current))
-        spans = spans.groupBy("blob").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-        spans = spans.withColumn("spans", F.array_sort(F.transform("spans", lambda s: F.struct(s.start.alias("start"), rank[s.kind].alias("rank"), s.kind.alias("kind"), s.end.alias("end")))))
+        """doc_id, blob, spans of every path."""
         # written out, so that the join's both sides are plain shuffles and a blob with very many paths can be split
-        spans = materialize(spans.where(F.size("spans") > 0), f"{shared_dir(self.spark)}/found")
+        spans = materialize(self.current(), f"{shared_dir(self.spark)}/found")
         return paths.join(spans, "blob", "left").select("doc_id", "blob", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
 
 
@@ -163,7 +171,7 @@ def mask_secrets(docs: DataFrame, mask: str = "[SECRET]", rules: tuple[Rule, ...
     slim = pick(docs, doc_id="doc_id", text="text")
     ledger = BlobLedger(spark, f"{shared_dir(spark)}/secrets", rules)
     ledger.update(slim, ledger.paths(slim))
-    spans = ledger.seen().where(F.size("spans") > 0).select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans"))
+    spans = materialize(ledger.current(), f"{shared_dir(spark)}/found").select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans"))
     joined = docs.withColumn("__of", _address()).join(spans, F.col("__of") == F.col("__blob"), "left").drop("__of", "__blob")
     names = joined.schema.names
 

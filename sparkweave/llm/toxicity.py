@@ -7,9 +7,11 @@ chance would have it are left out, which keeps long clean texts from adding up n
 
 Fitted on a bounded sample of labelled rows (``max_train_rows``, chosen by a hash of doc_id).
 
-Defined cases: a null or empty text holds no feature and gets the score of the intercept alone. Without
-labelled rows, or with one class only, the score is the share of toxic rows (0 without rows). Repeated
-rows and ties are scored one by one; a null id is scored, and counts as not held out.
+Defined cases: a null or empty text holds no feature and gets the score of the intercept alone; a very long
+text is read whole. Without labelled rows, or with one class only, the score is the share of toxic rows (0
+without rows). Repeated rows and ties are scored one by one; a null id is scored, and counts as not held out.
+An empty table gives no rows. Columns other than the id and the text (of documents), the id and the label
+(of labels) are not read, so clashing names do no harm.
 """
 
 from __future__ import annotations
@@ -92,7 +94,7 @@ def classify_toxicity(docs: DataFrame, labels: DataFrame, held_out: F.Column | N
     docs = pick(docs, doc_id=id_col, text=text_col)
     aside = F.lit(False) if held_out is None else F.coalesce(held_out, F.lit(False))
     taught = pick(labels, doc_id=id_col, toxic=label_col).where(F.col("toxic").isin(0, 1) & ~aside).withColumn("toxic", F.col("toxic").cast("int"))
-    sample = labelled_sample(docs, taught, max_train_rows).select("text", "toxic")
+    sample = labelled_sample(docs, taught, max_train_rows, "toxic").select("text", "toxic")
     model = fit(materialize(sample, f"{shared_dir(docs.sparkSession)}/sample"))
     return score(docs, model).select("doc_id", aside.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 

@@ -56,6 +56,25 @@ def test_ledger_scans_each_blob_and_rule_version_once(spark, tmp_path):
     assert {r["doc_id"]: len(r["spans"]) for r in found.collect()} == {1: 1, 2: 1, 3: 0, 4: 1, 5: 0}
 
 
+def test_ledger_gives_only_what_current_rule_versions_found(spark, tmp_path):
+    key = "-----BEGIN RSA PRIVATE KEY-----\nMIIEabcdefghijklmnop\nqrstuvwxyzABCDEFGH==\n-----END RSA PRIVATE KEY-----"
+    cut = "x -----BEGIN PRIVATE KEY-----\nMIIEabcdefghijklmnop\nqrstuvwxyzABCDEFGH end"
+    docs = spark.createDataFrame([(1, "token=abcdefgh"), (2, key), (3, None), (4, cut)], "doc_id bigint, text string")
+    path = str(tmp_path / "ledger")
+
+    def spans(rules):
+        return {r["doc_id"]: [(s["start"], s["rank"], s["kind"], s["end"]) for s in r["spans"]] for r in secrets.scan_secrets(docs, path, rules).collect()}
+
+    every = secrets.BASE_RULES + secrets.MORE_RULES
+    pem = [(0, 3, "pem", len(key))]
+    assert spans(every) == {1: [(0, 0, "assign", 14)], 2: pem, 3: [], 4: [(2, 3, "pem", len(cut) - 4)]}
+    # a revision of a rule with hits, and one that finds less
+    newer = tuple(secrets.Rule("assign", "token=[a-c]+", 3, revision=2) if r.kind == "assign" else r for r in every)
+    assert spans(newer) == {1: [(0, 0, "assign", 9)], 2: pem, 3: [], 4: [(2, 3, "pem", len(cut) - 4)]}
+    assert spans(secrets.BASE_RULES) == {1: [(0, 0, "assign", 14)], 2: [], 3: [], 4: []}
+    assert spans((secrets.MORE_RULES[0],))[2] == [(0, 0, "pem", len(key))]
+
+
 def test_masking_covers_whole_spans(spark):
     docs = spark.createDataFrame([(1, "a token=abcdefgh b", 18, "k"), (2, None, None, "k"), (3, "clean", 5, None)], "doc_id bigint, text string, n_chars bigint, blob string")
     got = {r["doc_id"]: (r["text"], r["n_chars"], r["blob"]) for r in secrets.mask_secrets(docs).collect()}
