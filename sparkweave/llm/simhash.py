@@ -9,32 +9,35 @@ every l. With radius + 1 segments the first one of the chain must be equal, so i
 following chain budgets prune candidates, and the full Hamming distance decides.
 
 Equal fingerprints are one node, so copies never meet as pairs. Runs of fingerprints with the same key are
-compared in place while they are short; long runs are linked exactly through the midpoints that
-fingerprints at distance two share, which takes time in proportion to the run. Only a spanning forest of
-each group's links leaves it. Components then come from alternating stars.
+compared in place while they are short; long runs are split by the chain's next segment, whatever their
+number. Only a spanning forest of each group's links leaves it. Components then come from alternating stars.
 
-``similar`` links texts by their five-word shingles instead, for copies with more edits than two bits stand
-for; ``keep_one`` takes both kinds of links.
+``shingles.similar`` links texts by their five-word shingles instead, for copies with more edits than two
+bits stand for; ``keep_one`` takes both kinds of links.
 
 Defined cases: a null text is the empty text; texts without words have fingerprint zero and link like any
-other. Repeated rows share a fingerprint. Rows with a null id get a fingerprint, but do not name a
-component: theirs is null if no row of it has an id.
+other. A very long text is read whole. Repeated rows, and texts that tie in their fingerprint, share a node.
+Rows with a null id get a fingerprint, but do not name a component: theirs is null if no row of it has an id.
+An empty table gives no rows. Columns other than the id and the text are not read; ``keep_one`` hands them on.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from sparkweave.llm import textvec
-from sparkweave.llm.common import materialize, pick, shared_dir, table
+from sparkweave.llm.common import pick, table
+from sparkweave.llm.members import Members
+from sparkweave.llm.shingles import similar
 from sparkweave.operators.components import connected_components
+from sparkweave.operators.scratch import Scratch
 
 U64 = np.uint64
 
@@ -81,17 +84,13 @@ def segment_masks(radius: int) -> list[int]:
     return [((1 << b) - 1) & ~((1 << a) - 1) for a, b in zip(cuts, cuts[1:])]
 
 
-def chain_links(x: np.ndarray, start: int, radius: int, masks: list[int], longest_run: int = 64) -> tuple[np.ndarray, np.ndarray]:
-    """Places of linked pairs among distinct fingerprints ``x`` whose chain starts at segment ``start``.
-
-    ``x`` must be sorted by that segment. All pairs of short runs are found; of long runs enough pairs to
-    connect whatever is linked.
-    """
-    key = x & U64(masks[start])
-    begins = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+def near_pairs(x: np.ndarray, key: np.ndarray, start: int, radius: int, masks: list[int], longest_run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of pairs of ``x`` with equal ``key`` (sorted by it) that keep the budgets of the chain from ``start``, and
+    the places whose run of equal keys is too long for that."""
+    begins = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
     lengths = np.diff(np.append(begins, len(x)))
     ring = [masks[(start + i) % len(masks)] for i in range(len(masks))]
-    left, right = [], []
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     short = np.repeat(lengths <= longest_run, lengths)
     for off in range(1, int(lengths[lengths <= longest_run].max(initial=1))):
         a = np.flatnonzero(short[:-off] & (key[:-off] == key[off:]))
@@ -104,20 +103,41 @@ def chain_links(x: np.ndarray, start: int, radius: int, masks: list[int], longes
             a, b = a[near], b[near]
         left.append(a)
         right.append(b)
-    crowd = np.flatnonzero(~short)
-    if len(crowd):
-        free = [i for i in range(64) if not masks[start] >> i & 1]
-        a, b = midpoint_links(x[crowd], free, radius)
-        left.append(crowd[a])
-        right.append(crowd[b])
-    return np.concatenate([np.zeros(0, np.int64), *left]), np.concatenate([np.zeros(0, np.int64), *right])
+    return np.concatenate(left), np.concatenate(right), np.flatnonzero(~short)
+
+
+def chain_links(x: np.ndarray, start: int, radius: int, masks: list[int], longest_run: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Places of linked pairs among distinct fingerprints ``x`` whose chain starts at segment ``start``.
+
+    ``x`` must be sorted by that segment. All pairs of short runs are found. Long runs are split by the next
+    segment of the ring: the chain's budget leaves it one differing bit, so linked pairs agree in it but for
+    some bit, each of which is left out in turn. What stays crowded lies within the last segments of a dense
+    ball; there enough pairs to connect whatever is linked are found through midpoints.
+    """
+    a, b, crowd = near_pairs(x, x & U64(masks[start]), start, radius, masks, longest_run)
+    left, right = [a], [b]
+    following = masks[(start + 1) % len(masks)]
+    for bit in (U64(1 << i) for i in range(64) if following >> i & 1 and len(crowd)):
+        key = x[crowd] & U64(masks[start] | following) & ~bit
+        order = np.argsort(key, kind="stable")
+        own = crowd[order]
+        a, b, dense = near_pairs(x[own], key[order], start, radius, masks, longest_run)
+        left.append(own[a])
+        right.append(own[b])
+        for run in np.split(dense, np.flatnonzero(key[order][dense][1:] != key[order][dense][:-1]) + 1) if len(dense) else ():
+            free = [i for i in range(64) if 1 << i == int(bit) or not (masks[start] | following) >> i & 1]
+            a, b = midpoint_links(x[own[run]], free, radius)
+            left.append(own[run[a]])
+            right.append(own[run[b]])
+    return np.concatenate(left), np.concatenate(right)
 
 
 def midpoint_links(x: np.ndarray, free: list[int], radius: int, at_once: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
     """Pairs that connect all distinct ``x`` within ``radius`` bits (1 or 2) of each other in the ``free`` bits.
 
     Two fingerprints differ in at most two bits just if flipping at most one bit of each can make them
-    equal. Flipped forms are dealt into slices by hash, sorted, and equal neighbours are linked.
+    equal. Flipped forms are dealt into slices by hash, sorted, and equal neighbours are linked. With 22 free
+    bits there are at most 2 ** 22 fingerprints, so the slices stay few.
     """
     if radius not in (1, 2):
         raise ValueError("long runs are linked for a radius of 1 or 2")
@@ -186,11 +206,10 @@ def links(prints: DataFrame, radius: int = 2, group_rows: int = 50_000) -> DataF
 def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp, component_id (the smallest doc_id that links reach) of every row."""
     docs = pick(docs, doc_id=id_col, text=text_col)
-    scratch = shared_dir(docs.sparkSession)
-    rounds = iter(range(1 << 30))
-    prints = materialize(fingerprint(docs, size), f"{scratch}/prints")
-    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), f"{scratch}/nodes")
-    found = connected_components(links(nodes, radius), lambda df: materialize(df, f"{scratch}/round{next(rounds)}"))
+    scratch = Scratch(docs.sparkSession)
+    prints = scratch.cut(fingerprint(docs, size))
+    nodes = scratch.cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    found = connected_components(links(nodes, radius), scratch)
     # both sides have one row a fingerprint; copies join last
     members = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
     smallest = members.groupBy("component").agg(F.min("first").alias("component_id"))
@@ -198,205 +217,15 @@ def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 2, id_col: str
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-def shingle_set(text: bytes | None, size: int) -> np.ndarray:
-    """Distinct shingle hashes, sorted."""
-    return textvec.distinct(np.array(shingle_hashes(text or b"", size), U64))
-
-
-def set_id(h: np.ndarray) -> int:
-    """Name of a set of shingles (signed 64 bits)."""
-    return xxhash.xxh64_intdigest(h.tobytes(), 5) - (1 << 63)
+def united(classes: DataFrame, alike: DataFrame, scratch: Scratch) -> DataFrame:
+    """doc_id, component_id of rows linked by either of doc_id, component_id and doc_id, root.
 
-
-def least_shared(n: int, threshold: float) -> int:
-    """Shingles that a text with n of them has in common with any text alike to it; such a text has so many itself, too."""
-    return math.ceil(threshold * n - 1e-9)
-
-
-def more_shared(n: int) -> int:
-    """How many shared shingles the longer heads of ``heads`` promise."""
-    return n // 5 + 1
-
-
-def heads(docs: DataFrame, size: int, threshold: float) -> DataFrame:
-    """doc_id, node, n, head: a text's set of shingles, how many, and so many of its smallest hashes (sorted)
-    that two alike texts have ``more_shared`` (of the smaller n) in both heads.
-
-    Of n hashes at most n - least_shared are not in the other text. Of the two heads the one that ends
-    first has more_shared hashes of the other text, all of them within the other head.
+    Both kinds of classes are named by a member, so only pairs of names have to be connected, not rows.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in textvec.portions(batches):
-            nodes, counts, rows = [], [], []
-            for text in batch.column("text").cast(pa.binary()).to_pylist():
-                h = shingle_set(text, size)
-                n = len(h)
-                nodes.append(set_id(h))
-                counts.append(n)
-                rows.append(h[: n - least_shared(n, threshold) + more_shared(n)].astype("<u8").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(counts, pa.int64()), pa.array(rows, pa.binary())], ["doc_id", "node", "n", "head"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, node bigint, n bigint, head binary")
-
-
-def shared_in_heads(rows: DataFrame, blocks: int, at_once: int = 1_000_000) -> DataFrame:
-    """node, shared: how many hashes of a node's head other nodes' heads have too (nodes without any are left out)."""
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def send() -> pa.RecordBatch:
-            h = np.concatenate([np.zeros(0, U64), *parts])
-            node = np.repeat(np.array(owners, np.int64), np.fromiter(map(len, parts), np.int64, len(parts)))
-            block = (textvec.mix(h) % U64(blocks)).astype(np.int64)
-            order = np.argsort(block, kind="stable")
-            h, node, block = h[order], node[order], block[order]
-            at = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])) if len(h) else np.zeros(0, np.int64)
-            ends = np.append(at[1:], len(h))
-            data = [pa.array(block[at], pa.int32()), *(pa.array([x[i:j].tobytes() for i, j in zip(at, ends)], pa.binary()) for x in (h, node))]
-            return pa.RecordBatch.from_arrays(data, ["block", "hashes", "nodes"])
-
-        parts, owners, held = [], [], 0
-        for batch in batches:
-            for node, head in zip(batch.column("node").to_pylist(), batch.column("head").to_pylist(), strict=True):
-                parts.append(np.frombuffer(head, "<u8"))
-                owners.append(node)
-                held += len(parts[-1])
-                if held >= at_once:
-                    yield send()
-                    parts, owners, held = [], [], 0
-        yield send()
-
-    def count(group: pa.Table) -> pa.Table:
-        h, node = (np.concatenate([np.frombuffer(x, kind) for x in group.column(name).to_pylist()]) for name, kind in (("hashes", "<u8"), ("nodes", "<i8")))
-        order = np.lexsort((node, h))
-        h, node = h[order], node[order]
-        once = np.concatenate([[True], (h[1:] != h[:-1]) | (node[1:] != node[:-1])])
-        h, node = h[once], node[once]
-        same = h[1:] == h[:-1]
-        own, n = np.unique(node[np.concatenate([[False], same]) | np.concatenate([same, [False]])], return_counts=True)
-        return pa.table({"node": pa.array(own, pa.int64()), "c": pa.array(n, pa.int64())})
-
-    dealt = rows.select("node", "head").mapInArrow(deal, "block int, hashes binary, nodes binary")
-    return dealt.groupBy("block").applyInArrow(count, "node bigint, c bigint").groupBy("node").agg(F.sum("c").alias("shared"))
-
-
-def node_filter(nodes: DataFrame, most_bits: int = 26) -> np.ndarray:
-    """Bits (in 64-bit words, a power of two of them) set for all nodes and some others; of bounded size."""
-    bits = min(most_bits, max(10, (16 * nodes.count()).bit_length()))
-    place = F.col("node").bitwiseAND(F.lit((1 << bits) - 1).cast("bigint"))
-    words = nodes.select(F.shiftright(place, 6).cast("int").alias("at"), F.expr("shiftleft(1L, cast(node & 63 as int))").alias("bit")).groupBy("at").agg(F.expr("bit_or(bit)").alias("word")).toArrow()
-    out = np.zeros(1 << bits - 6, np.int64)
-    out[words.column("at").to_numpy()] = words.column("word").to_numpy()
-    return out
-
-
-def shingle_sets(docs: DataFrame, size: int, wanted: np.ndarray) -> DataFrame:
-    """node, n, hashes of the texts whose node is in the filter ``wanted``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mask = len(wanted) * 64 - 1
-        for batch in textvec.portions(batches):
-            found = []
-            for text in batch.column("text").cast(pa.binary()).to_pylist():
-                h = shingle_set(text, size)
-                node = set_id(h)
-                if int(wanted[(node & mask) >> 6]) >> (node & 63) & 1:
-                    found.append((node, len(h), h.astype("<u8").tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), kind) for x, kind in zip(zip(*found) if found else ((), (), ()), (pa.int64(), pa.int64(), pa.binary()))], ["node", "n", "hashes"])
-
-    return docs.select("text").mapInArrow(run, "node bigint, n bigint, hashes binary")
-
-
-def keys_of(sets: DataFrame, threshold: float) -> DataFrame:
-    """node, n, token, place: the shingles by which nodes find all nodes alike to them.
-
-    Shingles stand in one order for all, rarest first. Of two alike texts both have a common shingle among
-    the first n - least_shared + 1; the ones of a single text find nothing and are left out. place: how
-    many of the text's shingles stand before it.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in textvec.portions(batches, 64):
-            lists = [np.frombuffer(x, "<i8") for x in batch.column("hashes").to_pylist()]
-            sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-            own = [np.repeat(batch.column(c).to_numpy(), sizes) for c in ("node", "n")]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, own), pa.array(np.concatenate([np.zeros(0, np.int64), *lists]))], ["node", "n", "token"])
-
-    tokens = sets.mapInArrow(run, "node bigint, n bigint, token bigint")
-    common = tokens.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
-    held = tokens.join(common, "token").groupBy("node").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("c", "token"))).alias("held"))
-    first = F.size("held") - F.ceil(F.lit(threshold) * F.col("n") - F.lit(1e-9)).cast("int") + 1
-    held = held.withColumn("first", first).where("first > 0")
-    return held.select("node", "n", F.size("held").alias("m"), F.posexplode(F.slice("held", F.lit(1), F.col("first")))).select("node", "n", F.col("col.token").alias("token"), (F.col("n") - F.col("m") + F.col("pos")).alias("place"))
-
-
-def likeness(a: bytes, b: bytes, width: int | None = None) -> float:
-    """Jaccard similarity of two sorted sets of hashes; ``width``: estimated by so many of the smallest."""
-    x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
-    both = np.sort(np.concatenate([x, y]))
-    shared = both[1:][both[1:] == both[:-1]]
-    least = textvec.distinct(both)[:width]
-    return float((shared <= least[-1]).sum()) / len(least) if len(least) else 1.0
-
-
-def alike(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs a, b whose whole sets have at least this Jaccard similarity."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = [likeness(x, y) >= threshold for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
-
-
-def similar(docs: DataFrame, size: int = 5, threshold: float = 0.8, block_bytes: int = 16 << 20) -> DataFrame:
-    """doc_id, root: rows whose texts are alike by word shingles (Jaccard similarity ``threshold``), directly
-    or over others, have the same root.
-
-    Exact but for equal 64-bit hashes. Texts with one set of shingles are one node. Nodes with too few
-    shared shingles drop out; the others meet under their rarest ones (``keys_of``): first only the
-    smallest and the next node of each key, which links large groups of copies in one row a node and key; then
-    all pairs of a key that these links have not connected and that sizes and places allow. Whole sets decide.
-    """
-    spark, scratch = docs.sparkSession, shared_dir(docs.sparkSession)
-    rounds = iter(range(1 << 30))
-
-    def cut(df: DataFrame) -> DataFrame:
-        return materialize(df, f"{scratch}/round{next(rounds)}")
-
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // block_bytes))
-    rows = materialize(heads(docs, size, threshold), f"{scratch}/heads")
-    nodes = materialize(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("n").alias("n")), f"{scratch}/nodes")
-    # the smaller of two alike texts has at least least_shared(n) shingles
-    promised = F.floor(F.ceil(F.lit(threshold) * F.col("n") - F.lit(1e-9)) / 5) + 1
-    left = materialize(nodes.join(shared_in_heads(rows, blocks), "node").where(F.col("shared") >= promised).select("node"), f"{scratch}/left")
-    sets = materialize(shingle_sets(docs, size, node_filter(left)).groupBy("node").agg(F.first("n").alias("n"), F.first("hashes").alias("hashes")), f"{scratch}/sets")
-    keyed = materialize(keys_of(sets, threshold), f"{scratch}/keys")
-    w = Window.partitionBy("token").orderBy("node")
-    met = keyed.select("node", F.first("node").over(w).alias("rep"), F.lag("node").over(w).alias("before")).where("before is not null")
-    met = met.select(F.col("node").alias("a"), F.explode(F.array_distinct(F.array("rep", "before"))).alias("b")).where("a <> b").distinct()
-    linked = cut(connected_components(cut(alike(met, sets, threshold)), cut))
-    keyed = keyed.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    x, y = (keyed.select("token", *(F.col(c).alias(side + c) for c in ("node", "n", "place", "component"))) for side in "xy")
-    needed = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("xn") + F.col("yn")) - F.lit(1e-9))
-    possible = (F.col("xnode") < F.col("ynode")) & (F.col("xcomponent") != F.col("ycomponent")) & (F.least(F.col("xn") - F.col("xplace"), F.col("yn") - F.col("yplace")) >= needed)
-    rest = x.join(y, "token").where(possible).select(F.col("xnode").alias("a"), F.col("ynode").alias("b")).distinct()
-    found = connected_components(alike(rest, sets, threshold).unionByName(linked.select(F.col("node").alias("a"), F.col("component").alias("b"))), cut)
-    # named by the smallest id
-    members = nodes.join(found, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
-    named = members.groupBy("component").agg(F.min("first").alias("root"))
-    return rows.select("doc_id", "node").join(members.join(named, "component").select("node", "root"), "node").select("doc_id", "root")
-
-
-def united(classes: DataFrame, alike: DataFrame) -> DataFrame:
-    """doc_id, component_id of rows linked by either of doc_id, component_id and doc_id, root."""
-    scratch, rounds = shared_dir(classes.sparkSession), iter(range(1 << 30))
-    links_ = classes.select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")).unionByName(alike.select(F.col("doc_id").alias("a"), F.col("root").alias("b")))
-    found = connected_components(links_, lambda df: materialize(df, f"{scratch}/round{next(rounds)}"))
-    joined = classes.select("doc_id", "component_id").join(found.withColumnsRenamed({"node": "doc_id", "component": "_root"}), "doc_id", "left")
+    rows = classes.select("doc_id", "fp", "component_id").join(alike.select("doc_id", "root").distinct(), "doc_id", "left")
+    rows = scratch.cut(rows.select("doc_id", "component_id", "root"))
+    found = scratch.cut(connected_components(rows.select(F.col("component_id").alias("a"), F.col("root").alias("b")), scratch))
+    joined = rows.select("doc_id", "component_id").join(found.withColumnsRenamed({"node": "component_id", "component": "_root"}), "component_id", "left")
     return joined.select("doc_id", F.coalesce("_root", "component_id").alias("component_id"))
 
 
@@ -406,29 +235,43 @@ def keep_one(docs: DataFrame, size: int = 3, radius: int = 2, similarity: float
     Fingerprints within two bits miss most near copies, so texts whose five-word shingles are alike to
     ``similarity`` (None: off) are linked besides: of such a group, too, only the smallest doc_id stays.
 
-    Rows without an id can't be told apart: if some component holds only such rows, one of each
-    fingerprint among them stays.
-    Only ids travel for the choice, then texts once, by id.
+    Rows without an id can't be told apart: if some component holds only such rows, one of each fingerprint
+    among them stays. Of rows that share the kept id the first by content stays. Only ids travel for the
+    choice; of the texts only those travel whose ids a filter can't tell from ids that go.
     """
-    spark = docs.sparkSession
+    scratch = Scratch(docs.sparkSession)
     classes = near_duplicates(docs, size, radius)
     if similarity is not None:
-        classes = united(classes, similar(docs, threshold=similarity))
-    kept = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    left = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("__kept")), "left_semi")
-    # rows that share the kept id: the first by content
-    repeated = classes.groupBy("doc_id").count().where("count > 1 or doc_id is null").select(F.col("doc_id").alias("__kept"))
+        classes = united(classes, similar(docs, threshold=similarity), scratch)
+    classes = scratch.cut(classes.select("doc_id", "component_id"))
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    kept = classes.where(stays).select(F.col("doc_id").alias("__kept")).distinct()
+    repeated = classes.groupBy("doc_id").count().where("count > 1 or doc_id is null").select("doc_id")
+    doubtful = scratch.cut(classes.where(~stays).select("doc_id").unionByName(repeated))
+    maybe, sure = Members.of(doubtful, F.xxhash64("doc_id"), scratch).split(docs, F.xxhash64("doc_id"))
+    left = maybe.join(kept, maybe["doc_id"].eqNullSafe(F.col("__kept")), "left_semi")
+    repeated = scratch.cut(repeated.select(F.col("doc_id").alias("__kept")))
     if repeated.isEmpty():
-        return left
+        return sure.unionByName(left)
+    left = scratch.cut(left)
     again = left.join(repeated, left["doc_id"].eqNullSafe(F.col("__kept")), "left_semi")
     once = left.join(repeated, left["doc_id"].eqNullSafe(F.col("__kept")), "left_anti")
-    others = [c for c in docs.columns if c != "doc_id"]
-    first = F.min(F.struct(*(F.col(f"`{c}`") for c in others)))
-    chosen = again.where("doc_id is not null").groupBy("doc_id").agg(first.alias("__row")).select("doc_id", "__row.*")
-    nameless = again.where("doc_id is null")
-    nameless = fingerprint(nameless.select(F.to_json(F.struct(*map(F.col, docs.columns))).alias("doc_id"), "text"), size).groupBy("fp").agg(F.min("doc_id").alias("row"))
-    nameless = nameless.select(F.from_json("row", docs.schema).alias("r")).select("r.*")
-    return once.unionByName(chosen.select(*docs.columns)).unionByName(nameless.select(*docs.columns))
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    first = F.min_by(row, F.to_json(row)).alias("__row")  # JSON only orders; the row itself is handed on
+    chosen = again.where("doc_id is not null").groupBy("doc_id").agg(first)
+    nameless = with_fingerprint(again.where("doc_id is null"), size, "__fp").groupBy("__fp").agg(first)
+    return sure.unionByName(once).unionByName(chosen.select("__row.*")).unionByName(nameless.select("__row.*"))
+
+
+def with_fingerprint(rows: DataFrame, size: int, name: str) -> DataFrame:
+    """All columns, and the fingerprint of ``text`` under ``name``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in textvec.portions(batches):
+            texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            yield batch.append_column(name, pa.array(fingerprints_of(texts, size).view(np.int64)))
+
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField(name, LongType())]))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from sparkweave.llm import langid, packing, secrets, simhash, substring, textvec, topk, toxicity, urlfilter
+from sparkweave.llm import langid, packing, secrets, shingles, simhash, substring, textvec, topk, toxicity, urlfilter
 
 
 def key(row):
@@ -347,13 +347,13 @@ def test_similar_texts_are_linked(spark, docs, rows, empty):
             more.append((1000 + 10 * k + c, " ".join(other)))
         more.append((1000 + 10 * k + 9, " ".join(words[: len(words) // 2] + [f"v{rng.randrange(400)}" for _ in range(len(words) // 2)])))
     table = spark.createDataFrame(rows + more, "doc_id bigint, text string")
-    got = {r["doc_id"]: r["root"] for r in simhash.similar(table).collect() if r["doc_id"] is not None}
+    got = {r["doc_id"]: r["root"] for r in shingles.similar(table).collect() if r["doc_id"] is not None}
     for i, _ in more:
         assert got[i] == (i if i % 10 == 9 else i - i % 10)
     kept = {r["doc_id"] for r in simhash.keep_one(table).collect()}
     assert {i for i, _ in more if i in kept} == {i for i, _ in more if i % 10 in (0, 9)}
-    assert simhash.similar(empty).count() == 0
-    assert simhash.likeness(b"", b"", 8) == 1.0
+    assert shingles.similar(empty).count() == 0
+    assert shingles.likeness(b"", b"") == 1.0
 
 
 def test_windows_that_share_half_their_hash_differ(monkeypatch):
@@ -402,5 +402,5 @@ def test_all_alike_texts_are_linked_under_a_shared_passage(spark):
     for i in range(0, 3000, 500):
         assert all(len(sets[i] & s) / len(sets[i] | s) < 0.8 for (j, _), s in zip(rows, sets) if want[i] != want[j])
     table = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id bigint, text string").repartition(4)
-    got = {r["doc_id"]: r["root"] for r in simhash.similar(table).collect()}
+    got = {r["doc_id"]: r["root"] for r in shingles.similar(table).collect()}
     assert got == want
