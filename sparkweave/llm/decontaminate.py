@@ -8,16 +8,22 @@ common entry makes a candidate. As the bins grow with the partition's bound, a s
 document contains is the smallest of its bin with a probability that does not depend on the document's
 length (about (1 - exp(-1 / density)) * density, 0.88 for 4), so that short items are found in documents of
 any size: an item of q shingles is missed with about 0.12 ** (threshold * q). Items too short for that
-(``least_shingles``) are looked up with all their shingles instead.
+(``least_shingles``) are looked up with all their shingles, in the same pass over the documents' shingles;
+that leaves the others to the signatures.
+
+What the benchmark gives is broadcast if its bytes, added up, are few. Else a filter of bounded size lets
+those of the documents' shingles through that the benchmark may have, and these few meet it in a shuffle.
 
 Candidates are then verified with the shingles themselves. All of it is DataFrame functions: no Python
 runs on the executors.
 
 Defined cases: words are the runs of letters and digits of the lower-cased text. A text of fewer words
-than a shingle is one shingle, without words none. Null texts and items are empty; an empty benchmark, or
-an item without words, contaminates nothing. Rows with equal id and text are one document, rows with equal
-id and other text are judged apart; a null id is kept and judged like any other. Items with equal id are
-judged apart by their text.
+than a shingle is one shingle, without words none; so an item of fewer words than a shingle is found only in
+documents of just these words. Very long texts are read whole. Null texts and items are empty; an empty
+benchmark, or an item without words, contaminates nothing, and an empty table gives no rows. Rows with equal
+id and text are one document, rows with equal id and other text are judged apart; a null id is kept and
+judged like any other. Items with equal id are judged apart by their text; items that tie are all reported.
+Columns other than ids and texts are not read; ``drop_contaminated`` hands them on.
 """
 
 from __future__ import annotations
@@ -25,10 +31,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkweave.llm.common import materialize, pick, shared_dir, table
+from sparkweave.llm.common import pick, table
+from sparkweave.llm.members import Members
+from sparkweave.operators.scratch import Scratch
 
-#: Most rows of the benchmark's shingles that are sent to all executors; beyond, the join shuffles.
-MAX_BROADCAST_ROWS = 500_000
+#: Most bytes of the benchmark's shingles that are sent to all executors.
+MAX_BROADCAST_BYTES = 32 << 20
 
 
 def words_of(text: Column) -> Column:
@@ -87,34 +95,36 @@ def least_bits(h: Column) -> Column:
     return F.arrays_zip(h.alias("x"), first.cast("array<int>").alias("bits"))
 
 
-def sized(small: DataFrame) -> DataFrame:
-    """Marked for broadcast if it has few rows: counted, not guessed."""
-    return F.broadcast(small) if small.count() <= MAX_BROADCAST_ROWS else small
+def joined(rows: DataFrame, small: DataFrame, on: str, key: Column, scratch: Scratch) -> DataFrame:
+    """``rows`` with those of ``small`` (a written table) that have the same ``on``; ``key``: a hash of it."""
+    row = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in small.columns), F.lit(16 * len(small.columns)))
+    size = small.agg(F.coalesce(F.sum(row), F.lit(0))).first()[0]
+    if size <= MAX_BROADCAST_BYTES:
+        return rows.join(F.broadcast(small), on)
+    return Members.of(small, key, scratch).split(rows, key)[0].join(small, on)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, size: int = 5, density_bits: int = 2, least_shingles: int = 8, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, digest (of the text), item_id, containment, item_shingles of every contaminated document and item."""
-    scratch = shared_dir(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession)
     docs = pick(docs, doc_id=id_col, text=text_col).select("doc_id", F.xxhash64("text").alias("digest"), "text")
     items = pick(benchmark, item_id=item_id, text=item_text).dropDuplicates().select("item_id", F.xxhash64("text").alias("item_digest"), "text")
-    item_hashes = materialize(hashed(items, ["item_id", "item_digest"], size).where(F.size("h") > 0), f"{scratch}/items")
-    shortest = item_hashes.agg(F.min(F.size("h"))).first()[0]
-    if shortest is None:
-        return docs.select("doc_id", "digest", F.lit(None).cast(items.schema["item_id"].dataType).alias("item_id"), F.lit(0.0).alias("containment"), F.lit(0).alias("item_shingles")).where("false")
+    item_hashes = scratch.cut(hashed(items, ["item_id", "item_digest"], size).where(F.size("h") > 0))
 
-    # signatures of the items for all partitions at once; short ones with all their shingles
-    entries = F.when(F.size("h") < least_shingles, F.arrays_zip(F.col("h").alias("x"), F.transform("h", lambda x: F.lit(0)).alias("bits"))).otherwise(least_bits(F.col("h")))
-    sketch = item_hashes.select("item_id", "item_digest", F.inline(entries).alias("value", "least"))
-    sketch = sized(materialize(sketch, f"{scratch}/sketch"))
+    # signatures of the items for all partitions at once; short ones (least 0) with all their shingles
+    entries = F.when(F.size("h") < least_shingles, F.arrays_zip(F.col("h").alias("x"), F.transform("h", lambda x: F.lit(0)).alias("bits"))).otherwise(
+        F.transform(least_bits(F.col("h")), lambda e: F.struct(e["x"].alias("x"), (e["bits"] + 1).alias("bits")))
+    )
+    sketch = scratch.cut(item_hashes.select("item_id", "item_digest", F.inline(entries).alias("value", "least")))
 
     own = hashed(docs.select("doc_id", "digest", "text"), ["doc_id", "digest"], size)
-    own = own.select("doc_id", "digest", "h", bound_of(F.col("h")).alias("bound"))
-    probe = signature(F.col("h"), F.col("bound") + density_bits)
-    if shortest < least_shingles:
-        probe = F.col("h")  # some item is looked up with all shingles; signatures are part of them
-    probes = own.select("doc_id", "digest", "bound", F.explode(probe).alias("value"))
-    candidates = probes.join(sketch, "value").where(F.col("bound") + density_bits >= F.col("least")).select("doc_id", "digest", "item_id", "item_digest").distinct()
-    candidates = materialize(candidates, f"{scratch}/candidates")
+    own = own.select("doc_id", "digest", "h", (bound_of(F.col("h")) + density_bits).alias("bits"))
+    # each shingle hash once, with whether it is in the document's signature
+    places = F.transform("h", lambda x, i: F.struct(x.alias("value"), ((i == 0) | (bin_of(x, F.col("bits")) != bin_of(F.get("h", i - 1), F.col("bits")))).alias("signs")))
+    probes = own.select("doc_id", "digest", "bits", F.inline(places).alias("value", "signs"))
+    candidates = joined(probes, sketch, "value", F.col("value"), scratch)
+    candidates = candidates.where((F.col("least") == 0) | (F.col("signs") & (F.col("bits") >= F.col("least") - 1))).select("doc_id", "digest", "item_id", "item_digest").distinct()
+    candidates = scratch.cut(candidates)
 
     # verification with the texts of shingles, for candidates only
     def shingled(rows: DataFrame, *key: str) -> DataFrame:
@@ -123,12 +133,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
         w = w.select(*key, "w", F.explode(places).alias("at"))
         return w.select(*key, shingle_at(F.col("w"), F.col("at"), size).alias("shingle"))
 
-    item_rows = materialize(shingled(items, "item_id", "item_digest").distinct(), f"{scratch}/shingles")
+    item_rows = scratch.cut(shingled(items, "item_id", "item_digest").distinct())
     sizes = item_rows.groupBy("item_id", "item_digest").agg(F.count("*").alias("item_shingles"))
     suspects = candidates.select("doc_id", "digest").distinct().withColumnsRenamed({"doc_id": "_id", "digest": "_digest"})
     suspect_rows = docs.join(suspects, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("digest").eqNullSafe(F.col("_digest")), "left_semi")
     # only shingles that some item has go on
-    hits = shingled(suspect_rows, "doc_id", "digest").join(sized(item_rows), "shingle").distinct()
+    hits = joined(shingled(suspect_rows, "doc_id", "digest"), item_rows, "shingle", F.xxhash64("shingle"), scratch).distinct()
     held = hits.groupBy("doc_id", "digest", "item_id", "item_digest").agg(F.count("*").alias("held"))
     c = candidates.withColumnsRenamed({x: f"_{x}" for x in candidates.columns})
     same = [F.col(x).eqNullSafe(F.col(f"_{x}")) for x in candidates.columns]
@@ -141,7 +151,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, size: int = 5) -> DataFrame:
     """The rows of ``docs``, all columns, that hold no item."""
     found = contaminated(docs, benchmark, threshold, size)
-    found = materialize(found.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")).distinct(), f"{shared_dir(docs.sparkSession)}/found")
+    found = Scratch(docs.sparkSession).cut(found.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")).distinct())
     return docs.join(found, docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__digest")), "left_anti")
 
 

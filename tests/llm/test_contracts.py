@@ -153,7 +153,7 @@ def test_packing_keeps_every_token(docs, rows, empty, tokenizer):
         assert [s for _, s, _ in own] == [sum(len(x[2]) for x in own[:n]) for n in range(len(own))]
         whole[key((i, joined))] += 1
     assert whole == Counter({k: v for k, v in texts.items() if k[0][1] in single})
-    packed = packing.pack(packing.tokenize(docs, tokenizer, capacity=64), len(rows), 64).collect()
+    packed = packing.pack(packing.tokenize(docs, tokenizer, capacity=64), 64).collect()
     assert len(packed) == len(pieces)
     bins = {}
     for r in packed:
@@ -168,18 +168,61 @@ def test_packing_keeps_every_token(docs, rows, empty, tokenizer):
     assert packing.pack_documents(empty, tokenizer).count() == 0
 
 
-def test_tokenizers_agree_on_common_characters(tokenizer):
+def test_tokenizers_agree_on_whole_texts(tokenizer, rows):
+    import json
+    import random
+
     from tokenizers import Tokenizer
 
-    full, encoder = Tokenizer.from_file(tokenizer), packing.Encoder(open(tokenizer, encoding="utf-8").read())
+    spec = open(tokenizer, encoding="utf-8").read()
+    full, encoder = Tokenizer.from_file(tokenizer), packing.Encoder(spec)
     for i in range(0x250):
         text = f"a{chr(i)}b {chr(i)} {chr(i)}{chr(i)}x\n{chr(i)} <|endoftext|>9"
         assert encoder.ids(text).tolist() == full.encode(text, add_special_tokens=False).ids, i
-
-
-def test_sum_of_squares_places_where_the_sum_is_least():
-    bins, offsets = packing.sum_of_squares(np.array([6, 4, 5, 5, 10, 3]), 10)
-    assert bins.tolist() == [0, 0, 1, 1, 2, 3] and offsets.tolist() == [0, 6, 0, 5, 0, 0]
+    rng = random.Random(8)
+    common = [chr(i) for i in range(0x20, 0x250)]
+    for _ in range(300):
+        text = "".join(rng.choice(["the ", " and", "  ", "\n", "\t\n ", "'s", "'ll ", "12", "Ab", "\u00e9", rng.choice(common), rng.choice(common)]) for _ in range(rng.randrange(400)))
+        assert encoder.ids(text).tolist() == full.encode(text, add_special_tokens=False).ids
+    for _, text in rows:
+        assert encoder.ids(text or "").tolist() == full.encode(text or "", add_special_tokens=False).ids
+    # files that number or split otherwise go through the library
+    other = json.loads(spec)
+    other["model"]["merges"][:2] = reversed(other["model"]["merges"][:2])
+    spaced = json.loads(spec)
+    spaced["pre_tokenizer"]["add_prefix_space"] = True
+    for changed in (other, spaced):
+        own = packing.Encoder(json.dumps(changed))
+        assert own.fast is None and own.ids("the time then").tolist() == Tokenizer.from_str(json.dumps(changed)).encode("the time then", add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("order", ["longest first", "as they come"])
+def test_sum_of_squares_places_where_the_sum_is_least(order):
+    rng, capacity = np.random.default_rng(4), 24
+    lengths = rng.integers(1, capacity + 1, 400)
+    if order == "longest first":
+        lengths = np.sort(lengths)[::-1]
+    bins, offsets = packing.sum_of_squares(lengths, capacity)
+    gaps, needed = {}, -(-int(lengths.sum()) // capacity)
+
+    def squares(gaps):
+        return sum(n * n for g, n in Counter(gaps.values()).items() if g > 0)
+
+    for b, offset, s in zip(bins.tolist(), offsets.tolist(), lengths.tolist()):
+        options = [squares(gaps | {k: g - s}) for k, g in gaps.items() if g >= s]
+        if (len(gaps) < needed or not options) and s < capacity:
+            options.append(squares(gaps | {"new": capacity - s}))
+        assert offset == capacity - gaps.get(b, capacity) and gaps.get(b, capacity) >= s
+        gaps[b] = gaps.get(b, capacity) - s
+        assert s == capacity or squares(gaps) == min(options)
+    assert len(gaps) <= 1.1 * needed
+
+
+def test_shards_follow_pieces(spark, tokenizer):
+    docs = spark.createDataFrame([(i, "word " * 4000) for i in range(6)], "doc_id bigint, text string")
+    out = packing.pack_documents(docs, tokenizer, capacity=64, shard_rows=100).collect()
+    shards = Counter(r["sequence_id"] >> 40 for r in out)
+    assert len(out) > 300 and len(shards) > 3 and max(shards.values()) < 150
 
 
 def plain_windows(rows, window):

@@ -76,7 +76,7 @@ def test_containment_is_exact(spark, docs, rows, empty, benchmark):
 def test_shuffled_join_gives_the_same(spark, docs, benchmark, monkeypatch):
     items = spark.createDataFrame(benchmark, "item_id bigint, text string")
     want = sorted(map(repr, decontaminate.contaminated(docs, items).collect()))
-    monkeypatch.setattr(decontaminate, "MAX_BROADCAST_ROWS", 0)
+    monkeypatch.setattr(decontaminate, "MAX_BROADCAST_BYTES", 0)
     assert sorted(map(repr, decontaminate.contaminated(docs, items).collect())) == want
 
 
