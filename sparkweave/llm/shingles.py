@@ -12,10 +12,10 @@ Hashes travel to blocks by their value, packed with a list of their nodes, and c
 Of hashes that many nodes of one task have, the task settles what it can itself, so that a shingle in a
 great share of all texts costs a block a bounded number of rows a task.
 
-Nodes meet under their keys in two steps: first each meets the smallest node of the key, and the smallest
-that has the same least hash, which links large groups of copies by one row a node and key; then nodes of
-different groups so found meet, group by group, so that no pairs form within a group. Exact but for equal
-64-bit hashes.
+Nodes meet under their keys in steps, and only those that earlier steps left in different groups: first each
+meets one node of the key, which links large groups of copies by a row a node and key; then the nodes of
+small buckets of a key meet, dealt anew in each round, which links what is alike in places; what is in
+different groups still meets as a whole. No pair is compared twice. Exact but for equal 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -228,7 +228,7 @@ def whole_sets(docs: DataFrame, size: int) -> DataFrame:
 
 
 def keys_of(sets: DataFrame, threshold: float, blocks: int) -> DataFrame:
-    """node, n, least (its least hash), token, place: the shingles by which nodes find all nodes alike to them.
+    """node, n, token, place: the shingles by which nodes find all nodes alike to them.
 
     Shingles stand in one order for all, rarest first. Of two alike texts both have a common shingle among
     the first n - least_shared + 1; the ones of a single text find nothing and are left out. place: how
@@ -264,13 +264,12 @@ def keys_of(sets: DataFrame, threshold: float, blocks: int) -> DataFrame:
         nth = np.arange(len(told)) - np.repeat(at, m)
         kept = nth < np.repeat(wanted, m)
         place = (nth + np.repeat(n - m, m))[kept]
-        least = np.repeat(np.minimum.reduceat(told["token"], at) if len(at) else told["token"], m)[kept]
         told = told[kept]
-        columns = {"node": told["node"], "n": told["n"].astype(np.int64), "least": least.view(np.int64), "token": told["token"].view(np.int64), "place": place.astype(np.int64)}
+        columns = {"node": told["node"], "n": told["n"].astype(np.int64), "token": told["token"].view(np.int64), "place": place.astype(np.int64)}
         return pa.table({k: pa.array(np.ascontiguousarray(v), pa.int64()) for k, v in columns.items()})
 
     dealt = sets.mapInArrow(deal, BLOCKS)
-    return dealt.groupBy("block").applyInArrow(count, PARTS).groupBy("part").applyInArrow(first, "node bigint, n bigint, least bigint, token bigint, place bigint")
+    return dealt.groupBy("block").applyInArrow(count, PARTS).groupBy("part").applyInArrow(first, "node bigint, n bigint, token bigint, place bigint")
 
 
 def likeness(a: bytes, b: bytes) -> float:
@@ -304,9 +303,45 @@ def possible(threshold: float, x: str, y: str):
     return F.least(F.col(f"{x}n") - F.col(f"{x}place"), F.col(f"{y}n") - F.col(f"{y}place")) >= F.ceil(F.lit(threshold / (1 + threshold)) * n - F.lit(1e-9))
 
 
-def ordered(rows: DataFrame) -> DataFrame:
-    """Distinct pairs a < b of rows xnode, ynode."""
-    return rows.where("xnode <> ynode").select(F.least("xnode", "ynode").alias("a"), F.greatest("xnode", "ynode").alias("b")).distinct()
+def side(rows: DataFrame, name: str, *more: str) -> DataFrame:
+    return rows.select(*more, *(F.col(c).alias(name + c) for c in ("node", "n", "place", "group")))
+
+
+def links_under_keys(keyed: DataFrame, sets: DataFrame, threshold: float, scratch: Scratch, rounds: int = 2, bucket: int = 16) -> DataFrame:
+    """a, b: alike nodes, enough to connect all that are."""
+    counts = keyed.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
+    keyed = scratch.cut(keyed.join(counts, "token"))
+    links = tested = None
+
+    def grouped(rows: DataFrame) -> DataFrame:
+        if links is None:
+            return rows.withColumn("group", F.col("node"))
+        found = scratch.cut(connected_components(links, scratch))
+        return rows.join(found, "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component")
+
+    def test(met: DataFrame) -> None:
+        nonlocal links, tested
+        met = met.where((F.col("xgroup") != F.col("ygroup")) & possible(threshold, "x", "y"))
+        pairs = met.select(F.least("xnode", "ynode").alias("a"), F.greatest("xnode", "ynode").alias("b")).distinct()
+        pairs = scratch.cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        good = scratch.cut(alike(pairs, sets, threshold, scratch))
+        links = good if links is None else links.unionByName(good)
+
+    def meeting(rows: DataFrame, *keys: str) -> DataFrame:
+        return side(rows, "x", *keys).join(side(rows, "y", *keys), list(keys)).where("xnode < ynode")
+
+    rows = grouped(keyed)
+    one = F.min(F.struct(F.xxhash64("node", F.pmod("token", F.lit(8))), "node", "n", "place", "group")).alias("o")
+    ones = rows.groupBy("token").agg(one).select("token", *(F.col(f"o.{c}").alias(f"y{c}") for c in ("node", "n", "place", "group")))
+    test(side(rows, "x", "token").join(ones, "token"))
+    for i in range(rounds):
+        # keys of one bucket are done after the first round
+        rows = grouped(keyed if i == 0 else keyed.where(F.col("c") > bucket))
+        dealt = F.pmod(F.xxhash64("node", "token", F.lit(i)), F.ceil(F.col("c") / bucket))
+        test(meeting(scratch.cut(rows.withColumn("bucket", dealt)), "token", "bucket"))
+    test(meeting(scratch.cut(grouped(keyed.where(F.col("c") > bucket))), "token"))
+    return links
 
 
 def similar(docs: DataFrame, size: int = 5, threshold: float = 0.8, block_bytes: int = 16 << 20) -> DataFrame:
@@ -326,29 +361,7 @@ def similar(docs: DataFrame, size: int = 5, threshold: float = 0.8, block_bytes:
     # one row of each node that is left is read again; some others come along and do no harm
     again, _ = Members.of(left, F.xxhash64("first"), scratch).split(docs.select("doc_id", "text"), F.xxhash64("doc_id"))
     sets = scratch.cut(whole_sets(again, size).groupBy("node").agg(F.first("n").alias("n"), F.first("hashes").alias("hashes")))
-    keyed = scratch.cut(keys_of(sets, threshold, blocks))
-
-    def side(rows: DataFrame, name: str, *more: str) -> DataFrame:
-        return rows.select("token", *(F.col(c).alias(name + c) for c in ("node", "n", "place", *more)))
-
-    met = None
-    for group in (["token"], ["token", "least"]):
-        first = F.min(F.struct("node", "n", "place")).alias("o")
-        reps = keyed.groupBy(*group).agg(first, F.count("*").alias("c")).where("c > 1")
-        reps = reps.select(*group, F.col("o.node").alias("ynode"), F.col("o.n").alias("yn"), F.col("o.place").alias("yplace"))
-        pairs = side(keyed, "x", "least").withColumnRenamed("xleast", "least").join(reps, group).where(possible(threshold, "x", "y")).select("xnode", "ynode")
-        met = pairs if met is None else met.unionByName(pairs)
-    linked = scratch.cut(connected_components(scratch.cut(alike(ordered(met), sets, threshold, scratch)), scratch))
-
-    # groups that meet under a key, then their nodes
-    keyed = scratch.cut(keyed.join(linked, "node", "left").withColumn("group", F.coalesce("component", "node")))
-    groups = keyed.select("token", "group").distinct()
-    several = groups.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
-    groups = scratch.cut(groups.join(several, "token", "left_semi"))
-    facing = groups.select("token", F.col("group").alias("xgroup")).join(groups.select("token", F.col("group").alias("ygroup")), "token").where("xgroup < ygroup")
-    rest = side(keyed, "x", "group").join(facing, ["token", "xgroup"]).join(side(keyed, "y", "group"), ["token", "ygroup"]).where(possible(threshold, "x", "y"))
-    found = alike(ordered(rest), sets, threshold, scratch).unionByName(linked.select(F.col("node").alias("a"), F.col("component").alias("b")))
-    found = connected_components(found, scratch)
+    found = connected_components(links_under_keys(scratch.cut(keys_of(sets, threshold, blocks)), sets, threshold, scratch), scratch)
     # named by the smallest id
     members = nodes.join(found, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
     roots = members.groupBy("component").agg(F.min("first").alias("root"))
