@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import re
+from urllib.parse import quote
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Directories that are never descended into.
 SKIPPED_DIRS = (
-    "node_modules", "__pycache__", "venv", "env", "dist", "build", "coverage", "htmlcov", "site-packages", "target",
-    "vendor", "staticfiles", "media", "bower_components", "jspm_packages", "out", "tmp", "temp", "logs",
+    ".git", "node_modules", ".venv", "venv", "__pycache__", "dist", "build", ".mypy_cache", ".pytest_cache", "docs",
+    "documentation", "website", "docusaurus", "storybook", "starlight_help", "collected_static", "staticfiles",
+    "locale", "site-packages", ".next", ".nuxt", ".turbo", ".cache", "coverage", "htmlcov", ".tox", ".nox", ".yarn",
+    ".pnpm-store",
 )
-SOURCE_SUFFIXES = (".py", ".ts", ".tsx", ".js", ".jsx", ".html", ".graphql", ".gql", ".mjs")
+SOURCE_SUFFIXES = (".py", ".ts", ".tsx", ".js", ".jsx", ".html", ".htm", ".graphql", ".gql")
+LOCKFILES = ("package-lock.json", "yarn.lock", "pnpm-lock.yaml")
 MAX_SOURCE_BYTES = 1 << 20
 #: Directories that hold a package rather than name an app.
 PACKAGE_DIRS = ("models", "views", "serializers", "services", "tasks", "tests", "migrations", "management", "commands", "urls", "api", "forms", "admin", "signals", "permissions", "templatetags", "schema", "consumers", "selectors")
@@ -36,7 +40,7 @@ def is_minified(name: Column) -> Column:
 
 
 def is_lockfile(name: Column) -> Column:
-    return F.lower(name).isin("package-lock.json", "yarn.lock", "pnpm-lock.yaml", "poetry.lock")
+    return F.lower(name).isin(*LOCKFILES)
 
 
 def is_skippable(path: Column) -> Column:
@@ -50,7 +54,7 @@ def is_source(path: Column) -> Column:
 
 def language(path: Column) -> Column:
     s = suffix(path)
-    return F.when(s == ".py", "python").when(s.isin(".ts", ".tsx"), "typescript").when(s.isin(".js", ".jsx", ".mjs"), "javascript").when(s == ".html", "html").when(s.isin(".graphql", ".gql"), "graphql").otherwise("other")
+    return F.when(s == ".py", "python").when(s.isin(".ts", ".tsx"), "typescript").when(s.isin(".js", ".jsx", ".mjs"), "javascript").when(s.isin(".html", ".htm"), "html").when(s.isin(".graphql", ".gql"), "graphql").otherwise("other")
 
 
 def app_of(path: Column) -> Column:
@@ -79,8 +83,11 @@ def slug(name: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(name), r"[^a-z0-9]+", "_"), F.lit("_"))
 
 
-def redact(text: Column) -> Column:
-    """Access tokens of hosting services, and credentials in URLs, masked."""
+def redact(text: Column, *secrets: str) -> Column:
+    """The given secrets, plain and percent-encoded, masked; besides, access tokens of hosting services and credentials in URLs."""
+    for secret in filter(None, secrets):
+        for form in dict.fromkeys((secret, quote(secret, safe=""))):
+            text = F.replace(text, F.lit(form), F.lit("***"))
     text = F.regexp_replace(text, r"\b(gh[pousr]_|glpat-|github_pat_)[A-Za-z0-9_-]{8,}", "$1***")
     text = F.regexp_replace(text, r"(?i)(bearer|token)\s+[A-Za-z0-9._-]{12,}", "$1 ***")
     return F.regexp_replace(text, r"://[^/\s:@]+:[^/\s@]+@", "://***@")

@@ -86,10 +86,19 @@ def _fields(graph: Graph) -> DataFrame:
 
 
 def _scoped(uses: DataFrame, fields: DataFrame, key: list[str]) -> DataFrame:
-    """Uses with the fields of that name: those of the owner's app if there are any, else all."""
-    rows = uses.join(fields, "field", "left").withColumn("same", F.coalesce(F.col("field_app") == F.col("app"), F.lit(False)))
-    some = F.max("same").over(Window.partitionBy(*key, "field"))
-    return rows.withColumn("some", some).where("same or not some")
+    """Uses with the fields of that name: those of the owner's app if there are any, else all.
+
+    The app's own fields are found by (app, name). What is left meets a name's fields, of which only what
+    the rules read is kept: whether all, some or none is a relation or without an index, and the first such.
+    """
+    own = uses.join(fields.withColumnRenamed("field_app", "app"), ["app", "field"])
+    others = uses.join(own.select(*key, "field").distinct(), [*key, "field"], "left_anti")
+    by_name = fields.groupBy("field").agg(
+        F.bool_or("relation").alias("relation"), F.min(F.when(~F.col("covered"), F.col("field_name"))).alias("bare_name"), F.min("field_name").alias("field_name"),
+    )
+    others = others.join(by_name, "field", "left").withColumn("covered", F.col("bare_name").isNull())
+    others = others.withColumn("field_name", F.coalesce("bare_name", "field_name")).drop("bare_name")
+    return own.select(*others.columns).unionByName(others)
 
 
 def nplusone(graph: Graph) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkweave.operators.graph import Graph
 from sparkweave.operators.rules import extra
+from sparkweave.operators.scratch import Scratch
 from sparkweave.schema import CONTRACT_TYPES, HUB_TYPES, INFERRED_BELOW, SINK_TYPES
 
 TEST_TYPES = ("django.test", "react.test")
@@ -21,12 +22,13 @@ def tested_ids(impact: Graph) -> DataFrame:
 
 def sink_coverage(impact: Graph, hops: int = 2) -> DataFrame:
     """id, type, name, covered of every sink: it is covered if something tested lies within some undirected hops."""
+    scratch = Scratch(impact.nodes.sparkSession)
     ids = impact.nodes.select("id")
     e = impact.edges.select("src", "dst").join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
-    both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    near = tested_ids(impact)
-    for _ in range(hops):
-        near = near.unionByName(both.join(near.withColumnRenamed("id", "src"), "src", "left_semi").select(F.col("dst").alias("id"))).distinct()
+    both = scratch.cut(e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
+    near = scratch.cut(tested_ids(impact))
+    for _ in range(hops):  # each hop is written, so that the plan doesn't double with it
+        near = scratch.cut(near.unionByName(both.join(near.withColumnRenamed("id", "src"), "src", "left_semi").select(F.col("dst").alias("id"))).distinct())
     sinks = impact.of_types(*SINK_TYPES).select("id", "type", "name")
     return sinks.join(near.withColumn("covered", F.lit(True)), "id", "left").select("id", "type", "name", F.coalesce("covered", F.lit(False)).alias("covered"))
 
@@ -180,7 +182,15 @@ def file_marks(impact: Graph, roles: DataFrame) -> DataFrame:
 
 
 # Reading order of files by the types they hold.
-READ_ORDER = ("django.model", "django.field", "django.migration_op", "django.serializer", "django.serializer_field", "django.form", "django.service", "django.view", "django.route", "django.task", "openapi.path", "react.api_client", "react.hook", "react.form_schema", "react.component", "react.page")
+READ_ORDER = (
+    "django.serializer", "django.serializer_field", "django.form", "django.route", "openapi.path", "react.form_schema",
+    "django.permission", "django.view", "django.viewset_action", "django.service", "django.model", "django.field",
+    "django.migration_op", "django.receiver", "django.signal", "django.task", "react.page", "react.hook",
+    "react.api_client", "react.query_key", "react.component", "react.server_action", "django.test", "react.test",
+    "graphql.type", "graphql.field", "graphql.operation", "fastapi.route", "fastapi.model", "django.consumer",
+    "django.websocket_route", "django.template", "django.htmx", "django.cache_key", "django.feature_flag",
+    "django.side_effect",
+)
 
 
 def read_order(paths: DataFrame, nodes: DataFrame, skip: Column) -> DataFrame:

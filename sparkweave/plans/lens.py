@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkweave.operators.graph import Graph, make_edges
+from sparkweave.operators.scratch import Scratch
 
 NODE_COLUMNS = ("type", "name", "qualified_name", "file_path", "context", "extra")
 
@@ -49,7 +50,7 @@ def lens(spark: SparkSession, sf_dir: str) -> Graph:
     supplier = read(spark, sf_dir, "supplier").join(nation, col("s_nationkey") == col("n_nationkey"))
     part = read(spark, sf_dir, "part").join(region, col("r_regionkey") == col("p_partkey") % 5)
     orders = read(spark, sf_dir, "orders").join(customer.select("c_custkey", "n_name", "r_name"), col("o_custkey") == col("c_custkey"))
-    items = returns(spark, sf_dir)
+    items = Scratch(spark).cut(returns(spark, sf_dir))  # a join of six tables that many branches read
     view, service, model = cat("n_name", lit(".c"), "c_custkey"), cat("n_name", lit(".s"), "s_suppkey"), cat("p_brand", lit(".p"), "p_partkey")
     serializers = items.groupBy("supplier").agg(F.sort_array(F.collect_set("field")).alias("fields"))
     forms = items.groupBy("customer").agg(F.sort_array(F.collect_set("field")).alias("fields"))

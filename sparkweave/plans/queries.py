@@ -201,7 +201,7 @@ def delete_file_nodes(spark, sf):
 
 #: The seeds of the walks: the views of one file.
 SEED_FILE = "automobile/NATION_3.py"
-HOPS = 4
+HOPS = 8
 _BARRED = "(o.context IS NOT NULL AND EXISTS (SELECT 1 FROM own) AND o.context NOT IN (SELECT context FROM own))"
 _WALK = f"""seeds AS (SELECT id, context FROM nodes WHERE file_path = '{SEED_FILE}'), own AS (SELECT DISTINCT context FROM seeds WHERE context IS NOT NULL),
 steps AS (
@@ -245,15 +245,14 @@ def impact_sinks(spark, sf):
     return impact(spark, sf)[0].of_types(*SINK_TYPES).select("id", "type", "name", "hop", "context")
 
 
-_K_HOP = f"""twoway AS (SELECT src AS n, dst AS other FROM edges WHERE type <> 'belongs_to' AND type <> 'tested_by' UNION SELECT dst, src FROM edges WHERE type <> 'belongs_to' AND type <> 'tested_by'),
-r(id, d) AS (SELECT id, 0 FROM nodes WHERE file_path = '{SEED_FILE}' UNION SELECT b.other, r.d + 1 FROM r JOIN twoway b ON b.n = r.id WHERE r.d < 3)"""
+_K_HOP = f"""twoway AS (SELECT src AS n, dst AS other FROM edges UNION SELECT dst, src FROM edges),
+r(id, d) AS (SELECT id, 0 FROM nodes WHERE file_path = '{SEED_FILE}' UNION SELECT b.other, r.d + 1 FROM r JOIN twoway b ON b.n = r.id WHERE r.d < 6)"""
 
 
 @query(on_lens("SELECT id, CAST(min(d) AS INTEGER) AS hop FROM r GROUP BY id", _K_HOP))
 def k_hop(spark, sf):
     g = lens(spark, sf)
-    slim = graph.Graph(g.nodes, g.edges.where("type not in ('belongs_to', 'tested_by')"))
-    return traverse.k_hop(slim, g.nodes.where(F.col("file_path") == SEED_FILE), 3)
+    return traverse.k_hop(g, g.nodes.where(F.col("file_path") == SEED_FILE), 6)
 
 
 _ISOLATE = f"""fwd(id) AS (SELECT id FROM nodes WHERE file_path = '{SEED_FILE}' UNION SELECT e.dst FROM fwd JOIN edges e ON e.src = fwd.id AND e.type <> 'relates_to'),
@@ -293,13 +292,26 @@ def _apps(spark) -> DataFrame:
     return spark.createDataFrame([], "app string, context string")
 
 
-@query(on_lens("SELECT e.src AS node_id, m.qualified_name AS subject, m.context AS other_context FROM edges e JOIN nodes v ON e.src = v.id JOIN nodes m ON e.dst = m.id WHERE e.type = 'queries_model' AND v.type IN ('django.view', 'django.service') AND v.context <> m.context"))
+#: Views and services with the models of other contexts that they query, joined on keys.
+_FOREIGN = """foreign_use AS (
+  SELECT 'django.view:' || i.customer AS node_id, i.part, v.r_name AS own, p.r_name AS other FROM (SELECT DISTINCT customer, part FROM items) i
+  JOIN (SELECT n_name || '.c' || c_custkey AS customer, r_name FROM customer JOIN nr ON c_nationkey = n_nationkey) v ON v.customer = i.customer JOIN prt p ON p.part = i.part WHERE v.r_name <> p.r_name
+  UNION ALL SELECT 'django.service:' || i.supplier, i.part, v.r_name, p.r_name FROM (SELECT DISTINCT supplier, part FROM items) i
+  JOIN (SELECT n_name || '.s' || s_suppkey AS supplier, r_name FROM supplier JOIN nr ON s_nationkey = n_nationkey) v ON v.supplier = i.supplier JOIN prt p ON p.part = i.part WHERE v.r_name <> p.r_name)"""
+_KEYS = LENS_SQL[: LENS_SQL.index(", forms AS")]
+
+
+def on_keys(body: str, *more: str) -> str:
+    """SQL over the lens's relational part only."""
+    return f"WITH {', '.join([_KEYS, *more])} {body}"
+
+
+@query(on_keys("SELECT node_id, part AS subject, other AS other_context FROM foreign_use", _FOREIGN))
 def foreign_context_queries(spark, sf):
     return rules.foreign_models(lens(spark, sf), _apps(spark)).select("node_id", "subject", "other_context")
 
 
-@query(on_lens("""SELECT f.id AS node_id, t.qualified_name AS subject FROM prt a JOIN prt b ON b.p_partkey = a.p_partkey + 1 JOIN nodes f ON f.id = 'django.field:' || a.part || '.' || a.field JOIN nodes t ON t.id = 'django.model:' || b.part
-WHERE a.p_size % 2 = 0 AND f.context <> t.context"""))
+@query(on_keys("""SELECT 'django.field:' || a.part || '.' || a.field AS node_id, b.part AS subject FROM prt a JOIN prt b ON b.p_partkey = a.p_partkey + 1 WHERE a.p_size % 2 = 0 AND a.r_name <> b.r_name"""))
 def cascade_cross_context(spark, sf):
     return rules.cascades(lens(spark, sf), _apps(spark)).select("node_id", "subject")
 
@@ -357,8 +369,7 @@ def bypassed_interfaces(spark, sf):
     return rules.bypassed_interfaces(graph.Graph(g.nodes, g.edges.unionByName(graph.make_edges(more)))).select("node_id", "subject")
 
 
-@query(on_lens("""SELECT v.id AS node_id, m.qualified_name AS subject, v.context = 'ASIA' AND FALSE OR v.id IN (SELECT id FROM nodes WHERE context = 'ASIA' AND type = 'django.view') AS waived
-FROM edges e JOIN nodes v ON e.src = v.id JOIN nodes m ON e.dst = m.id WHERE e.type = 'queries_model' AND v.type IN ('django.view', 'django.service') AND v.context <> m.context"""))
+@query(on_keys("SELECT node_id, part AS subject, own = 'ASIA' AND node_id LIKE 'django.view:%' AS waived FROM foreign_use", _FOREIGN))
 def waived_findings(spark, sf):
     g = lens(spark, sf)
     waivers = g.of_types("django.view").where("context = 'ASIA'").select(F.lit(rules.RULES[0]).alias("rule"), F.col("id").alias("node"))
@@ -416,7 +427,7 @@ def file_marks(spark, sf):
     return score.file_marks(found, score.node_roles(found, seeds)).select("path", "lead")
 
 
-@query(on_lens("""SELECT file_path AS path, CAST(min(CASE type WHEN 'django.model' THEN 1 WHEN 'django.field' THEN 2 WHEN 'django.service' THEN 7 WHEN 'django.view' THEN 8 WHEN 'django.route' THEN 9 ELSE 17 END) AS INTEGER) AS rank, FALSE AS skip
+@query(on_lens("""SELECT file_path AS path, CAST(min(CASE type WHEN 'django.route' THEN 4 WHEN 'django.view' THEN 8 WHEN 'django.service' THEN 10 WHEN 'django.model' THEN 11 WHEN 'django.field' THEN 12 ELSE 37 END) AS INTEGER) AS rank, FALSE AS skip
 FROM nodes WHERE file_path IS NOT NULL GROUP BY 1"""))
 def read_order(spark, sf):
     g = lens(spark, sf)
@@ -652,9 +663,9 @@ def changed_lines(spark, sf):
     return evolution.changed_lines(c.select(F.concat(F.lit("c"), "conv_id", F.lit("/"), "turn").alias("path"), patch.alias("patch")))
 
 
-@query("SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*')) AS name FROM (SELECT unnest(string_split(text, chr(10))) AS text FROM conversations WHERE role = 'user')")
+@query("SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*')) AS name FROM (SELECT unnest(string_split(text, chr(10))) AS text FROM conversations )")
 def patch_identifiers(spark, sf):
-    c = read(spark, sf, "conversations").where("role = 'user'")
+    c = read(spark, sf, "conversations")
     return evolution.patch_identifiers(c.select(F.array_join(F.transform(F.split("text", "\n"), lambda x: F.concat(F.lit("+ "), x)), "\n").alias("patch")))
 
 

@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkweave.functions.paths import MAX_SOURCE_BYTES, SOURCE_SUFFIXES, app_of, file_name, in_skipped_dir, is_lockfile, is_minified, language, suffix, template_name
-from sparkweave.operators.graph import Graph, make_edges, merge_nodes
+from sparkweave.operators.graph import Graph, last_wins, make_edges, merge_nodes
 from sparkweave.schema import edge_id
 from sparkweave.sources import frontend_source, python_source
 
-RAW = "path string, kind string, id string, type string, name string, qualified_name string, line int, src string, dst string, confidence double, extra string"
+RAW = "path string, kind string, id string, type string, name string, qualified_name string, line int, src string, dst string, confidence double, extra string, at int"
 FUNCTIONS = "path string, name string, start int, end int, complexity int"
 
 
@@ -37,19 +37,19 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
             parse = python_source.extract if path.endswith(".py") else frontend_source.extract
-            rows += [(path, *r) for r in parse(path, content or "")]
+            rows += [(path, *r, at) for at, r in enumerate(parse(path, content or ""))]
         columns = zip(*rows, strict=True) if rows else [[]] * len(names)
         yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, schema, strict=True)], schema=schema)
 
 
 def extract_sources(files: DataFrame) -> DataFrame:
     """Raw rows of Python, TypeScript and JavaScript files (path, content as text)."""
-    return files.where(F.col("path").rlike(r"\.(py|tsx?|jsx?|mjs)$")).select("path", "content").mapInArrow(_rows, RAW)
+    return files.where(F.col("path").rlike(r"(?i)\.(py|tsx?|jsx?)$")).select("path", "content").mapInArrow(_rows, RAW)
 
 
 def extract_templates(files: DataFrame) -> DataFrame:
     """Raw rows of HTML templates: the template, URL names, what it extends or includes, and calls of its attributes."""
-    html = files.where(F.col("path").endswith(".html")).select("path", "content", template_name(F.col("path")).alias("t"))
+    html = files.where(F.col("path").rlike(r"(?i)\.html?$")).select("path", "content", template_name(F.col("path")).alias("t"))
     me = F.concat(F.lit("django.template:"), "t")
     null = F.lit(None)
 
@@ -57,10 +57,10 @@ def extract_templates(files: DataFrame) -> DataFrame:
         return F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(pattern), group)))
 
     def node(rows, id, kind, name, qualified, extra=null):
-        return rows.select("path", F.lit("node").alias("kind"), id.alias("id"), F.lit(kind).alias("type"), name.alias("name"), qualified.alias("qualified_name"), F.lit(1).alias("line"), null.cast("string").alias("src"), null.cast("string").alias("dst"), null.cast("double").alias("confidence"), extra.cast("string").alias("extra"))
+        return rows.select("path", F.lit("node").alias("kind"), id.alias("id"), F.lit(kind).alias("type"), name.alias("name"), qualified.alias("qualified_name"), F.lit(1).alias("line"), null.cast("string").alias("src"), null.cast("string").alias("dst"), null.cast("double").alias("confidence"), extra.cast("string").alias("extra"), F.lit(0).alias("at"))
 
     def edge(rows, src, kind, dst):
-        return rows.select("path", F.lit("edge").alias("kind"), edge_id(src, F.lit(kind), dst).alias("id"), F.lit(kind).alias("type"), null.cast("string").alias("name"), null.cast("string").alias("qualified_name"), null.cast("int").alias("line"), src.alias("src"), dst.alias("dst"), F.lit(0.9).alias("confidence"), null.cast("string").alias("extra"))
+        return rows.select("path", F.lit("edge").alias("kind"), edge_id(src, F.lit(kind), dst).alias("id"), F.lit(kind).alias("type"), null.cast("string").alias("name"), null.cast("string").alias("qualified_name"), null.cast("int").alias("line"), src.alias("src"), dst.alias("dst"), F.lit(0.9).alias("confidence"), null.cast("string").alias("extra"), F.lit(0).alias("at"))
 
     urls = html.select("path", "t", found(r"\{%\s*url\s+['\"]([^'\"]+)['\"]").alias("x"))
     parents = html.select("path", "t", found(r"\{%\s*(?:extends|include)\s+['\"]([^'\"]+)['\"]").alias("x"))
@@ -107,7 +107,8 @@ def to_graph(raw: DataFrame, contexts: DataFrame | None = None) -> tuple[Graph,
     shown = F.when(F.col("value").rlike(r"^(\[|\{|true$|false$|-?\d+(\.\d+)?$)"), F.col("value")).otherwise(F.to_json(F.array("value")).substr(F.lit(2), F.length(F.to_json(F.array("value"))) - 2))
     whole = values.select("id", F.concat(F.lit('"'), "key", F.lit('":'), shown).alias("pair")).groupBy("id").agg(F.concat(F.lit("{"), F.array_join(F.sort_array(F.collect_list("pair")), ","), F.lit("}")).alias("extra"))
     nodes = merged.drop("extra").join(whole, "id", "left").select("id", "type", "name", "qualified_name", "file_path", "start_line", "end_line", "context", "extra")
-    e = raw.where("kind = 'edge'").select("src", "dst", "type", "confidence", "extra").groupBy("src", "dst", "type").agg(F.max_by("confidence", F.struct("confidence", "extra")).alias("confidence"), F.max_by("extra", F.struct("confidence", "extra")).alias("extra"))
+    # of an edge's versions the last counts, by file and place in it
+    e = last_wins(raw.where("kind = 'edge'").select("src", "dst", "type", F.struct("path", "at").alias("seq"), "confidence", "extra"), ["src", "dst", "type"], "seq")
     return Graph(nodes, make_edges(e)).pruned(), raw.where("kind = 'residual'").select("path", F.col("name").alias("what"), "line")
 
 
