@@ -1,19 +1,28 @@
-"""Substring dedup by relative Lempel-Ziv parsing against an index of reference blocks.
-
-Every document is a reference for those with a greater id. The references' windows (``window`` words in a
-row) are indexed in blocks: a window belongs to the block of its anchor, the smallest hash among the
-shorter word n-grams in it, so that equal windows always meet in the same block and neighbouring windows
-mostly share an anchor and travel as one entry. Looking a document up in all blocks gives, for each of
-its windows, whether an earlier document holds it. A greedy parse then turns runs of such windows into
-factors: each goes on while the next window is indexed too. Windows that lie across the boundary of two
-entries belong to one of them, so none is missed there. Words covered by factors are the duplicate spans.
-
-Windows are compared by their hash and their anchor's (64 bits each). Before they travel, each task
-settles the windows that its own documents share, so that of a passage in very many documents each task
-sends one. Texts travel once, at the end, to meet their factors.
-
-Defined cases: a null text has no words. Rows with a null id keep all words and are no reference. Of rows
-with one id none is the earlier one; each row is judged by its own text, and repeated rows alike.
+"""Substring dedup by relative Lempel-Ziv parsing against reference blocks.
+
+Every document is a reference for those with a greater id. The references' text is dealt into blocks: a
+window (``window`` words in a row) belongs to the block of its anchor, the smallest hash among the shorter
+word n-grams in it, so equal windows always meet in the same block, and neighbouring windows, which mostly
+share an anchor, travel as one stretch of words. A block is the text of all its stretches, with an index from
+windows to the first place, by document, that has them.
+
+Each document's stretches are parsed greedily against the block: at each window the index gives the first
+place with the same words; if its document is an earlier one, a factor (place, length) begins there and goes on
+while the place's text goes on like the document's. Where a factor ends, the next window is looked up anew,
+so windows over the boundary of two factors are found in the index as well; those over the end of a stretch
+belong to the next one. Candidates come from hashes; words decide. Factors of one document that continue each
+other are joined across blocks. A factor covers at least ``window`` words; what factors cover are the duplicate
+spans.
+
+A task parses its own documents against each other first, so that of a passage in very many documents each
+task sends one. Anchors that are too frequent for a block (all occurrences are counted, but for those that a
+task has less than ``SELDOM`` times) hand their windows on one by one, each to the block of its own hash. Texts
+travel once, to meet their factors, and only those whose ids a filter can't tell from ids without any.
+
+Defined cases: a null text has no words. Very long texts are parsed whole. Rows with a null id keep all words
+and are no reference. Of rows with one id none is the earlier one; each row is judged by its own text, and
+repeated rows alike. Of several earlier documents that tie, the smallest id is the source. An empty table
+gives no rows. Columns other than the id and the text are not read.
 """
 
 from __future__ import annotations
@@ -27,11 +36,18 @@ from pyspark.sql import functions as F
 
 from sparkweave.llm import textvec
 from sparkweave.llm.common import pick, table
+from sparkweave.llm.members import Members
+from sparkweave.operators.scratch import Scratch
 
 U32, U64 = np.uint32, np.uint64
-ENTRY = "block int, ids binary, digests binary, entries binary, anchors binary, starts binary, sizes binary, hashes binary, settled binary"
+ENTRY = "block int, ids binary, digests binary, entries binary, starts binary, sizes binary, words binary, codes binary, told binary"
 SPANS = "array<struct<start:int,end:int>>"
-_SETTLED = np.dtype([("id", "<i8"), ("digest", "<u4"), ("start", "<u4"), ("n", "<u4")])
+FACTORS = "array<struct<start:int,words:int,source:bigint,source_start:int>>"
+#: ``n`` windows from ``start`` on in document ``id`` stand in document ``source`` from ``at`` on.
+_FACTOR = np.dtype([("id", "<i8"), ("digest", "<u4"), ("start", "<u4"), ("n", "<u4"), ("source", "<i8"), ("at", "<u4")])
+#: Occurrences of an anchor in a task's portion from which on they are counted.
+SELDOM = 4
+MOST_CROWDED = 1 << 17
 
 
 def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
@@ -60,50 +76,84 @@ def unsmall(data: bytes, n: int) -> np.ndarray:
     return np.frombuffer(data, f"<u{len(data) // n}").astype(np.int64) if n else np.zeros(0, np.int64)
 
 
-class Windows:
-    """Windows of one task's documents, until they are sent."""
+def window_keys(codes: np.ndarray, places: np.ndarray, window: int) -> np.ndarray:
+    """Hash of the ``window`` codes from each place."""
+    h = np.zeros(len(places), U64)
+    for j in range(window):
+        h = h * textvec.BASE + textvec.mix(codes[places + j].astype(U64) + U64(1))
+    return textvec.mix(h)
+
+
+def first_places(codes: np.ndarray, places: np.ndarray, ids: np.ndarray, window: int, keys: np.ndarray) -> np.ndarray:
+    """For each window (where it starts in ``codes``): the number of the window with the same words that has the smallest id,
+    the first of those. ``keys`` only say which may be equal."""
+    out, left = np.arange(len(places)), np.lexsort((places, ids, keys))
+    while len(left):
+        at, n = runs(np.concatenate([[True], keys[left][1:] != keys[left][:-1]]))
+        lead = np.repeat(left[at], n)
+        same = np.ones(len(left), bool)
+        for j in range(window):
+            same &= codes[places[left] + j] == codes[places[lead] + j]
+        out[left[same]] = lead[same]
+        left = left[~same]  # other words with an equal hash: among themselves
+    return out
+
+
+def parse(docs: np.ndarray, starts: np.ndarray, places: np.ndarray, first: np.ndarray, ids: np.ndarray, digests: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Factors of windows in order (number of document, start in it, place in the block's text, first equal window), and
+    whether each window lies in one."""
+    inside = ids > ids[first]
+    hit = np.flatnonzero(inside)
+    goes_on = (hit[1:] == hit[:-1] + 1) & (docs[hit][1:] == docs[hit][:-1]) & (starts[hit][1:] == starts[hit][:-1] + 1)
+    source = first[hit]
+    goes_on &= (docs[source][1:] == docs[source][:-1]) & (places[source][1:] == places[source][:-1] + 1)
+    at, n = runs(np.concatenate([[True], ~goes_on])) if len(hit) else (np.zeros(0, np.int64),) * 2
+    out = np.empty(len(at), _FACTOR)
+    out["id"], out["digest"], out["start"], out["n"] = ids[hit[at]], digests[hit[at]], starts[hit[at]], n
+    out["source"], out["at"] = ids[source[at]], starts[source[at]]
+    return out, inside
 
-    def __init__(self, window: int, gram: int, blocks: int):
-        self.window, self.gram, self.blocks = window, gram, blocks
+
+class Stretches:
+    """Texts of one task, until they are sent."""
+
+    def __init__(self, window: int, gram: int, blocks: int, crowded: np.ndarray):
+        self.window, self.gram, self.blocks, self.crowded = window, gram, blocks, crowded
         self.clear()
 
     def clear(self):
-        self.parts, self.ids, self.digests, self.size = [], [], [], 0
+        self.parts, self.ids, self.digests, self.size, self.code_of, self.held = [], [], [], 0, {}, 0
 
     def add(self, ids: list[int], texts: list[bytes], digests: list[int]) -> None:
         words = textvec.Words(texts)
+        codes = np.fromiter((self.code_of.setdefault(w, len(self.code_of)) for own in words.lists for w in own), "<u4", len(words.hashes))
         h, whole = words.windows(self.window)
-        if whole.any():
-            grams, _ = words.windows(self.gram)
-            anchor = sliding_min(grams, self.window - self.gram + 1)[whole]
-            text = words.text[: len(h)][whole]
-            start = (np.arange(len(h)) - words.starts[words.text[: len(h)]])[whole]
-            self.parts.append((h[whole], anchor, (text + len(self.ids)).astype(U32), start.astype(U32)))
-            self.size += len(text)
+        grams, _ = words.windows(self.gram)
+        at = np.flatnonzero(whole)
+        anchor = sliding_min(grams, self.window - self.gram + 1)[at] if len(at) else np.zeros(0, U64)
+        text = words.text[at]
+        self.parts.append((codes, h[at], anchor, text + len(self.ids), at - words.starts[text], at + self.held))
+        self.size += len(at)
+        self.held += len(codes)
         self.ids += ids
         self.digests += digests
 
     def flush(self) -> Iterator[dict]:
-        """Rows for the blocks, and what is settled here."""
-        if not self.parts:
-            return
-        h, anchor, doc, start = (np.concatenate(x) for x in zip(*self.parts))
+        """Rows for the blocks, with the factors found here."""
+        codes, h, anchor, doc, start, place = (np.concatenate(x) for x in zip(*self.parts)) if self.parts else (np.zeros(0, U64),) * 6
+        if not self.size:
+            return self.clear()
+        vocabulary = np.empty(len(self.code_of), object)
+        vocabulary[:] = list(self.code_of)
         ids, digests = np.array(self.ids, np.int64), np.array(self.digests, U32)
         self.clear()
-        order = np.argsort(h, kind="stable")
-        at, n = runs(np.concatenate([[True], h[order][1:] != h[order][:-1]]))
-        owner = ids[doc[order]]
-        first = np.empty(len(h), np.int64)
-        first[order] = np.repeat(np.minimum.reduceat(owner, at), n)
-        own = ids[doc]
-        repeated = own > first
-        settled = self._settled(repeated, doc, start, ids, digests)
-        # of one id's own repeats one is enough to say that the id has the window, but each has to be told
-        h, anchor, doc, start = (x[~repeated] for x in (h, anchor, doc, start))
-        follows = (doc[1:] == doc[:-1]) & (start[1:] == start[:-1] + U32(1)) & (anchor[1:] == anchor[:-1])
+        told, inside = parse(doc, start, place, first_places(codes, place, ids[doc], self.window, h), ids[doc], digests[doc])
+        h, anchor, doc, start, place = (x[~inside] for x in (h, anchor, doc, start, place))
+        single = np.isin(anchor, self.crowded)
+        follows = (doc[1:] == doc[:-1]) & (start[1:] == start[:-1] + 1) & (anchor[1:] == anchor[:-1]) & ~single[1:]
         at, n = runs(np.concatenate([[True], ~follows])) if len(h) else (np.zeros(0, np.int64),) * 2
         at, n = _split(at, n, 255)
-        block = (anchor[at] % U64(self.blocks)).astype(np.int64)
+        block = (textvec.mix(np.where(single, h, anchor)[at]) % U64(self.blocks)).astype(np.int64)
         by_block = np.argsort(block, kind="stable")
         at, n, block = at[by_block], n[by_block], block[by_block]
         where, count = runs(np.concatenate([[True], block[1:] != block[:-1]])) if len(block) else (np.zeros(0, np.int64),) * 2
@@ -111,22 +161,13 @@ class Windows:
             own_at, own_n = at[a : a + m], n[a : a + m]
             of = doc[own_at]
             doc_at, doc_n = runs(np.concatenate([[True], of[1:] != of[:-1]]))
+            used, own_codes = np.unique(codes[_expand(place[own_at], own_n + self.window - 1)], return_inverse=True)
             yield {
                 "block": int(block[a]), "ids": ids[of[doc_at]].tobytes(), "digests": digests[of[doc_at]].tobytes(), "entries": small(doc_n),
-                "anchors": anchor[own_at].tobytes(), "starts": small(start[own_at]), "sizes": small(own_n), "hashes": h[_expand(own_at, own_n)].tobytes(),
-                "settled": settled if not i else b"",
+                "starts": small(start[own_at]), "sizes": small(own_n), "words": b" ".join(vocabulary[used]), "codes": small(own_codes), "told": told.tobytes() if not i else b"",
             }
-        if not len(where) and settled:
-            yield dict.fromkeys(("ids", "digests", "entries", "anchors", "starts", "sizes", "hashes"), b"") | {"block": 0, "settled": settled}
-
-    def _settled(self, repeated, doc, start, ids, digests) -> bytes:
-        doc, start = doc[repeated], start[repeated]
-        if not len(doc):
-            return b""
-        at, n = runs(np.concatenate([[True], ~((doc[1:] == doc[:-1]) & (start[1:] == start[:-1] + U32(1)))]))
-        out = np.empty(len(at), _SETTLED)
-        out["id"], out["digest"], out["start"], out["n"] = ids[doc[at]], digests[doc[at]], start[at], n
-        return out.tobytes()
+        if not len(where) and len(told):
+            yield dict.fromkeys(("ids", "digests", "entries", "starts", "sizes", "words", "codes"), b"") | {"block": 0, "told": told.tobytes()}
 
 
 def _split(at: np.ndarray, n: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -144,57 +185,57 @@ def _expand(at: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.repeat(at - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
 
 
-def parse_block(rows: list[dict]) -> np.ndarray:
-    """Runs of windows that a smaller id has too (dtype _SETTLED)."""
-    ids, digests, starts, sizes, anchors, keys = [], [], [], [], [], []
+def parse_block(rows: list[dict], window: int) -> np.ndarray:
+    """Factors of a block's stretches by its own text, and those that the rows bring along."""
+    ids, digests, starts, sizes, codes, code_of = [], [], [], [], [], {}
     for r in rows:
-        entries = len(r["anchors"]) // 8
         per_doc = unsmall(r["entries"], len(r["ids"]) // 8)
+        entries = int(per_doc.sum())
         ids.append(np.repeat(np.frombuffer(r["ids"], "<i8"), per_doc))
         digests.append(np.repeat(np.frombuffer(r["digests"], "<u4"), per_doc))
         starts.append(unsmall(r["starts"], entries))
         sizes.append(unsmall(r["sizes"], entries))
-        anchors.append(np.repeat(np.frombuffer(r["anchors"], "<u8"), sizes[-1]))
-        keys.append(np.frombuffer(r["hashes"], "<u8"))
-    ids, digests, starts, sizes, anchors, keys = (np.concatenate(x) for x in (ids, digests, starts, sizes, anchors, keys))
-    entry = np.repeat(np.arange(len(ids)), sizes)
-    order = np.lexsort((anchors, keys))
-    keys, anchors = keys[order], anchors[order]
-    at, n = runs(np.concatenate([[True], (keys[1:] != keys[:-1]) | (anchors[1:] != anchors[:-1])])) if len(keys) else (np.zeros(0, np.int64),) * 2
-    first = np.empty(len(keys), np.int64)
-    if len(keys):
-        first[order] = np.repeat(np.minimum.reduceat(ids[entry[order]], at), n)
-    hit = np.flatnonzero(ids[entry] > first)
-    start = starts[entry[hit]] + (hit - (np.cumsum(sizes) - sizes)[entry[hit]])
-    same = (entry[hit][1:] == entry[hit][:-1]) & (hit[1:] == hit[:-1] + 1)
-    at, n = runs(np.concatenate([[True], ~same])) if len(hit) else (np.zeros(0, np.int64),) * 2
-    out = np.empty(len(at), _SETTLED)
-    out["id"], out["digest"], out["start"], out["n"] = ids[entry[hit[at]]], digests[entry[hit[at]]], start[at], n
-    return np.concatenate([out, *(np.frombuffer(r["settled"], _SETTLED) for r in rows)])
-
-
-def dealt(covered: np.ndarray, parts: int) -> Iterator[tuple[int, bytes]]:
-    """Covered runs by the part of their document."""
-    part = (textvec.mix(covered["id"].view(U64)) % U64(parts)).astype(np.int64)
+        own = np.array([code_of.setdefault(w, len(code_of)) for w in r["words"].split()], np.int64)
+        codes.append(own[unsmall(r["codes"], int((sizes[-1] + window - 1).sum()))] if entries else own)
+    ids, digests, starts, sizes, codes = (np.concatenate(x) for x in (ids, digests, starts, sizes, codes))
+    lengths = sizes + window - 1
+    places = _expand(np.cumsum(lengths) - lengths, sizes)
+    stretch = np.repeat(np.arange(len(ids)), sizes)
+    offset = places - (np.cumsum(lengths) - lengths)[stretch]
+    first = first_places(codes, places, ids[stretch], window, window_keys(codes, places, window))
+    found, _ = parse(stretch, starts[stretch] + offset, places, first, ids[stretch], digests[stretch])
+    return np.concatenate([found, *(np.frombuffer(r["told"], _FACTOR) for r in rows)])
+
+
+def dealt(found: np.ndarray, parts: int) -> Iterator[tuple[int, bytes]]:
+    """Factors by the part of their document."""
+    part = (textvec.mix(found["id"].view(U64)) % U64(parts)).astype(np.int64)
     order = np.argsort(part, kind="stable")
     at, n = runs(np.concatenate([[True], part[order][1:] != part[order][:-1]])) if len(part) else (np.zeros(0, np.int64),) * 2
     for a, m in zip(at.tolist(), n.tolist()):
-        yield int(part[order[a]]), covered[order[a : a + m]].tobytes()
+        yield int(part[order[a]]), found[order[a : a + m]].tobytes()
 
 
 def by_document(payloads: list[bytes]) -> dict[str, object]:
-    """id, digest and runs (start, n) of each document."""
-    out = np.concatenate([np.zeros(0, _SETTLED), *(np.frombuffer(p, _SETTLED) for p in payloads)])
-    out = out[np.lexsort((out["start"], out["digest"], out["id"]))]
+    """id, digest and factors of each document; those that continue one another at the ends of stretches are one."""
+    out = np.concatenate([np.zeros(0, _FACTOR), *(np.frombuffer(p, _FACTOR) for p in payloads)])
+    out = out[np.lexsort((out["at"], out["source"], out["n"], out["start"], out["digest"], out["id"]))]
+    if len(out):
+        out = out[np.concatenate([[True], out[1:] != out[:-1]])]  # of repeated rows
+        same = lambda name, more=0: out[name][1:] == out[name][:-1] + more
+        n = out["n"][:-1]
+        at, count = runs(np.concatenate([[True], ~(same("id") & same("digest") & same("source") & same("start", n) & same("at", n))]))
+        joined = out[at].copy()
+        joined["n"] = np.add.reduceat(out["n"], at)
+        out = joined
     at, n = runs(np.concatenate([[True], (out["id"][1:] != out["id"][:-1]) | (out["digest"][1:] != out["digest"][:-1])])) if len(out) else (np.zeros(0, np.int64),) * 2
-    pairs = np.stack([out["start"], out["n"]], 1).astype("<u4")
-    return {"id": out["id"][at], "digest": out["digest"][at].astype(np.int64), "runs": [pairs[a : a + m].tobytes() for a, m in zip(at.tolist(), n.tolist())]}
+    return {"id": out["id"][at], "digest": out["digest"][at].astype(np.int64), "factors": [out[a : a + m].tobytes() for a, m in zip(at.tolist(), n.tolist())]}
 
 
-def factors(covered: np.ndarray, window: int) -> list[tuple[int, int]]:
-    """Greedy parse: word spans of maximal stretches covered by windows, from sorted window starts and counts."""
+def covered(found: np.ndarray, window: int) -> list[tuple[int, int]]:
+    """Word spans that factors cover; found by ascending start."""
     spans: list[tuple[int, int]] = []
-    for start, n in covered.tolist():
+    for start, n in zip(found["start"].tolist(), found["n"].tolist()):
         end = start + n - 1 + window
         if spans and start <= spans[-1][1]:
             spans[-1] = (spans[-1][0], max(end, spans[-1][1]))
@@ -203,17 +244,47 @@ def factors(covered: np.ndarray, window: int) -> list[tuple[int, int]]:
     return spans
 
 
+def crowded_anchors(docs: DataFrame, window: int, gram: int, most: int, at_once: int = 1_000_000) -> np.ndarray:
+    """Anchors with over ``most`` stretches, sorted; the ``MOST_CROWDED`` commonest at most, so they may be broadcast."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def send() -> pa.RecordBatch:
+            anchor, n = np.unique(np.concatenate([np.zeros(0, U64), *held]), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(anchor[n >= SELDOM].view(np.int64)), pa.array(n[n >= SELDOM])], ["anchor", "n"])
+
+        held, size = [], 0
+        for batch in textvec.portions(batches):
+            for _, group in textvec.groups(batch.column("text").cast(pa.binary()).to_pylist()):
+                words = textvec.Words(group)
+                _, whole = words.windows(window)
+                if whole.any():
+                    anchor = sliding_min(words.windows(gram)[0], window - gram + 1)[whole]
+                    held.append(anchor[np.concatenate([[True], anchor[1:] != anchor[:-1]])])
+                    size += len(anchor)
+                if size >= at_once:
+                    yield send()
+                    held, size = [], 0
+        yield send()
+
+    counts = docs.where("doc_id is not null and text is not null").select("text").mapInArrow(run, "anchor bigint, n bigint").groupBy("anchor").agg(F.sum("n").alias("n"))
+    rows = counts.where(F.col("n") > most).orderBy(F.desc("n"), "anchor").limit(MOST_CROWDED).toArrow()
+    return np.sort(rows.column("anchor").to_numpy().view(U64))
+
+
 def dedupe_substrings(docs: DataFrame, window: int = 13, gram: int = 4, block_bytes: int = 4 << 20, task_windows: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, spans (removed words, end exclusive) and kept (the other words, joined by a space) of every row."""
+    """doc_id, n_words, spans (removed words, end exclusive), factors (where they come from) and kept (the other words, joined by a space) of every row."""
     spark = docs.sparkSession
+    scratch = Scratch(spark)
     docs = pick(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("bigint"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // block_bytes))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), blocks // 8)
     digest = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    # a stretch has some five windows of some six bytes a word: an anchor may fill an eighth of a block
+    crowded = spark.sparkContext.broadcast(crowded_anchors(docs, window, gram, max(200, total // blocks // 240)))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = Windows(window, gram, blocks)
+        held = Stretches(window, gram, blocks, crowded.value)
         names = [x.split()[0] for x in ENTRY.split(", ")]
         schema = pa.schema([(n, pa.int32() if n == "block" else pa.binary()) for n in names])
         for batch in textvec.portions(batches):
@@ -224,39 +295,40 @@ def dedupe_substrings(docs: DataFrame, window: int = 13, gram: int = 4, block_by
                     yield pa.RecordBatch.from_pylist(list(held.flush()), schema)
         yield pa.RecordBatch.from_pylist(list(held.flush()), schema)
 
-    def parse(group: pa.Table) -> pa.Table:
-        rows = list(dealt(parse_block(group.to_pylist()), parts))
-        return pa.table({"part": pa.array([r[0] for r in rows], pa.int32()), "covered": pa.array([r[1] for r in rows], pa.binary())})
+    def parsed(group: pa.Table) -> pa.Table:
+        rows = list(dealt(parse_block(group.to_pylist(), window), parts))
+        return pa.table({"part": pa.array([r[0] for r in rows], pa.int32()), "found": pa.array([r[1] for r in rows], pa.binary())})
 
     def collect(group: pa.Table) -> pa.Table:
-        out = by_document(group.column("covered").to_pylist())
-        return pa.table({"id": pa.array(out["id"], pa.int64()), "digest": pa.array(out["digest"], pa.int64()), "runs": pa.array(out["runs"], pa.binary())})
+        out = by_document(group.column("found").to_pylist())
+        return pa.table({"id": pa.array(out["id"], pa.int64()), "digest": pa.array(out["digest"], pa.int64()), "factors": pa.array(out["factors"], pa.binary())})
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+        kinds = [pa.list_(pa.struct([(x, pa.int64() if x == "source" else pa.int32()) for x in names])) for names in (("start", "end"), ("start", "words", "source", "source_start"))]
         for batch in textvec.portions(batches):
-            counts, spans, kept = [], [], []
-            for text, parts in zip(batch.column("text").cast(pa.binary()), batch.column("runs"), strict=True):
+            counts, spans, sources, kept = [], [], [], []
+            for text, factors in zip(batch.column("text").cast(pa.binary()), batch.column("factors"), strict=True):
                 words = (text.as_py() or b"").split()
                 counts.append(len(words))
-                own = []
-                if parts.is_valid:
-                    own = factors(np.frombuffer(parts.as_py(), "<u4").reshape(-1, 2).astype(np.int64), window)
+                found = np.frombuffer(factors.as_py() or b"", _FACTOR)
+                own = covered(found, window)
                 spans.append([{"start": a, "end": b} for a, b in own])
+                sources.append([{"start": r[0], "words": r[1] + window - 1, "source": r[2], "source_start": r[3]} for r in found[["start", "n", "source", "at"]].tolist()])
                 last, rest = 0, []
                 for a, b in own:
                     rest += words[last:a]
                     last = b
                 kept.append(b" ".join(rest + words[last:] if own else words))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "spans", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(spans, kinds[0]), pa.array(sources, kinds[1]), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "spans", "factors", "kept"])
 
     rows = docs.where("doc_id is not null and text is not null").select("doc_id", "text", digest.alias("digest")).mapInArrow(index, ENTRY)
-    # runs of a document come from many blocks: they travel in bulk by parts of the ids, not one by one
-    found = rows.groupBy("block").applyInArrow(parse, "part int, covered binary")
-    found = found.groupBy("part").applyInArrow(collect, "id bigint, digest bigint, runs binary")
-    texts = docs.withColumn("of", digest)
-    joined = texts.join(found, (F.col("doc_id") == F.col("id")) & (F.col("of") == F.col("digest")), "left")
-    return joined.select("doc_id", "text", "runs").mapInArrow(cut, f"doc_id bigint, n_words bigint, spans {SPANS}, kept string")
+    # factors of a document come from many blocks: they travel in bulk by parts of the ids, not one by one
+    found = rows.groupBy("block").applyInArrow(parsed, "part int, found binary")
+    found = scratch.cut(found.groupBy("part").applyInArrow(collect, "id bigint, digest bigint, factors binary"))
+    some, others = Members.of(found.select("id").distinct(), F.xxhash64("id"), scratch).split(docs.withColumn("of", digest), F.xxhash64("doc_id"))
+    joined = some.join(found, (F.col("doc_id") == F.col("id")) & (F.col("of") == F.col("digest")), "left").select("doc_id", "text", "factors")
+    every = joined.unionByName(others.select("doc_id", "text", F.lit(None).cast("binary").alias("factors")))
+    return every.mapInArrow(cut, f"doc_id bigint, n_words bigint, spans {SPANS}, factors {FACTORS}, kept string")
 
 
 def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -399,22 +399,35 @@ def test_similar_texts_are_linked(spark, docs, rows, empty):
     assert shingles.likeness(b"", b"") == 1.0
 
 
-def test_windows_that_share_half_their_hash_differ(monkeypatch):
-    real = textvec.Words.windows
-
-    def windows(self, n):
-        h, whole = real(self, n)
-        # only the high half tells windows apart; all have one anchor
-        return (h & np.uint64(0xFFFFFFFF00000000) if n == 13 else np.zeros_like(h)), whole
+def test_windows_with_equal_hashes_are_told_apart_by_words():
+    texts = [[f"a{k}" for k in range(20)], [f"b{k}" for k in range(20)], [f"a{k}" for k in range(3, 18)]]
+    code_of, codes, places, ids = {}, [], [], []
+    for i, words in enumerate(texts):
+        places += [len(codes) + p for p in range(len(words) - 12)]
+        ids += [i] * (len(words) - 12)
+        codes += [code_of.setdefault(w, len(code_of)) for w in words]
+    first = substring.first_places(np.array(codes), np.array(places), np.array(ids), 13, np.zeros(len(places), np.uint64))
+    assert first.tolist() == [*range(16), 3, 4, 5]
+
+
+@pytest.mark.parametrize("crowded", [False, True])
+def test_factors_name_their_source(spark, monkeypatch, crowded):
+    import random
 
-    monkeypatch.setattr(textvec.Words, "windows", windows)
-    rows = []
-    for i, text in enumerate([" ".join(f"a{k}" for k in range(20)), " ".join(f"b{k}" for k in range(20)), " ".join(f"a{k}" for k in range(3, 18))]):
-        held = substring.Windows(13, 4, 1)
-        held.add([i], [text.encode()], [i])
-        rows += list(held.flush())
-    found = substring.parse_block(rows)
-    assert [(r["id"], r["start"], r["n"]) for r in found] == [(2, 0, 3)]
+    rng = random.Random(6)
+    if crowded:  # every anchor counts as crowded: windows travel one by one
+        monkeypatch.setattr(substring, "crowded_anchors", lambda docs, window, gram, most: substring.sliding_min(np.unique(np.concatenate([textvec.Words([t.encode()]).windows(4)[0] for _, t in rows])), 1))
+    pool = [f"w{i}" for i in range(40)]
+    text = [[rng.choice(pool) for _ in range(120)] for _ in range(4)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(text)]
+    rows += [(10, " ".join(text[1][20:60] + text[0][5:40] + ["new"] + text[2][:12])), (11, " ".join(text[3][90:] + text[3][:30]))]
+    got = {r["doc_id"]: r for r in substring.dedupe_substrings(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), block_bytes=500).collect()}
+    shown = [(f["start"], f["words"], f["source"], f["source_start"]) for f in got[10]["factors"]]
+    assert shown == [(0, 40, 1, 20), (40, 35, 0, 5)] and [tuple(s) for s in got[10]["spans"]] == [(0, 75)]
+    assert [(f["start"], f["words"], f["source"], f["source_start"]) for f in got[11]["factors"]] == [(0, 30, 3, 90), (30, 30, 3, 0)]
+    for f in (f for r in got.values() for f in r["factors"]):
+        assert f["words"] >= 13
+    assert all(not got[i]["factors"] for i in range(4))
 
 
 def test_all_alike_texts_are_linked_under_a_shared_passage(spark):
