@@ -399,15 +399,15 @@ def test_similar_texts_are_linked(spark, docs, rows, empty):
     assert shingles.likeness(b"", b"") == 1.0
 
 
-def test_windows_with_equal_hashes_are_told_apart_by_words():
-    texts = [[f"a{k}" for k in range(20)], [f"b{k}" for k in range(20)], [f"a{k}" for k in range(3, 18)]]
-    code_of, codes, places, ids = {}, [], [], []
-    for i, words in enumerate(texts):
-        places += [len(codes) + p for p in range(len(words) - 12)]
-        ids += [i] * (len(words) - 12)
-        codes += [code_of.setdefault(w, len(code_of)) for w in words]
-    first = substring.first_places(np.array(codes), np.array(places), np.array(ids), 13, np.zeros(len(places), np.uint64))
-    assert first.tolist() == [*range(16), 3, 4, 5]
+def test_words_decide_about_factors():
+    words = [b"w%d" % i for i in range(40)]
+    found = np.zeros(2, substring._FACTOR)
+    found["start"], found["n"] = [0, 20], [3, 5]
+    proofs = np.array([(0, substring.proof(words, 0, 15)), (1, substring.proof(words, 21, 17))], substring._PROOF)
+    assert substring.checked(found.tobytes(), [proofs[1:].tobytes(), proofs[:1].tobytes()], words, 13)["start"].tolist() == [0]
+    assert len(substring.checked(None, None, words, 13)) == 0
+    first = substring.first_places(np.array([7, 8, 7, 7], np.uint64), np.array([1, 0, 0, 2]), np.array([0, 0, 4, 1]))
+    assert first.tolist() == [2, 1, 2, 2]
 
 
 @pytest.mark.parametrize("crowded", [False, True])
