@@ -135,6 +135,7 @@ class Dealer:
         h = np.concatenate([np.zeros(0, U64), *self.lists])
         owner = np.repeat(np.arange(len(self.lists)), np.fromiter(map(len, self.lists), np.int64, len(self.lists)))
         nodes, sizes = np.array(self.nodes, "<i8"), np.array(self.sizes, "<u4")
+        mark = self.nodes[0] if self.nodes else 0  # some row brings along what is told here, not always the same block's
         self.clear()
         order = np.argsort(h, kind="stable")
         at, n = runs(h[order])
@@ -155,7 +156,7 @@ class Dealer:
             row = (b, nodes[of], sizes[of], counts.astype("<u4"), self.code(h[a:z]), self.code(settled[settled_in == b]))
             for c, x in zip(columns.values(), row):
                 c.append(x if isinstance(x, int) else x.tobytes())
-            columns["told"].append(b"" if i else told)
+            columns["told"].append(told if i == mark % len(every) else b"")
         return pa.RecordBatch.from_arrays([pa.array(v, pa.int32() if k == "block" else pa.binary()) for k, v in columns.items()], list(columns))
 
     def code(self, h: np.ndarray) -> np.ndarray:

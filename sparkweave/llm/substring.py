@@ -154,16 +154,17 @@ class Stretches:
         by_block = np.argsort(block, kind="stable")
         at, n, block = at[by_block], n[by_block], block[by_block]
         where, count = runs(np.concatenate([[True], block[1:] != block[:-1]])) if len(block) else (np.zeros(0, np.int64),) * 2
+        mark = int(textvec.mix(ids[:1].view(U64))[0])  # some row brings the factors found here along, not always the same block's
         for i, (a, m) in enumerate(zip(where.tolist(), count.tolist())):
             own_at, own_n = at[a : a + m], n[a : a + m]
             of = doc[own_at]
             doc_at, doc_n = runs(np.concatenate([[True], of[1:] != of[:-1]]))
             yield {
                 "block": int(block[a]), "ids": ids[of[doc_at]].tobytes(), "digests": digests[of[doc_at]].tobytes(), "entries": small(doc_n),
-                "starts": small(start[own_at]), "sizes": small(own_n), "hashes": h[_expand(own_at, own_n)].tobytes(), "told": told.tobytes() if not i else b"",
+                "starts": small(start[own_at]), "sizes": small(own_n), "hashes": h[_expand(own_at, own_n)].tobytes(), "told": told.tobytes() if i == mark % len(where) else b"",
             }
         if not len(where) and len(told):
-            yield dict.fromkeys(("ids", "digests", "entries", "starts", "sizes", "hashes"), b"") | {"block": 0, "told": told.tobytes()}
+            yield dict.fromkeys(("ids", "digests", "entries", "starts", "sizes", "hashes"), b"") | {"block": mark % self.blocks, "told": told.tobytes()}
 
 
 def _split(at: np.ndarray, n: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
