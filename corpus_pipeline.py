@@ -8,6 +8,12 @@
 5. best-fit packing: the documents' tokens are packed into sequences.
 
 Stages 1 to 4 return the columns of documents; stage 5 returns a row for each piece of a document.
+
+Defined cases, besides those of the operators: an empty table stays empty in every stage. A null or empty text
+passes stage 1 if the model's thresholds alone do, counts as one text without words in stage 2, holds no item
+and no secret in stages 3 and 4, and is one end token in stage 5. Very long texts are read whole throughout.
+Rows with a null id are kept, but for copies of each other; of rows that share an id one stays (stage 2).
+Further columns, whatever their names, are handed on by stages 1 to 4 and left out by stage 5.
 """
 
 from __future__ import annotations
@@ -47,7 +53,7 @@ STAGES = [
     ("packing", packed),
 ]
 
-#: Models, components and tokens are beyond SQL; tests hold run() against a brute-force version.
+#: Models, components and tokens are beyond SQL; tests hold each stage and run() against a brute-force version.
 ORACLE_SQL = None
 
 
