@@ -16,7 +16,7 @@ from sparkweave.operators.evolution import split_patches
 
 
 def read_tree(spark: SparkSession, root: str) -> DataFrame:
-    """path (below the root), content (text) of all files, read by the executors; hidden and skipped directories are not listed."""
+    """path (below the root), content (text) of all files, read by the executors; those in hidden and skipped directories are dropped after they are listed."""
     inside = F.substring_index(F.col("path"), root.rstrip("/") + "/", -1)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     parts = F.split(inside, "/")
