@@ -106,6 +106,17 @@ def test_features_of_groups_equal_those_of_single_texts():
         assert feature[number == i].tolist() == own[1].tolist() and np.allclose(value[number == i], own[2])
 
 
+def test_samples_are_drawn_below_any_share(spark):
+    from sparkweave.llm.common import labelled_sample, sampled
+
+    n = 20_000_000
+    assert 1 <= spark.range(n).where(sampled(F.col("id"), 12, n)).count() <= 40  # a share below 2 ** -20
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    labels = docs.select("doc_id", F.when(F.col("doc_id") % 100 == 0, 1).otherwise(0).alias("toxic"))
+    drawn = {r["toxic"]: r["count"] for r in labelled_sample(docs, labels, 300, "toxic").groupBy("toxic").count().collect()}
+    assert 200 <= drawn[0] <= 400 and 5 <= drawn[1] <= 30
+
+
 def test_adam_finds_a_minimum():
     assert np.allclose(linear.adam(lambda x: 2 * (x - 3), np.zeros(2), 2000, 0.05), 3, atol=0.05)
 
