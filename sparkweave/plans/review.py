@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from sparkweave.functions.paths import is_skippable
 from sparkweave.functions.urls import path_belongs
 from sparkweave.operators import evolution, rules, score, stitch, traverse
-from sparkweave.operators.graph import Graph, first_seen, make_edges
+from sparkweave.operators.graph import Graph, first_seen, index_drift, make_edges
 from sparkweave.operators.rules import extra
 from sparkweave.operators.scratch import Scratch
 from sparkweave.schema import INFERRED_BELOW, SINK_TYPES
@@ -28,6 +28,9 @@ class Index:
     graph: Graph
     files: DataFrame
     residuals: DataFrame
+    #: What the files gave, row by row, and the API's operations: a later index starts from them.
+    raw: DataFrame | None = None
+    operations: DataFrame | None = None
 
 
 def stitched(graph: Graph, operations: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -69,25 +72,40 @@ def stitched(graph: Graph, operations: DataFrame | None = None) -> tuple[DataFra
 
 def index_tree(files: DataFrame, manifest: Manifest | None = None, operations: DataFrame | None = None) -> Index:
     """Extract, fold, stitch and prune the files of a tree (path, content)."""
-    spark, manifest = files.sparkSession, manifest or Manifest()
-    scratch = Scratch(spark)
+    scratch = Scratch(files.sparkSession)
     files = extraction.source_files(files)
-    graph, residuals = extraction.to_graph(scratch.cut(extraction.extract(files)), manifest.apps(spark))
+    return assembled(scratch.cut(extraction.extract(files)), scratch.cut(extraction.files_table(files)), manifest, operations)
+
+
+def assembled(raw: DataFrame, files: DataFrame, manifest: Manifest | None, operations: DataFrame | None) -> Index:
+    """The index of raw rows (a written table): folded, stitched and pruned."""
+    spark, manifest = raw.sparkSession, manifest or Manifest()
+    scratch = Scratch(spark)
+    graph, residuals = extraction.to_graph(raw, manifest.apps(spark))
     nodes, edges = scratch.cut(graph.nodes), scratch.cut(graph.edges)
     if operations is not None:
         named = F.concat_ws(" ", "method", "path")
         nodes = nodes.unionByName(operations.select(F.concat(F.lit("openapi.path:"), named).alias("id"), F.lit("openapi.path").alias("type"), named.alias("name"), named.alias("qualified_name")), True)
     more, missing = stitched(Graph(nodes, edges), operations)
     graph = Graph(nodes, edges.unionByName(more.join(edges.select("id"), "id", "left_anti"))).pruned()
-    return Index(Graph(nodes, scratch.cut(graph.edges)), extraction.files_table(files), scratch.cut(residuals.unionByName(missing)))
+    return Index(Graph(nodes, scratch.cut(graph.edges)), files, scratch.cut(residuals.unionByName(missing)), raw, operations)
+
 
+def reindex(old: Index, files: DataFrame, manifest: Manifest | None = None, operations: DataFrame | None = None) -> Index:
+    """The index after a change: only files whose hash is new are read; rows of changed and removed files go.
 
-def reindex(old: Index, files: DataFrame, manifest: Manifest | None = None) -> Index:
-    """The index after a change: the old one if no file changed, else all files are read again."""
-    changed = files.join(old.files.select("path", "hash"), "path", "left").where(F.col("hash").isNull() | (F.sha2(F.col("content").cast("binary"), 256) != F.col("hash"))).drop("hash")
-    if changed.isEmpty() and old.files.join(files.select("path"), "path", "left_anti").isEmpty():
+    Folding, stitching and pruning run over all rows again, as any file may give the other end of an edge.
+    ``operations``: the old ones, if none are given.
+    """
+    scratch = Scratch(files.sparkSession)
+    files = extraction.source_files(files)
+    now = scratch.cut(extraction.files_table(files))
+    drift = scratch.cut(index_drift(old.files, now))
+    if operations is None and drift.isEmpty():
         return old
-    return index_tree(files, manifest)
+    fresh = files.join(drift.where("change <> 'deleted'").select("path"), "path", "left_semi")
+    raw = old.raw.join(drift.select("path"), "path", "left_anti").unionByName(extraction.extract(fresh))
+    return assembled(scratch.cut(raw), now, manifest, old.operations if operations is None else operations)
 
 
 @dataclass

@@ -85,6 +85,35 @@ def test_architecture_and_drift(index, files):
     assert R.reindex(index, extraction.source_files(files), MANIFEST) is index
 
 
+def test_only_changed_files_are_read_again(spark, index, files, monkeypatch):
+    from pyspark.sql import functions as F
+
+    read, extract = [], extraction.extract
+
+    def counted(rows):
+        read.extend(r["path"] for r in rows.select("path").collect())
+        return extract(rows)
+
+    paths = sorted(r["path"] for r in extraction.source_files(files).collect() if r["path"].endswith(".py"))
+    edited = files.where(F.col("path") != paths[0]).withColumn("content", F.when(F.col("path") == paths[1], F.concat("content", F.lit("\n# more\n"))).otherwise(F.col("content")))
+    edited = edited.unionByName(spark.createDataFrame([("src/late/services.py", "def late_service():\n    return 1\n")], "path string, content string").select(*edited.columns))
+    monkeypatch.setattr(extraction, "extract", counted)
+    again = R.reindex(index, edited, MANIFEST)
+    assert sorted(read) == sorted([paths[1], "src/late/services.py"])
+    whole = R.index_tree(edited, MANIFEST, index.operations)
+    for got, want in ((again.graph.nodes, whole.graph.nodes), (again.graph.edges, whole.graph.edges), (again.residuals, whole.residuals)):
+        assert sorted(map(repr, got.select(*want.columns).collect())) == sorted(map(repr, want.collect()))
+
+
+def test_of_an_edge_the_last_version_counts(spark):
+    from sparkweave.sources.extraction import RAW
+
+    node = ("a.py", "node", "t:x", "t", "x", "x", 1, None, None, None, None, 0)
+    edges = [("a.py", "edge", "t:x|calls|t:x", "calls", None, None, None, "t:x", "t:x", c, None, at) for at, c in ((1, 0.9), (2, 0.4))]
+    g, _ = extraction.to_graph(spark.createDataFrame([node, *edges], RAW))
+    assert [r["confidence"] for r in g.edges.collect()] == [0.4]
+
+
 def test_python_details():
     rows = list(python_source.extract("a/urls.py", "urlpatterns = [path('', include('x.urls')), re_path('^s/$', V.as_view(), name='n')]\nrouter.register('r', W)\n"))
     assert {r[1] for r in rows if r[0] == "node"} == {"django.route:a:x.urls", "django.route:a:^s/$", "django.url_name:n", "django.route:a:r"}
