@@ -390,6 +390,13 @@ def all_findings(spark, sf):
     return found.groupBy("rule", "severity", "waived").agg(F.count("*").alias("n"))
 
 
+#: Rules of which the lens has findings, with the query that lists them.
+_LISTED = {0: "foreign_context_queries", 2: "contract_drift", 5: "queryset_nplusone", 6: "missing_index", 7: "cascade_cross_context", 8: "blast_radius", 9: "leaked_seams"}
+ORACLES["all_findings"] = " UNION ALL ".join(
+    f"SELECT '{rules.RULES[i]}' AS rule, '{'blocker' if rules.RULES[i] in rules.BLOCKERS else 'warning'}' AS severity, FALSE AS waived, count(*) AS n FROM ({ORACLES[name]}) HAVING count(*) > 0" for i, name in _LISTED.items()
+)
+
+
 # --- scores -------------------------------------------------------------------------------------------
 
 _COVER = f"""{_WALK}, t0 AS (SELECT DISTINCT src AS id FROM iedges WHERE type = 'tested_by'), b AS (SELECT src AS x, dst AS y FROM iedges UNION SELECT dst, src FROM iedges),
