@@ -168,10 +168,55 @@ def review(spark: SparkSession, index: Index, diff: DataFrame, manifest: Manifes
     if commits is not None:
         spots = evolution.hotspots(commits).join(impact.nodes.select(F.col("file_path").alias("file")).distinct(), "file", "left_semi")
         document["hotspots"] = [r.asDict() for r in spots.orderBy(F.desc("commits"), "file").limit(16).collect()]
+    views = score.auth_path(impact).orderBy("guarded", "name").limit(limit).collect()
+    document["auth"] = [v.asDict() for v in views]
+    document["sinks"] = [r.asDict() for r in score.sink_summaries(impact).orderBy("type", "name").limit(limit).collect()]
+    contexts = [r["context"] for r in impact.nodes.where("context is not null").select("context").distinct().orderBy("context").limit(limit).collect()]
+    document["tests_note"], document["architecture_note"] = tests_note(document), architecture_note(document, contexts)
+    document["headline"] = headline(document)
     document["checklist"] = checklist(document)
     return Review(impact, seeds, clusters, found, confidence, kinds, roles, marks, order, residuals, document)
 
 
+def tests_note(document: dict) -> str:
+    c, bare = document["confidence"], [u["name"] for u in document["untested"]]
+    return f"{c['covered_sinks']} of {c['sinks']} sinks are tested" + (f"; no test reaches {', '.join(bare[:4])}" if bare else "")
+
+
+def architecture_note(document: dict, contexts: list[str]) -> str:
+    """The first blocker, else whether the change stays inside its contexts."""
+    blockers = [f for f in document["findings"] if f["severity"] == "blocker" and not f["waived"]]
+    if blockers:
+        return f"{blockers[0]['rule']}: {blockers[0]['subject']}"
+    if "cross_context" in document["kinds"]:
+        return "edges cross contexts"
+    return f"stays inside {', '.join(contexts)}" if contexts else "no rule is broken"
+
+
+def auth_note(document: dict) -> str:
+    open_ = [v["name"] for v in document["auth"] if not v["guarded"]]
+    if not document["auth"]:
+        return "no view on the path"
+    if open_:
+        return f"no permission on {', '.join(open_[:3])}"
+    return f"guarded by {', '.join(sorted({p for v in document['auth'] for p in v['permissions']})[:4])}"
+
+
+def headline(document: dict) -> str:
+    """The review in a few lines, one a topic."""
+    first = lambda rows, other: rows[0] if rows else other
+    by_type: dict[str, list[str]] = {}
+    for s in document["sinks"]:
+        by_type.setdefault(s["type"], []).append(s["name"])
+    sinks = "; ".join(f"{kind} {', '.join(names[:3])}" for kind, names in by_type.items())
+    rows = {
+        "Sinks": sinks or "none", "Contract": document["contract_break"]["kind"], "Auth": auth_note(document), "Tests": document["tests_note"],
+        "Architecture": document["architecture_note"], "Open": first(document["residuals"], "none"), "Reviewers": ", ".join(document["reviewers"]) or "the contexts' owners",
+    }
+    title = first([c["title"] for c in document["clusters"]], "no node of the graph")
+    return "\n".join([f"{document['confidence']['level'].upper()}: {title}", *(f"{k}: {v}" for k, v in rows.items())])
+
+
 def checklist(document: dict) -> list[dict]:
     """What is left to do, blockers first."""
     todo = [{"kind": "finding", "status": "done" if f["waived"] else "todo", "title": f"{f['severity']}: {f['rule']}", "node_id": f["node_id"]} for f in document["findings"]]
@@ -204,7 +249,7 @@ def gate_lines(document: dict, fail_on: str = "blocker") -> str:
 
 def markdown(document: dict) -> str:
     c = document["confidence"]
-    lines = [f"# Confidence {c['level']} ({c['score']})", "", f"{c['covered_sinks']} of {c['sinks']} sinks are tested; {c['blockers']} blockers, {c['warnings']} warnings."]
+    lines = [f"# Confidence {c['level']} ({c['score']})", "", *document["headline"].splitlines(), "", f"{c['covered_sinks']} of {c['sinks']} sinks are tested; {c['blockers']} blockers, {c['warnings']} warnings."]
     for title, rows in (("Kinds", document["kinds"]), ("Read first", document["read_order"]), ("To do", [f"{t['title']} ({t['status']})" for t in document["checklist"]]), ("Reviewers", document["reviewers"]), ("Open", document["residuals"])):
         if rows:
             lines += ["", f"## {title}", "", *(f"- {r}" for r in rows)]

@@ -74,8 +74,12 @@ def test_review(spark, index):
     assert r.document["confidence"]["level"] == "low" and R.gate(r.document) == 2 and "public_contract" in r.document["kinds"]
     assert r.document["reviewers"][0] in ("people-team", "shop-team") and r.document["read_order"] == ["back/shop/serializers.py"]
     assert R.html(r.document).count("<h2>") >= 3 and "passed=false" in R.gate_lines(r.document)
+    lines = r.document["headline"].splitlines()
+    assert lines[0].startswith("LOW: ") and [x.split(":")[0] for x in lines[1:]] == ["Sinks", "Contract", "Auth", "Tests", "Architecture", "Open", "Reviewers"]
+    assert r.document["architecture_note"].split(":")[0] in found and r.document["sinks"] and r.document["headline"] in R.markdown(r.document)
     assert R.markdown(r.document).startswith("# Confidence low") and r.document["checklist"][0]["status"] == "todo"
     docs = R.review(spark, index, spark.createDataFrame([("README.md", "+x")], "path string, patch string"), MANIFEST)
+    assert docs.document["headline"].splitlines()[1:4] == ["Sinks: none", "Contract: none", "Auth: no view on the path"]
     assert docs.document["findings"] == [] and docs.document["confidence"]["level"] == "high"
 
 
