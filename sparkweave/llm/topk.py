@@ -13,6 +13,8 @@ Defined cases: vectors that are null or hold a null or a non-finite component ta
 with a null id. Missing components at the end count as zero. Of rows with equal id as a query, the
 greatest vector is the query; none of them are its candidates. Repeated candidate rows each count.
 Scores beyond 64 bits end at the greatest or smallest value that fits.
+Ties go to the smaller id. Very long vectors are read whole, block by block. Without candidates or queries
+there are no rows. Columns other than the id and the vector are not read, so clashing names do no harm.
 """
 
 from __future__ import annotations

@@ -9,6 +9,8 @@ first fitting pattern rule does (a block before an allow); without that, the URL
 
 Defined cases: a null URL, or one without ``://``, has empty host and path and fits no host rule, but
 pattern rules still see its text. Rows may repeat and ids may be null; each row is judged by itself.
+Very long URLs are read whole. Of rules of equal length that fit, and of patterns, the first listed decides.
+An empty table gives no rows. Columns other than the id and the URL are not read.
 """
 
 from __future__ import annotations
