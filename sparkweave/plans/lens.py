@@ -1,9 +1,9 @@
 """The driver's tables seen as a graph.
 
 Regions are contexts, nations apps, customers views, suppliers services, parts models with a field each,
-orders routes, priorities tests. Large returned line items link a customer and a supplier to the part
-and the customer to the supplier. Suppliers also have a serializer whose fields are those of their parts,
-customers a form with the fields of theirs, and a hook that runs lookups and loops over them. Large
+orders routes, priorities tests. Every line item links a customer and a supplier to the part and the
+customer to the supplier. Suppliers also have a serializer whose fields are those of their parts,
+except the retired ``f50``, customers a form with the fields of theirs, and a hook that runs lookups and loops over them. Large
 parts are dropped by a migration. ``LENS_SQL`` says the same in SQL.
 """
 
@@ -22,9 +22,9 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def returns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """view, service, model, field of each large returned line item, distinct."""
-    li = read(spark, sf_dir, "lineitem").where("l_returnflag = 'R' and l_quantity >= 48").select("l_orderkey", "l_partkey", "l_suppkey")
+def line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """view, service, model, field of each line item, distinct."""
+    li = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey")
     rows = li.join(read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
     nation = read(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     c = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("n_nationkey")).join(nation, "n_nationkey").select("o_custkey", F.concat("n_name", F.lit(".c"), "o_custkey").alias("customer"))
@@ -50,9 +50,9 @@ def lens(spark: SparkSession, sf_dir: str) -> Graph:
     supplier = read(spark, sf_dir, "supplier").join(nation, col("s_nationkey") == col("n_nationkey"))
     part = read(spark, sf_dir, "part").join(region, col("r_regionkey") == col("p_partkey") % 5)
     orders = read(spark, sf_dir, "orders").join(customer.select("c_custkey", "n_name", "r_name"), col("o_custkey") == col("c_custkey"))
-    items = Scratch(spark).cut(returns(spark, sf_dir))  # a join of six tables that many branches read
+    items = Scratch(spark).cut(line_items(spark, sf_dir))  # a join of six tables that many branches read
     view, service, model = cat("n_name", lit(".c"), "c_custkey"), cat("n_name", lit(".s"), "s_suppkey"), cat("p_brand", lit(".p"), "p_partkey")
-    serializers = items.groupBy("supplier").agg(F.sort_array(F.collect_set("field")).alias("fields"))
+    served = items.where("field <> 'f50'").select("supplier", "field").distinct()
     forms = items.groupBy("customer").agg(F.sort_array(F.collect_set("field")).alias("fields"))
     kind = F.when(col("p_size") % 5 == 0, "ForeignKey").when(col("p_size") % 5 == 1, "ManyToManyField").otherwise("CharField")
     field_extra = F.to_json(F.struct(kind.alias("field_type"), (col("p_size") % 3 == 0).alias("db_index"), col("p_brand").alias("app")))
@@ -70,8 +70,8 @@ def lens(spark: SparkSession, sf_dir: str) -> Graph:
         _nodes(part, "django.field", name=cat(lit("f"), "p_size"), qualified_name=cat(model, lit(".f"), "p_size"), file_path=cat("p_brand", lit("/models.py")), context=col("r_name"), extra=field_extra),
         _nodes(orders, "django.route", name=cat(lit("/orders/"), "o_orderkey"), qualified_name=cat(lit("orders."), "o_orderkey"), file_path=cat(lit("orders/"), "o_orderpriority", lit(".py")), context=col("r_name")),
         _nodes(orders.select("o_orderpriority").distinct(), "django.test", name=col("o_orderpriority"), qualified_name=col("o_orderpriority")),
-        _nodes(serializers, "django.serializer", name=col("supplier"), qualified_name=col("supplier")),
-        _nodes(items.select("supplier", "field").distinct(), "django.serializer_field", name=col("field"), qualified_name=cat("supplier", lit("."), "field")),
+        _nodes(items.select("supplier").distinct(), "django.serializer", name=col("supplier"), qualified_name=col("supplier")),
+        _nodes(served, "django.serializer_field", name=col("field"), qualified_name=cat("supplier", lit("."), "field")),
         _nodes(forms, "react.form_schema", name=col("customer"), qualified_name=col("customer"), extra=F.to_json(F.struct("fields"))),
         _nodes(forms, "react.hook", name=col("customer"), qualified_name=col("customer"), extra=calls),
         _nodes(part.where("p_size >= 45"), "django.migration_op", name=cat(lit("drop "), model), qualified_name=model, extra=drop),
@@ -98,7 +98,7 @@ def lens(spark: SparkSession, sf_dir: str) -> Graph:
         edges(part, "has_field", "django.model", model, "django.field", cat(model, lit(".f"), "p_size")),
         edges(part.join(following, col("p_partkey") == col("before")), "relates_to", "django.field", cat(model, lit(".f"), "p_size"), "django.model", col("next"), extra=cascade),
         edges(items, "serializes", "django.serializer", col("supplier"), "django.model", col("part")),
-        edges(items, "has_field", "django.serializer", col("supplier"), "django.serializer_field", cat("supplier", lit("."), "field")),
+        edges(served, "has_field", "django.serializer", col("supplier"), "django.serializer_field", cat("supplier", lit("."), "field")),
         edges(items, "uses_serializer", "django.view", col("customer"), "django.serializer", col("supplier")),
         edges(items, "matches_schema", "django.serializer", col("supplier"), "react.form_schema", col("customer"), 0.6),
         edges(forms, "calls", "react.hook", col("customer"), "django.view", col("customer")),
@@ -115,8 +115,7 @@ items AS (
          p_brand || '.p' || p_partkey AS part, 'f' || p_size AS field
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation cn ON c_nationkey = cn.n_nationkey
   JOIN supplier ON l_suppkey = s_suppkey JOIN nation sn ON s_nationkey = sn.n_nationkey JOIN part ON l_partkey = p_partkey
-  WHERE l_returnflag = 'R' AND l_quantity >= 48
-)"""
+), served AS (SELECT DISTINCT supplier, field FROM items WHERE field <> 'f50')"""
 #: Tables nodes and edges, to stand after WITH (or WITH RECURSIVE).
 LENS_SQL = (
     _ITEMS
@@ -137,7 +136,7 @@ LENS_SQL = (
   UNION ALL SELECT 'django.route', '/orders/' || o_orderkey, 'orders.' || o_orderkey, 'orders/' || o_orderpriority || '.py', r_name FROM ord
   UNION ALL SELECT DISTINCT 'django.test', o_orderpriority, o_orderpriority, NULL, NULL FROM ord
   UNION ALL SELECT DISTINCT 'django.serializer', supplier, supplier, NULL, NULL FROM items
-  UNION ALL SELECT DISTINCT 'django.serializer_field', field, supplier || '.' || field, NULL, NULL FROM items
+  UNION ALL SELECT 'django.serializer_field', field, supplier || '.' || field, NULL, NULL FROM served
   UNION ALL SELECT 'react.form_schema', customer, customer, NULL, NULL FROM forms
   UNION ALL SELECT 'react.hook', customer, customer, NULL, NULL FROM forms
   UNION ALL SELECT 'django.migration_op', 'drop ' || part, part, NULL, NULL FROM prt WHERE p_size >= 45
@@ -154,7 +153,7 @@ LENS_SQL = (
   UNION SELECT 'django.model:' || part, 'has_field', 'django.field:' || part || '.' || field, 1.0 FROM prt
   UNION SELECT 'django.field:' || a.part || '.' || a.field, 'relates_to', 'django.model:' || b.part, 1.0 FROM prt a JOIN prt b ON b.p_partkey = a.p_partkey + 1
   UNION SELECT 'django.serializer:' || supplier, 'serializes', 'django.model:' || part, 1.0 FROM items
-  UNION SELECT 'django.serializer:' || supplier, 'has_field', 'django.serializer_field:' || supplier || '.' || field, 1.0 FROM items
+  UNION SELECT 'django.serializer:' || supplier, 'has_field', 'django.serializer_field:' || supplier || '.' || field, 1.0 FROM served
   UNION SELECT 'django.view:' || customer, 'uses_serializer', 'django.serializer:' || supplier, 1.0 FROM items
   UNION SELECT 'django.serializer:' || supplier, 'matches_schema', 'react.form_schema:' || customer, 0.6 FROM items
   UNION SELECT 'react.hook:' || customer, 'calls', 'django.view:' || customer, 1.0 FROM forms

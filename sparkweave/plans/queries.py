@@ -318,7 +318,7 @@ def cascade_cross_context(spark, sf):
 
 @query(on_lens("""SELECT node_id, string_agg(field, ',' ORDER BY field) AS subject FROM (
 SELECT DISTINCT 'react.form_schema:' || p.customer AS node_id, p.supplier AS s, f.field FROM (SELECT DISTINCT customer, supplier FROM items) p JOIN items f ON f.customer = p.customer
-WHERE NOT EXISTS (SELECT 1 FROM items x WHERE x.supplier = p.supplier AND x.field = f.field)) GROUP BY node_id, s"""))
+WHERE NOT EXISTS (SELECT 1 FROM served x WHERE x.supplier = p.supplier AND x.field = f.field)) GROUP BY node_id, s"""))
 def contract_drift(spark, sf):
     return rules.contract_drift(lens(spark, sf)).select("node_id", "subject")
 
@@ -338,7 +338,7 @@ def queryset_nplusone(spark, sf):
 
 @query(on_lens("""SELECT node_id, CAST(least(8, count(DISTINCT ref)) AS INTEGER) AS refs FROM (
 SELECT 'django.migration_op:' || o.part AS node_id, 'django.field:' || o.part || '.' || o.field AS ref FROM prt o WHERE o.p_size >= 45 AND o.p_size % 2 = 0
-UNION SELECT 'django.migration_op:' || o.part, 'django.serializer_field:' || i.supplier || '.' || o.field FROM prt o JOIN items i ON i.part = o.part WHERE o.p_size >= 45 AND o.p_size % 2 = 0
+UNION SELECT 'django.migration_op:' || o.part, 'django.serializer_field:' || i.supplier || '.' || o.field FROM prt o JOIN items i ON i.part = o.part WHERE o.p_size >= 45 AND o.p_size % 2 = 0 AND o.field <> 'f50'
 UNION SELECT 'django.migration_op:' || o.part, 'django.model:' || o.part FROM prt o WHERE o.p_size >= 45 AND o.p_size % 2 = 1
 UNION SELECT 'django.migration_op:' || o.part, e.src FROM prt o JOIN edges e ON e.dst = 'django.model:' || o.part AND e.type IN ('serializes', 'queries_model', 'relates_to') WHERE o.p_size >= 45 AND o.p_size % 2 = 1)
 GROUP BY node_id"""))
@@ -460,11 +460,11 @@ def suggested_tests(spark, sf):
 
 
 @query(on_lens("""SELECT field, server, client, CASE WHEN server AND client THEN 'aligned' WHEN server THEN 'missing_client' ELSE 'missing_server' END AS status
-FROM (SELECT field, bool_or(side = 1) AS server, bool_or(side = 2) AS client FROM (SELECT field, 1 AS side FROM items UNION SELECT field, 2 FROM items WHERE customer LIKE 'NATION_3.%') GROUP BY field) ORDER BY field LIMIT 40"""))
+FROM (SELECT field, bool_or(side = 1) AS server, bool_or(side = 2) AS client FROM (SELECT field, 1 AS side FROM served UNION SELECT field, 2 FROM items) GROUP BY field) ORDER BY field LIMIT 40"""))
 def contract_sides(spark, sf):
     g = lens(spark, sf)
     server = g.of_types("django.serializer_field").select(F.lit("server").alias("side"), F.col("name").alias("field"))
-    client = g.of_types("react.form_schema").where("name like 'NATION_3.%'").select(F.lit("client").alias("side"), F.explode(rules.extra("fields", "array<string>")).alias("field"))
+    client = g.of_types("react.form_schema").select(F.lit("client").alias("side"), F.explode(rules.extra("fields", "array<string>")).alias("field"))
     return score.contract_sides(server.unionByName(client))
 
 
@@ -543,10 +543,10 @@ def route_match(spark, sf):
     return stitch.match_routes(clients, routes.select("route", F.concat(F.lit("api/"), "route").alias("path")))
 
 
-@query(on_lens("""SELECT l AS "left", r AS "right", overlap, size FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY overlap / size DESC, l) AS nth FROM (
-SELECT a.supplier AS l, b.customer AS r, count(DISTINCT a.field) AS overlap, max(na.n) + max(nb.n) - count(DISTINCT a.field) AS size FROM items a JOIN items b ON a.field = b.field
-JOIN (SELECT supplier, count(DISTINCT field) AS n FROM items GROUP BY 1) na ON na.supplier = a.supplier JOIN (SELECT customer, count(DISTINCT field) AS n FROM items GROUP BY 1) nb ON nb.customer = b.customer GROUP BY 1, 2)
-WHERE overlap * 10 >= size) WHERE nth = 1"""))
+@query(on_keys("""SELECT l AS "left", r AS "right", overlap, size FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY overlap / size DESC, l) AS nth FROM (
+SELECT a.supplier AS l, b.customer AS r, count(*) AS overlap, max(na.n) + max(nb.n) - count(*) AS size FROM served a JOIN cf b ON a.field = b.field
+JOIN (SELECT supplier, count(*) AS n FROM served GROUP BY 1) na ON na.supplier = a.supplier JOIN (SELECT customer, count(*) AS n FROM cf GROUP BY 1) nb ON nb.customer = b.customer GROUP BY 1, 2)
+WHERE overlap * 10 >= size) WHERE nth = 1""", "cf AS (SELECT DISTINCT customer, field FROM items)"))
 def schema_similarity(spark, sf):
     g = lens(spark, sf)
     name = F.regexp_replace("qualified_name", r"\.[^.]*$", "")
