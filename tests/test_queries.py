@@ -4,7 +4,7 @@ import math
 
 import pytest
 
-from sparkweave.plans.queries import ORACLES, QUERIES
+from sparkweave.plans.catalog import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
