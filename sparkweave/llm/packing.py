@@ -33,6 +33,8 @@ from sparkweave.operators.scratch import Scratch
 
 #: Characters on which the two tokenizer libraries split alike by their fixed Unicode properties.
 _COMMON = re.compile("[\x00-\x1b\x20-\x84\x86-ɏ]*")
+#: Runs of white space from which on the fast library's split, which backtracks over them, may run out of stack.
+_LONG_SPACE = re.compile(r"(?<!\s)\s{1000}")
 
 
 def byte_letters() -> dict[str, int]:
@@ -62,7 +64,7 @@ class Encoder:
     """Token ids by a byte-level BPE file of the library ``tokenizers``.
 
     Texts of common characters go through the same vocabulary as merge ranks, several times as fast and
-    with the same ids; all others go through ``tokenizers`` itself. So do all texts where the file doesn't
+    with the same ids; all others, and those with a long run of white space, go through ``tokenizers`` itself. So do all texts where the file doesn't
     say the one thing that the fast way can do: the plain byte-level split, and ids in the order of merges.
     """
 
@@ -79,7 +81,7 @@ class Encoder:
             self.fast = tiktoken.Encoding("own", pat_str=BYTE_LEVEL_SPLIT, mergeable_ranks=ranks, special_tokens=special)
 
     def ids(self, text: str) -> np.ndarray:
-        if self.fast and _COMMON.fullmatch(text):
+        if self.fast and _COMMON.fullmatch(text) and not _LONG_SPACE.search(text):
             return self.fast.encode_to_numpy(text, allowed_special="all").astype("<u4")
         return np.array(self.full.encode(text, add_special_tokens=False).ids, "<u4")
 

@@ -63,7 +63,8 @@ BASE_RULES = (
 MORE_RULES = (
     # through the END line; without one, through the lines of the key
     Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:(?!-----)[\s\S])*-----END [A-Z ]*PRIVATE KEY-----|(?:\s*[A-Za-z0-9+/=]{16,})*)", 20, hints=("-----BEGIN ",), revision=2),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 30, hints=("eyJ",)),
+    # from the start of a run of token characters: a run of very many "eyJ" is tried once
+    Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 30, hints=("eyJ",), revision=2),
     Rule("prefixed", r"(?:ghp|gho|ghs|glpat|sk_live|xoxb|xoxp)[_-][A-Za-z0-9-]{16,}", 20, hints=("ghp_", "gho_", "ghs_", "glpat-", "sk_live", "xoxb", "xoxp")),
 )
 SPANS = "array<struct<start:bigint,rank:int,kind:string,end:bigint>>"

@@ -185,8 +185,11 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def links(prints: DataFrame, radius: int = 2, group_rows: int = 50_000) -> DataFrame:
     """a, b: enough linked pairs of the distinct fingerprints ``fp`` to connect all that link.
 
-    Each fingerprint goes once to the group of each of its segments' values, as eight bytes.
+    Each fingerprint goes once to the group of each of its segments' values, as eight bytes. ``radius``: 1 or 2,
+    as crowded groups are linked through midpoints.
     """
+    if radius not in (1, 2):
+        raise ValueError("fingerprints are linked within a radius of 1 or 2")
     masks = segment_masks(radius)
     spark = prints.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-prints.count() * len(masks) // group_rows))
