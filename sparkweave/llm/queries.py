@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
-from sparkweave.llm import decontaminate, langid, packing, quality, secrets, simhash, substring, topk, toxicity, urlfilter
+from sparkweave.llm import decontaminate, langid, packing, quality, secrets, simhash, spelling, substring, topk, toxicity, urlfilter
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_url_filter": urlfilter.op9_url_filter,
     "op10_simhash": simhash.op10_simhash,
+    "op11_spelling": spelling.op11_spelling,
 }
 
 ORACLES = {
@@ -20,4 +21,5 @@ ORACLES = {
     "op6_decontamination": decontaminate.OP6_SQL,
     "op7_substring": substring.OP7_SQL,
     "op9_url_filter": urlfilter.OP9_SQL,
+    "op11_spelling": spelling.OP11_SQL,
 }
