@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
-from sparkweave.llm import decontaminate, langid, packing, quality, secrets, simhash, spelling, substring, topk, toxicity, urlfilter
+from sparkweave.llm import decontaminate, langid, packing, phrases, quality, secrets, simhash, spelling, substring, topk, toxicity, urlfilter
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_url_filter": urlfilter.op9_url_filter,
     "op10_simhash": simhash.op10_simhash,
     "op11_spelling": spelling.op11_spelling,
+    "op12_phrases": phrases.op12_phrases,
 }
 
 ORACLES = {
@@ -22,4 +23,5 @@ ORACLES = {
     "op7_substring": substring.OP7_SQL,
     "op9_url_filter": urlfilter.OP9_SQL,
     "op11_spelling": spelling.OP11_SQL,
+    "op12_phrases": phrases.OP12_SQL,
 }
