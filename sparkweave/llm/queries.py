@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
-from sparkweave.llm import decontaminate, langid, packing, phrases, quality, secrets, simhash, spelling, substring, topk, toxicity, urlfilter
+from sparkweave.llm import decontaminate, langid, packing, phrases, pitman_yor, quality, secrets, simhash, spelling, substring, topk, toxicity, urlfilter
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -15,6 +15,7 @@ QUERIES = {
     "op10_simhash": simhash.op10_simhash,
     "op11_spelling": spelling.op11_spelling,
     "op12_phrases": phrases.op12_phrases,
+    "op13_pitman_yor": pitman_yor.op13_pitman_yor,
 }
 
 ORACLES = {
