@@ -100,24 +100,33 @@ def merge_nodes(rows: DataFrame, keys: list[str], order: str = "seq") -> DataFra
     reference and the old a definition, the old file, line and context stay (where there), and old extra
     values that the new one lacks stay as well; a definition after a reference takes all from the new one;
     in both cases the result is a definition.
+
+    So an id's row follows from its last version, its last definition and the last value of each key, all of which
+    are maxima that combine before the shuffle. Only where the last definition lacks a file, line or context do
+    the references after it count: the first value among these, again a combined minimum.
     """
     plain = ["type", "name", "qualified_name", "end_line"]
     kept = ["file_path", "start_line", "context"]
-    versions = F.array_sort(F.collect_list(F.struct(order, *plain, *kept, "referenced", *keys)))
-
-    def step(old, new):
-        is_ref, was_ref = F.coalesce(new["referenced"], F.lit(False)), F.coalesce(old["referenced"], F.lit(False))
-        guards = is_ref & ~was_ref
-        return F.struct(
-            new[order].alias(order), *(new[c].alias(c) for c in plain),
-            *(F.when(guards & old[c].isNotNull(), old[c]).otherwise(new[c]).alias(c) for c in kept),
-            F.when(is_ref == was_ref, new["referenced"]).otherwise(F.lit(False)).alias("referenced"),
-            *(F.coalesce(new[c], old[c]).alias(c) for c in keys),
-        )
-
-    folded = F.aggregate(F.slice("versions", 2, F.size("versions")), F.get("versions", F.lit(0)), step)
-    merged = rows.groupBy("id").agg(versions.alias("versions")).select("id", folded.alias("m"))
-    return merged.select("id", *(f"m.{c}" for c in [*plain, *kept, "referenced", *keys]))
+    is_ref = F.coalesce("referenced", F.lit(False))
+
+    def given(c):
+        return F.when(F.col(c).isNotNull(), F.struct(order, c))
+
+    states = rows.groupBy("id").agg(
+        F.max(F.struct(order, *plain, *kept, "referenced")).alias("last"), F.max(F.when(~is_ref, F.struct(order, *kept))).alias("defined"),
+        F.count("*").alias("versions"), F.count_if(~is_ref).alias("definitions"), *(F.max(given(k)).alias(f"key_{k}") for k in keys),
+    )
+    lacking = F.greatest(*(F.col(f"defined.{c}").isNull().cast("int") for c in kept)) == 1
+    since = states.where((F.col(f"last.{order}") > F.col(f"defined.{order}")) & lacking).select("id", F.col(f"defined.{order}").alias("since"))
+    later = rows.where(is_ref).join(since, "id").where(F.col(order) > F.col("since")).groupBy("id").agg(*(F.min(given(c)).alias(f"later_{c}") for c in kept))
+    is_last_ref = F.coalesce("last.referenced", F.lit(False))
+    mixed = F.when(is_last_ref, F.col("definitions") > 0).otherwise((F.col("definitions") == 1) & (F.col("versions") > 1))
+    merged = states.join(later, "id", "left")
+    return merged.select(
+        "id", *(F.col(f"last.{c}").alias(c) for c in plain),
+        *(F.when(F.col("defined").isNull(), F.col(f"last.{c}")).otherwise(F.coalesce(f"defined.{c}", f"later_{c}.{c}")).alias(c) for c in kept),
+        F.when(mixed, F.lit(False)).otherwise(F.col("last.referenced")).alias("referenced"), *(F.col(f"key_{k}.{k}").alias(k) for k in keys),
+    )
 
 
 def drop_files(graph: Graph, paths: DataFrame, removed: bool) -> Graph:

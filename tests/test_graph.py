@@ -271,3 +271,32 @@ def test_visible_graph_and_progress(spark):
     assert ids(score.visible_graph(g, ["django", "react"], focus="v").nodes) == {"v", "m", "p"}
     rows = spark.createDataFrame([("scan", 5, 10, 0), ("extract", 1, 0, 0), ("stitch", 1, 1, 0), ("what", 1, 1, 33), ("scan", 0, 10, 50)], "phase string, done int, total int, floor int")
     assert [r["x"] for r in rows.select(history.overall_percent(*(F.col(c) for c in rows.columns)).alias("x")).collect()] == [10, 20, 99, 33, 50]
+
+
+def test_merged_versions_equal_an_ordered_fold(spark):
+    import random
+
+    rng = random.Random(4)
+    plain, kept, keys = ("type", "name", "qualified_name", "end_line"), ("file_path", "start_line", "context"), ("a", "b")
+    rows = []
+    for i in range(300):
+        for seq in range(rng.randrange(1, 7)):
+            some = lambda x: x if rng.random() < 0.5 else None
+            rows.append((f"n{i}", "t", f"v{seq}", None, some(seq), some(f"f{seq}"), some(10 + seq), some(f"c{seq}"), rng.choice([True, True, False, None]), seq, some(f"a{seq}"), some(f"b{seq}")))
+    names = ["id", *plain, *kept, "referenced", "seq", *keys]
+
+    def fold(old, new):
+        ref, was = bool(new["referenced"]), bool(old["referenced"])
+        out = dict(new) | {k: new[k] if new[k] is not None else old[k] for k in keys}
+        if ref and not was:
+            out |= {c: old[c] if old[c] is not None else new[c] for c in kept}
+        return out | {"referenced": new["referenced"] if ref == was else False}
+
+    want = {}
+    for r in (dict(zip(names, r, strict=True)) for r in rows):
+        want[r["id"]] = fold(want[r["id"]], r) if r["id"] in want else r
+    table = spark.createDataFrame(rows, "id string, type string, name string, qualified_name string, end_line int, file_path string, start_line int, context string, referenced boolean, seq int, a string, b string")
+    merged = graph.merge_nodes(table.repartition(7), list(keys))
+    got = {r["id"]: r.asDict() for r in merged.collect()}
+    assert got == {i: {k: v for k, v in r.items() if k != "seq"} for i, r in want.items()}
+    assert "collect_list" not in merged._jdf.queryExecution().toString()
