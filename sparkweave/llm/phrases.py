@@ -180,7 +180,8 @@ def grown(pointers: DataFrame, least: int, task_pointers: int, scratch: Scratch)
         crowded = scratch.cut(pointers.groupBy(*prefix).agg(F.count("*").alias("rows")).where(F.col("rows") > task_pointers).select(*prefix))
         split = depth + 1 < LONGEST and not crowded.isEmpty()
         own = pointers.join(crowded, prefix, "left_anti") if split else pointers
-        parts = max(1, -(-own.count() // task_pointers))
+        # many small groups, so that those that meet in a task are about as large everywhere
+        parts = max(1, -(-own.count() // max(1, task_pointers // 4)))
         own = own.withColumn("part", F.pmod(F.xxhash64(*prefix), F.lit(parts)).cast("int"))
         out.append(own.groupBy("part").applyInArrow(_grower(depth, least), PHRASES))
         if not split:
@@ -218,7 +219,7 @@ def words_of(docs: DataFrame, seed: int) -> DataFrame:
     return docs.mapInArrow(run, "id bigint, lang string, word string, n bigint").groupBy("id", "lang", "word").agg(F.sum("n").alias("n"))
 
 
-def frequent_phrases(docs: DataFrame, scratch: Scratch, least: int = 100, task_pointers: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
+def frequent_phrases(docs: DataFrame, scratch: Scratch, least: int = 100, task_pointers: int = 250_000) -> tuple[DataFrame, DataFrame]:
     """(id, lang, word, n) of all words, and (ids, f) of all phrases of one to five words that stand there ``least`` times."""
     docs = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit("und")).alias("lang"))
     sc = docs.sparkSession.sparkContext
@@ -283,7 +284,7 @@ def scored(phrases: DataFrame, every: DataFrame, words: DataFrame) -> DataFrame:
     return best.select("lang", "phrase", "a", "best.l", "best.r", "n", "best.score")
 
 
-def collocations(docs: DataFrame, least: int = 100, most: int = 2000, task_pointers: int = 1_000_000) -> DataFrame:
+def collocations(docs: DataFrame, least: int = 100, most: int = 2000, task_pointers: int = 250_000) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the ``most`` first phrases of each language."""
     scratch = Scratch(docs.sparkSession)
     words, every = frequent_phrases(docs, scratch, least, task_pointers)
