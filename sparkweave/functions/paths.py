@@ -110,3 +110,17 @@ def owner_pattern(glob: str) -> str:
     wild = {"**/": "(.*/)?", "**": ".*", "*": "[^/]*", "?": "[^/]"}
     body = "".join(wild.get(t) or re.sub(r"([^A-Za-z0-9_/ -])", r"\\\1", t) for t in tokens)
     return f"^{'' if tied else '(.*/)?'}{body}(/.*)?$"
+
+
+def glob_pattern(glob: Column) -> Column:
+    """Glob of generated files, given as a value, to a regular expression over the whole path, as a column.
+
+    A star and two of them run over directories, a question mark is one character; ``{a,b}`` is a choice, and ``[ab]``
+    a class of characters.
+    """
+    g = F.replace(F.replace(F.replace(glob, F.lit("\\"), F.lit("/")), F.lit("**/"), F.lit("*")), F.lit("**"), F.lit("*"))
+    g = F.regexp_replace(g, r"([.+^$()|\\])", r"\\$1")
+    g = F.regexp_replace(F.regexp_replace(g, r"\*", ".*"), r"\?", ".")
+    choice = F.regexp_extract(g, r"\{([^}]*)\}", 1)
+    g = F.when(g.rlike(r"\{[^}]*\}"), F.concat(F.regexp_extract(g, r"^([^{]*)\{", 1), F.lit("("), F.replace(choice, F.lit(","), F.lit("|")), F.lit(")"), F.regexp_extract(g, r"\}(.*)$", 1))).otherwise(g)
+    return F.concat(F.lit("^"), F.regexp_replace(g, r"\[!", "[^"), F.lit("$"))

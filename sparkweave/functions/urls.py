@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,14 +11,18 @@ from pyspark.sql import functions as F
 API_MOUNTS = ("api", "v1", "v2", "v3", "backend")
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that it names more than once: the value is computed once, and the expression stays small."""
+    return F.transform(F.array(value), then)[0]
+
+
 def normalize_url(url: Column) -> Column:
     """Client URL to template: ``${x}``, ``:x`` and ``<x>`` to ``{id}``, no origin, single slashes."""
     u = F.trim(url)
     for pattern in (r"\$\{[^}]+\}", r":[A-Za-z_][A-Za-z0-9_]*", r"<[^>]+>"):
         u = F.regexp_replace(u, pattern, "{id}")
-    rooted = F.when(u.startswith("/"), u).when(u.startswith("http"), F.regexp_replace(u, r"https?://[^/]+", "")).otherwise(F.concat(F.lit("/"), u))
-    slim = F.regexp_replace(F.regexp_replace(rooted, "/+", "/"), "/+$", "")
-    return F.when(slim == "", "/").otherwise(slim)
+    rooted = let(u, lambda u: F.when(u.startswith("/"), u).when(u.startswith("http"), F.regexp_replace(u, r"https?://[^/]+", "")).otherwise(F.concat(F.lit("/"), u)))
+    return let(F.regexp_replace(F.regexp_replace(rooted, "/+", "/"), "/+$", ""), lambda slim: F.when(slim == "", "/").otherwise(slim))
 
 
 def strip_anchors(route: Column) -> Column:
@@ -28,8 +34,7 @@ def route_template(route: Column) -> Column:
     r = strip_anchors(F.trim(route))
     r = F.regexp_replace(r, r"\(\?P<[^>]+>(?:[^()]|\([^()]*\))*\)", "{id}")
     r = F.regexp_replace(F.regexp_replace(r, r"<[^>]+>", "{id}"), r"\{[^}]+\}", "{id}")
-    slim = F.regexp_replace(F.regexp_replace(F.concat(F.lit("/"), r), "/+", "/"), "/+$", "")
-    return F.when(slim == "", "/").otherwise(slim)
+    return let(F.regexp_replace(F.regexp_replace(F.concat(F.lit("/"), r), "/+", "/"), "/+$", ""), lambda slim: F.when(slim == "", "/").otherwise(slim))
 
 
 def segments(path: Column) -> Column:
@@ -43,9 +48,11 @@ def match_key(path: Column) -> Column:
 
 def mounted_key(path: Column) -> Column:
     """``match_key`` without a leading API mount; null if there is none."""
-    key = match_key(path)
-    head = F.lower(F.substring_index(key, "/", 1))
-    return F.when(head.isin(*API_MOUNTS), F.when(F.instr(key, "/") > 0, F.substring(key, F.length(head) + 2, 1 << 30)).otherwise(F.lit("")))
+    def bare(key: Column) -> Column:
+        head = F.substring_index(key, "/", 1)
+        return F.when(F.lower(head).isin(*API_MOUNTS), F.when(F.instr(key, "/") > 0, F.substring(key, F.length(head) + 2, 1 << 30)).otherwise(F.lit("")))
+
+    return let(match_key(path), bare)
 
 
 def paths_match(a: Column, b: Column) -> Column:

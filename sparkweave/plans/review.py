@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 
 from sparkweave.functions.paths import is_skippable
 from sparkweave.functions.urls import path_belongs
-from sparkweave.operators import evolution, rules, score, stitch, traverse
-from sparkweave.operators.graph import Graph, first_seen, index_drift, make_edges
-from sparkweave.operators.rules import extra
+from sparkweave.operators import evolution, rules, score, traverse
+from sparkweave.operators.graph import Graph, first_seen, index_drift
 from sparkweave.operators.scratch import Scratch
+from sparkweave.plans import stitching
 from sparkweave.schema import INFERRED_BELOW, SINK_TYPES
 from sparkweave.sources import extraction
 from sparkweave.sources.tree import Manifest
@@ -33,43 +33,6 @@ class Index:
     operations: DataFrame | None = None
 
 
-def stitched(graph: Graph, operations: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Cross-language edges (route to client, serializer to form, operations), and clients that match nothing."""
-    routes = graph.of_types("django.route", "fastapi.route").where(extra("include").isNull())
-    includes = graph.of_types("django.route").where(extra("include").isNotNull())
-    target = F.element_at(F.filter(F.split(extra("include"), r"\."), lambda s: ~s.isin("", "urls", "urlpatterns")), -1)
-    includes = includes.select(target.alias("app"), F.coalesce(extra("route"), F.col("name")).alias("prefix"), F.col("id").alias("pos"))
-    routes = stitch.apply_includes(routes.select(F.col("id").alias("route"), extra("app").alias("app"), F.coalesce(extra("raw"), extra("route"), F.col("name")).alias("path")), includes)
-    routes = routes.select("route", F.coalesce("mounted_at", "path").alias("path"))
-    clients = graph.of_types("react.api_client", "django.htmx").select(F.col("id").alias("client"), F.coalesce(extra("raw"), F.col("name")).alias("url"), F.coalesce(extra("generated", "boolean"), extra("typed_client", "boolean"), F.lit(False)).alias("generated"))
-    clients = clients.withColumn("superseded", F.lit(False))
-    found = stitch.match_routes(clients, routes).join(clients, "client")
-    edges = make_edges(found.select(F.col("route").alias("src"), F.col("client").alias("dst"), F.lit("consumed_by_client").alias("type"), stitch.client_confidence(F.col("generated"), F.col("superseded")).alias("confidence")))
-    server = graph.of_types("django.serializer", "fastapi.model", "graphql.type").select(F.col("id").alias("key"), F.explode(extra("fields", "array<string>")).alias("field"))
-    forms = graph.of_types("react.form_schema").select(F.col("id").alias("key"), F.explode(extra("fields", "array<string>")).alias("field"))
-    like = stitch.schema_similarity(server, forms)
-    edges = edges.unionByName(make_edges(like.select(F.col("left").alias("src"), F.col("right").alias("dst"), F.lit("matches_schema").alias("type"), F.least(F.lit(0.85), 0.4 + F.col("overlap") / F.col("size")).alias("confidence"))))
-    operations_ = graph.of_types("graphql.operation")
-    is_client = F.coalesce(extra("client", "boolean"), F.lit(False))
-    calls = stitch.match_graphql(operations_.where(is_client).select(F.col("id").alias("client"), "name", extra("selections", "array<string>").alias("selections")), operations_.where(~is_client).select(F.col("id").alias("server"), "name"))
-    edges = edges.unionByName(make_edges(calls.select(F.col("server").alias("src"), F.col("client").alias("dst"), F.lit("consumed_by_client").alias("type")), 0.92))
-    procedures = graph.of_types("react.api_client").where(extra("procedure").isNotNull()).select(F.col("id").alias("call"), F.regexp_replace(extra("procedure"), r"\.", "/").alias("url"))
-    named = graph.of_types("graphql.operation", "fastapi.route", "django.route").where(~is_client)
-    named = named.select(F.col("id").alias("route"), F.regexp_replace(F.coalesce(extra("raw"), extra("route"), F.col("name")), r"^[A-Z]+\s+", "").alias("path"))
-    spoken_for = stitch.match_suffix(procedures, named.where("path <> ''"))
-    edges = edges.unionByName(make_edges(spoken_for.select(F.col("route").alias("src"), F.col("call").alias("dst"), F.lit("consumed_by_client").alias("type")), 0.7))
-    visits = graph.of_types("react.test").select(F.col("id").alias("client"), F.explode(extra("visits", "array<string>")).alias("url"))
-    pages = graph.of_types("react.route").select(F.col("id").alias("route"), F.col("name").alias("path"))
-    seen = stitch.match_routes(visits, routes.unionByName(pages))
-    edges = edges.unionByName(make_edges(seen.select(F.col("route").alias("src"), F.col("client").alias("dst"), F.lit("tested_by").alias("type")), 0.9))
-    if operations is not None:
-        named = operations.select(F.concat_ws(" ", "method", "path").alias("route"), "path")
-        spoken = stitch.match_routes(routes.select(F.col("route").alias("client"), F.col("path").alias("url")), named)
-        edges = edges.unionByName(make_edges(spoken.select(F.col("client").alias("src"), F.concat(F.lit("openapi.path:"), "route").alias("dst"), F.lit("publishes_route").alias("type"))))
-    missing = clients.join(found.select("client").distinct(), "client", "left_anti").where(F.col("url").startswith("/api/"))
-    return edges.dropDuplicates(["id"]), missing.select(F.lit(None).cast("string").alias("path"), F.concat(F.lit("no route for "), "url").alias("what"), F.lit(None).cast("int").alias("line"))
-
-
 def index_tree(files: DataFrame, manifest: Manifest | None = None, operations: DataFrame | None = None) -> Index:
     """Extract, fold, stitch and prune the files of a tree (path, content)."""
     scratch = Scratch(files.sparkSession)
@@ -81,12 +44,12 @@ def assembled(raw: DataFrame, files: DataFrame, manifest: Manifest | None, opera
     """The index of raw rows (a written table): folded, stitched and pruned."""
     spark, manifest = raw.sparkSession, manifest or Manifest()
     scratch = Scratch(spark)
-    graph, residuals = extraction.to_graph(raw, manifest.apps(spark))
-    nodes, edges = scratch.cut(graph.nodes), scratch.cut(graph.edges)
+    graph, residuals = extraction.to_graph(raw, manifest.apps(spark), manifest.ui_paths(spark))
+    nodes, edges = graph.nodes, scratch.cut(graph.edges)
     if operations is not None:
-        named = F.concat_ws(" ", "method", "path")
-        nodes = nodes.unionByName(operations.select(F.concat(F.lit("openapi.path:"), named).alias("id"), F.lit("openapi.path").alias("type"), named.alias("name"), named.alias("qualified_name")), True)
-    more, missing = stitched(Graph(nodes, edges), operations)
+        nodes = nodes.unionByName(stitching.operation_nodes(operations), True)
+    nodes = scratch.cut(nodes)
+    more, missing = stitching.stitched(Graph(nodes, edges), manifest.globs(spark))
     graph = Graph(nodes, edges.unionByName(more.join(edges.select("id"), "id", "left_anti"))).pruned()
     return Index(Graph(nodes, scratch.cut(graph.edges)), files, scratch.cut(residuals.unionByName(missing)), raw, operations)
 
@@ -94,7 +57,7 @@ def assembled(raw: DataFrame, files: DataFrame, manifest: Manifest | None, opera
 def reindex(old: Index, files: DataFrame, manifest: Manifest | None = None, operations: DataFrame | None = None) -> Index:
     """The index after a change: only files whose hash is new are read; rows of changed and removed files go.
 
-    Folding, stitching and pruning run over all rows again, as any file may give the other end of an edge.
+    Folding, stitching and pruning run over all rows again; ``plans.live`` keeps an index in which they don't.
     ``operations``: the old ones, if none are given.
     """
     scratch = Scratch(files.sparkSession)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sparkweave.functions.paths import MAX_SOURCE_BYTES, SOURCE_SUFFIXES, app_of, file_name, in_skipped_dir, is_lockfile, is_minified, language, suffix, template_name
 from sparkweave.operators.graph import Graph, last_wins, make_edges, merge_nodes
+from sparkweave.operators.stitch import contexts_by_prefix
 from sparkweave.schema import edge_id
 from sparkweave.sources import frontend_source, python_source
 
@@ -86,18 +87,29 @@ def extract(files: DataFrame) -> DataFrame:
     return extract_sources(files).unionByName(extract_templates(files))
 
 
-def to_graph(raw: DataFrame, contexts: DataFrame | None = None) -> tuple[Graph, DataFrame]:
-    """Graph and residuals of raw rows. Versions of a node merge in the order of files and lines.
+def to_graph(raw: DataFrame, contexts: DataFrame | None = None, ui_paths: DataFrame | None = None) -> tuple[Graph, DataFrame]:
+    """Graph and residuals of raw rows; edges without both ends go."""
+    nodes, edges, residuals = folded(raw, contexts, ui_paths)
+    return Graph(nodes, edges).pruned(), residuals
 
-    ``contexts``: app, context; gives nodes of an app their context. Edges without both ends go.
+
+def folded(raw: DataFrame, contexts: DataFrame | None = None, ui_paths: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes, edges and residuals of raw rows. Versions of a node merge in the order of files and lines.
+
+    ``contexts``: app, context; gives nodes of an app in Python files their context. ``ui_paths``: prefix, context, pos;
+    gives nodes of other files theirs, by the first prefix of whole directories. Each id follows from its own rows alone.
     """
     extras = F.from_json("extra", "map<string,string>")
     n = raw.where("kind = 'node'").withColumn("app", F.get_json_object("extra", "$.app"))
     n = n.withColumn("referenced", F.get_json_object("extra", "$.referenced").cast("boolean"))
-    if contexts is not None:
-        n = n.join(contexts, "app", "left")
+    placed, python = F.col("type").rlike(r"^(django|react|fastapi|graphql)\."), F.col("path").endswith(".py")
+    n = n.join(contexts.withColumnRenamed("context", "app_context"), "app", "left") if contexts is not None else n.withColumn("app_context", F.lit(None).cast("string"))
+    if ui_paths is not None:
+        shown = contexts_by_prefix(n.where(~python).select("path").distinct(), ui_paths).withColumnRenamed("context", "ui_context")
+        n = n.join(shown, "path", "left")
     else:
-        n = n.withColumn("context", F.lit(None).cast("string"))
+        n = n.withColumn("ui_context", F.lit(None).cast("string"))
+    n = n.withColumn("context", F.when(placed, F.when(python, F.col("app_context")).otherwise(F.col("ui_context"))))
     keyed = n.select("id", "type", "name", "qualified_name", F.col("path").alias("file_path"), F.col("line").alias("start_line"), F.lit(None).cast("int").alias("end_line"), "context", "referenced", "extra", F.struct("path", F.coalesce("line", F.lit(0)).alias("at"), "extra").alias("seq"))
     merged = merge_nodes(keyed, ["extra"])
     # extra values merge key by key: the last non-null one by the same order
@@ -109,7 +121,7 @@ def to_graph(raw: DataFrame, contexts: DataFrame | None = None) -> tuple[Graph,
     nodes = merged.drop("extra").join(whole, "id", "left").select("id", "type", "name", "qualified_name", "file_path", "start_line", "end_line", "context", "extra")
     # of an edge's versions the last counts, by file and place in it
     e = last_wins(raw.where("kind = 'edge'").select("src", "dst", "type", F.struct("path", "at").alias("seq"), "confidence", "extra"), ["src", "dst", "type"], "seq")
-    return Graph(nodes, make_edges(e)).pruned(), raw.where("kind = 'residual'").select("path", F.col("name").alias("what"), "line")
+    return nodes, make_edges(e), raw.where("kind = 'residual'").select("path", F.col("name").alias("what"), "line")
 
 
 def functions_table(files: DataFrame) -> DataFrame:

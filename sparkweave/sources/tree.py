@@ -26,20 +26,33 @@ def read_tree(spark: SparkSession, root: str) -> DataFrame:
 
 @dataclass
 class Manifest:
-    """Contexts (name, apps, ui paths, public API, owners), enabled rules and waivers."""
+    """Contexts (name, apps, ui paths, public API, owners), enabled rules, waivers and globs of generated clients."""
 
     contexts: list[dict] = field(default_factory=list)
     rules: list[str] | None = None
     waivers: list[dict] = field(default_factory=list)
+    generated_clients: list[str] = field(default_factory=list)
+    #: Keys of the file that mean nothing here; they are written back as they were.
+    others: dict = field(default_factory=dict)
 
     @classmethod
     def parse(cls, text: str) -> Manifest:
         """From JSON, or YAML where a parser is installed; keys that are missing mean none, ``rules`` the defaults."""
         data = _load(text) or {}
-        return cls(data.get("contexts") or [], data.get("rules"), data.get("waivers") or [])
+        own = {"contexts": data.get("contexts") or [], "rules": data.get("rules"), "waivers": data.get("waivers") or [], "generated_clients": data.get("generated_clients") or []}
+        return cls(**own, others={k: v for k, v in data.items() if k not in own})
 
     def write(self) -> str:
-        return json.dumps({"contexts": self.contexts, "rules": self.rules, "waivers": self.waivers}, indent=2)
+        return json.dumps({"contexts": self.contexts, "rules": self.rules, "waivers": self.waivers, "generated_clients": self.generated_clients} | self.others, indent=2)
+
+    def globs(self, spark: SparkSession) -> DataFrame:
+        """pattern of files that hold generated clients."""
+        return spark.createDataFrame([(g,) for g in self.generated_clients], "pattern string")
+
+    def ui_paths(self, spark: SparkSession) -> DataFrame:
+        """prefix, context, pos of UI directories, in the order of the contexts."""
+        rows = [(p, c["name"]) for c in self.contexts for p in c.get("ui") or []]
+        return spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "prefix string, context string, pos int")
 
     def waive(self, rule: str, node: str | None, reason: str) -> bool:
         """Whether the waiver is new."""
