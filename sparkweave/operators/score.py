@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkweave.operators.graph import Graph
 from sparkweave.operators.rules import extra
-from sparkweave.operators.scratch import Scratch
+from sparkweave.operators.traverse import walk
 from sparkweave.schema import CONTRACT_TYPES, HUB_TYPES, INFERRED_BELOW, SINK_TYPES
 
 TEST_TYPES = ("django.test", "react.test")
@@ -22,13 +22,10 @@ def tested_ids(impact: Graph) -> DataFrame:
 
 def sink_coverage(impact: Graph, hops: int = 2) -> DataFrame:
     """id, type, name, covered of every sink: it is covered if something tested lies within some undirected hops."""
-    scratch = Scratch(impact.nodes.sparkSession)
     ids = impact.nodes.select("id")
     e = impact.edges.select("src", "dst").join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
-    both = scratch.cut(e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
-    near = scratch.cut(tested_ids(impact))
-    for _ in range(hops):  # each hop is written, so that the plan doesn't double with it
-        near = scratch.cut(near.unionByName(both.join(near.withColumnRenamed("id", "src"), "src", "left_semi").select(F.col("dst").alias("id"))).distinct())
+    steps = e.select(F.explode(F.array(F.struct(F.col("src").alias("n"), F.col("dst").alias("other")), F.struct(F.col("dst").alias("n"), F.col("src").alias("other")))).alias("s")).select("s.*", F.lit(True).alias("expand"))
+    near = walk(steps, tested_ids(impact), hops, edges=False)[0].select("id")
     sinks = impact.of_types(*SINK_TYPES).select("id", "type", "name")
     return sinks.join(near.withColumn("covered", F.lit(True)), "id", "left").select("id", "type", "name", F.coalesce("covered", F.lit(False)).alias("covered"))
 

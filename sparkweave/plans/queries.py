@@ -219,6 +219,14 @@ used AS (SELECT DISTINCT s.edge AS id FROM r JOIN steps s ON s.n = r.id WHERE r.
 inodes AS (SELECT n.*, k.hop FROM nodes n JOIN kept k ON n.id = k.id), iedges AS (SELECT e.* FROM edges e JOIN used u ON e.id = u.id)"""
 
 
+def reached_nodes(spark, sf) -> DataFrame:
+    """The nodes of the seeds' impact set; edges used aren't asked for."""
+    g = lens(spark, sf)
+    scratch = traverse.Scratch(spark)
+    g = graph.Graph(scratch.cut(g.nodes.drop("extra")), g.edges.select("id", "src", "dst", "type"))
+    return traverse.impact_nodes(g, g.nodes.where(F.col("file_path") == SEED_FILE), HOPS)
+
+
 def impact(spark, sf) -> tuple[graph.Graph, DataFrame]:
     """The impact set of the seeds, and the seeds."""
     g = lens(spark, sf)
@@ -231,7 +239,7 @@ def impact(spark, sf) -> tuple[graph.Graph, DataFrame]:
 
 @query(on_lens("SELECT id, type, context, hop FROM inodes", _WALK))
 def impact_walk(spark, sf):
-    return impact(spark, sf)[0].nodes.select("id", "type", "context", "hop")
+    return reached_nodes(spark, sf).select("id", "type", "context", "hop")
 
 
 @query(on_lens("SELECT id, type FROM iedges", _WALK))
@@ -242,7 +250,7 @@ def impact_edges(spark, sf):
 @query(on_lens(f"SELECT id, type, name, hop, context FROM inodes WHERE type IN {_in(*SINK_TYPES)}", _WALK))
 def impact_sinks(spark, sf):
     """Flagship: where a change of a file becomes visible."""
-    return impact(spark, sf)[0].of_types(*SINK_TYPES).select("id", "type", "name", "hop", "context")
+    return reached_nodes(spark, sf).where(F.col("type").isin(*SINK_TYPES)).select("id", "type", "name", "hop", "context")
 
 
 _K_HOP = f"""twoway AS (SELECT src AS n, dst AS other FROM edges UNION SELECT dst, src FROM edges),

@@ -11,17 +11,23 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkweave.functions.paths import SKIPPED_DIRS
+from sparkweave.functions.paths import in_skipped_dir
 from sparkweave.operators.evolution import split_patches
+from sparkweave.sources import tree_source
 
 
 def read_tree(spark: SparkSession, root: str) -> DataFrame:
-    """path (below the root), content (text) of all files, read by the executors; those in hidden and skipped directories are dropped after they are listed."""
+    """path (below the root), content (text) of all files, listed and read by the executors; hidden and skipped directories aren't entered.
+
+    A root in a store that only Spark's readers reach (one with a scheme other than ``file``) is listed whole, and
+    what lies in such directories is dropped then.
+    """
+    if "://" not in root or root.startswith("file://"):
+        tree_source.register(spark)
+        return spark.read.format("source_tree").load(root).select("path", "content")
     inside = F.substring_index(F.col("path"), root.rstrip("/") + "/", -1)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    parts = F.split(inside, "/")
-    hidden = F.exists(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), lambda d: d.isin(*SKIPPED_DIRS) | d.startswith("."))
-    return files.select(inside.alias("path"), F.col("content").cast("string").alias("content")).where(~hidden)
+    return files.select(inside.alias("path"), F.col("content").cast("string").alias("content")).where(~in_skipped_dir(inside))
 
 
 @dataclass

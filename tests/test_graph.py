@@ -300,3 +300,22 @@ def test_merged_versions_equal_an_ordered_fold(spark):
     got = {r["id"]: r.asDict() for r in merged.collect()}
     assert got == {i: {k: v for k, v in r.items() if k != "seq"} for i, r in want.items()}
     assert "collect_list" not in merged._jdf.queryExecution().toString()
+
+
+def test_a_hop_moves_the_frontier_alone(spark):
+    scratch = Scratch(spark)
+    rows = [(f"n{i}", f"n{i + 1}", True) for i in range(50)]
+    steps = scratch.bucketed(spark.createDataFrame(rows, "n string, other string, expand boolean"), "n", 4)
+    assert sorted(map(tuple, steps.collect())) == sorted(rows)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        frontier = scratch.cut(spark.createDataFrame([("n3",)], "n string"))
+        hop = steps.join(frontier.hint("shuffle_hash"), "n", "left_semi")
+        plan = hop._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan and "SelectedBucketsCount" in plan
+        assert [r["other"] for r in hop.collect()] == ["n4"]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    scratch.drop(steps)
+    far, _ = traverse.walk(spark.createDataFrame(rows, "n string, other string, expand boolean"), seeds(spark, "n10"), 5, edges=False)
+    assert {r["id"]: r["hop"] for r in far.collect()} == {f"n{10 + i}": i for i in range(6)}
