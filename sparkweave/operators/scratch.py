@@ -56,6 +56,8 @@ class Scratch:
         path, name = f"{self.path}/{self.made}", f"sparkweave_{uuid.uuid4().hex}"
         dealt = df.repartition(buckets, key)
         dealt.write.bucketBy(buckets, key).sortBy(key).format("parquet").option("path", path).saveAsTable(name)
+        # the shuffle behind the write holds as much again, until the driver's JVM finds that nothing refers to it
+        self.spark.sparkContext._jvm.System.gc()
         out = df.sparkSession.table(name)
         self.paths[id(out)] = (out, path)
         self.names[id(out)] = name
