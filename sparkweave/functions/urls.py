@@ -29,10 +29,36 @@ def strip_anchors(route: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(route, r"^\^", ""), r"\$$", "")
 
 
+def named_groups(route: Column) -> Column:
+    """Named groups ``(?P<slug>...)`` to ``{slug}``, whatever groups, classes and escapes they hold.
+
+    A fold over the characters: outside of groups they are kept; inside, brackets are counted, but for escaped
+    ones and those of a class. A group that never ends stays as it is.
+    """
+    def step(s: Column, c: Column) -> Column:
+        plain = s["last"] != "\\"
+        opens, closes = ~s["inside"] & plain & (c == "("), ~s["inside"] & plain & (c == ")")
+        depth = s["depth"] + F.when(opens, 1).when(closes, -1).otherwise(0)
+        inside = F.when(plain & (c == "["), True).when(plain & (c == "]"), False).otherwise(s["inside"])
+        held = F.concat(s["held"], c)
+        name = F.regexp_extract(held, r"^\(\?P<([^>]*)>", 1)
+        starts, ends = (s["depth"] == 0) & (c == "("), (s["depth"] > 0) & (depth == 0)
+        whole = F.when(held.rlike(r"^\(\?P<[^>]*>"), F.concat(F.lit("{"), name, F.lit("}"))).otherwise(held)
+
+        def state(out, held, depth, inside):
+            return F.struct(out.alias("out"), held.alias("held"), depth.cast("int").alias("depth"), inside.alias("inside"), c.alias("last"))
+
+        return F.when(starts, state(s["out"], c, F.lit(1), F.lit(False))).when(ends, state(F.concat(s["out"], whole), F.lit(""), F.lit(0), F.lit(False))).when(
+            s["depth"] > 0, state(s["out"], held, depth, inside)).otherwise(state(F.concat(s["out"], c), F.lit(""), F.lit(0), F.lit(False)))
+
+    start = F.struct(F.lit("").alias("out"), F.lit("").alias("held"), F.lit(0).alias("depth"), F.lit(False).alias("inside"), F.lit("").alias("last"))
+    folded = F.aggregate(F.filter(F.split(route, ""), lambda c: c != ""), start, step, lambda s: F.concat(s["out"], s["held"]))
+    return F.when(route.contains("(?P<"), folded).otherwise(route)
+
+
 def route_template(route: Column) -> Column:
-    """Server route to template: converters ``<int:pk>`` and simple named groups to ``{id}``, one leading slash."""
-    r = strip_anchors(F.trim(route))
-    r = F.regexp_replace(r, r"\(\?P<[^>]+>(?:[^()]|\([^()]*\))*\)", "{id}")
+    """Server route to template: converters ``<int:pk>`` and named groups to ``{id}``, one leading slash."""
+    r = named_groups(strip_anchors(F.trim(route)))
     r = F.regexp_replace(F.regexp_replace(r, r"<[^>]+>", "{id}"), r"\{[^}]+\}", "{id}")
     return let(F.regexp_replace(F.regexp_replace(F.concat(F.lit("/"), r), "/+", "/"), "/+$", ""), lambda slim: F.when(slim == "", "/").otherwise(slim))
 
@@ -91,8 +117,25 @@ def public_api(spec: Column) -> tuple[Column, Column]:
     return F.when(has, F.upper(F.substring_index(spec, " ", 1))).otherwise("ANY"), route_template(F.when(has, F.regexp_replace(spec, r"^[A-Za-z]+\s+", "")).otherwise(spec))
 
 
+def _without_id(path: Column) -> Column:
+    return F.regexp_replace(path, r"/\{id\}$", "")
+
+
 def path_belongs(url: Column, allowed: Column) -> Column:
     """Same template, same but for a trailing parameter, or below it."""
-    u, a = normalize_url(url), route_template(allowed)
-    base = lambda x: F.regexp_replace(x, r"/\{id\}$", "")
-    return (u == a) | (base(u) == base(a)) | u.startswith(F.concat(base(a), F.lit("/")))
+    return F.array_contains(belonging_keys(url), allowed_key(allowed))
+
+
+def allowed_key(allowed: Column) -> Column:
+    """Key of a published path: its template without a trailing parameter."""
+    return _without_id(route_template(allowed))
+
+
+def belonging_keys(url: Column) -> Column:
+    """The keys of all published paths to which a URL belongs: its template without a trailing parameter, and all paths above it."""
+    def above(u: Column) -> Column:
+        parts = F.split(u, "/")
+        cuts = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
+        return F.array_distinct(F.concat(F.filter(cuts, lambda c: c != u), F.array(_without_id(u))))
+
+    return let(normalize_url(url), above)

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkweave.functions.urls import allowed_key, belonging_keys
 from sparkweave.operators.graph import Graph, make_edges
 from sparkweave.schema import node_id
 
@@ -45,13 +44,19 @@ def foreign_models(graph: Graph, apps: DataFrame) -> DataFrame:
     return findings(rows.withColumnsRenamed({"s_id": "node_id", "s_file_path": "file_path"}), RULES[0], F.col("m_qualified_name"), F.col("other"))
 
 
-def foreign_apis(graph: Graph, apis: DataFrame, belongs: Callable[[Column, Column], Column]) -> DataFrame:
-    """UI code calls an API that another context has published, and its own has not. ``apis``: context, path, in order (pos)."""
+def foreign_apis(graph: Graph, apis: DataFrame) -> DataFrame:
+    """UI code calls an API that another context has published, and its own has not. ``apis``: context, path, in order (pos).
+
+    A URL belongs to a published path by one of a few keys, the paths above it, so calls meet APIs by equal keys.
+    """
     e = graph.edges_of("calls", "consumed_by_client").select(F.col("src").alias("s_id"), F.col("dst").alias("c_id"))
     rows = e.join(_side(graph.nodes, "s", "react.feature", "react.hook", "react.page", "react.component"), "s_id").join(_side(graph.nodes, "c", "react.api_client"), "c_id")
     rows = rows.where("s_context is not null").join(apis.select(F.col("context").alias("s_context")).distinct(), "s_context", "left_semi").dropDuplicates(["s_id", "c_id"])
-    hits = rows.join(apis, belongs(F.col("c_name"), F.col("path")))
-    by = hits.groupBy("s_id", "c_id", "s_context", "s_file_path", "c_name").agg(F.bool_or(F.col("context") == F.col("s_context")).alias("own"), F.min_by("context", "pos").alias("other"))
+    published = apis.select("context", "pos", allowed_key(F.col("path")).alias("key"))
+    # each URL once, however many places call it
+    urls = rows.select("c_name").distinct().select("c_name", F.explode(belonging_keys(F.col("c_name"))).alias("key"))
+    owners = urls.join(published, "key").groupBy("c_name", "context").agg(F.min("pos").alias("pos"))
+    by = rows.select("s_id", "c_id", "s_context", "s_file_path", "c_name").join(owners, "c_name").groupBy("s_id", "c_id", "s_context", "s_file_path", "c_name").agg(F.bool_or(F.col("context") == F.col("s_context")).alias("own"), F.min_by("context", "pos").alias("other"))
     return findings(by.where("not own").withColumnsRenamed({"s_id": "node_id", "s_file_path": "file_path"}), RULES[1], F.col("c_name"), F.col("other"))
 
 
@@ -211,7 +216,7 @@ def crossing_edges(found: DataFrame) -> DataFrame:
     return make_edges(rows.select(F.col("node_id").alias("src"), node_id("arch.context", F.col("other_context")).alias("dst"), F.lit("crosses_context").alias("type")).distinct())
 
 
-def evaluate(graph: Graph, apps: DataFrame, apis: DataFrame | None = None, belongs=None, rules: tuple[str, ...] = RULES, waivers: DataFrame | None = None) -> DataFrame:
+def evaluate(graph: Graph, apps: DataFrame, apis: DataFrame | None = None, rules: tuple[str, ...] = RULES, waivers: DataFrame | None = None) -> DataFrame:
     """Findings of the enabled rules, with ``waived``."""
     enabled = {ALIASES.get(r, r) for r in rules}
     make = {
@@ -220,7 +225,7 @@ def evaluate(graph: Graph, apps: DataFrame, apis: DataFrame | None = None, belon
         RULES[8]: lambda: blast_radius(graph), RULES[9]: lambda: leaked_seams(graph), RULES[10]: lambda: bypassed_interfaces(graph),
     }
     if apis is not None:
-        make[RULES[1]] = lambda: foreign_apis(graph, apis, belongs)
+        make[RULES[1]] = lambda: foreign_apis(graph, apis)
     frames = [make[r]() for r in RULES if r in enabled and r in make]
     found = frames[0]
     for f in frames[1:]:

@@ -138,7 +138,7 @@ def foreign_api_calls(spark, sf):
     clients = c.select(client.alias("id"), F.lit("react.api_client").alias("type"), url.alias("name"))
     g = _graph(spark, hooks.unionByName(clients, True), c.select(hook.alias("src"), client.alias("dst"), F.lit("calls").alias("type")))
     apis = region.select(F.col("r_name").alias("context"), F.concat(F.lit("/a"), "r_regionkey").alias("path"), F.col("r_regionkey").alias("pos"))
-    return rules.foreign_apis(g, apis, U.path_belongs).select("node_id", "subject", "other_context")
+    return rules.foreign_apis(g, apis).select("node_id", "subject", "other_context")
 
 
 @query("SELECT 'django.serializer:' || s_suppkey AS node_id, s_name AS subject FROM supplier WHERE s_nationkey % 4 = 1")

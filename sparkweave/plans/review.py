@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkweave.functions.paths import is_skippable
-from sparkweave.functions.urls import path_belongs
 from sparkweave.operators import evolution, rules, score, traverse
 from sparkweave.operators.graph import Graph, first_seen, index_drift
 from sparkweave.operators.scratch import Scratch
@@ -95,7 +94,7 @@ def review(spark: SparkSession, index: Index, diff: DataFrame, manifest: Manifes
     impact = Graph(scratch.cut(walked.nodes), scratch.cut(walked.edges))
     enabled = tuple(manifest.rules) if manifest.rules is not None else rules.RULES
     if enabled:
-        found = rules.evaluate(graph, manifest.apps(spark), manifest.apis(spark), path_belongs, enabled, manifest.waiver_table(spark))
+        found = rules.evaluate(graph, manifest.apps(spark), manifest.apis(spark), enabled, manifest.waiver_table(spark))
     else:
         found = spark.createDataFrame([], "rule string, severity string, node_id string, file_path string, subject string, other_context string, waived boolean")
     on_path = impact.nodes.select(F.col("id").alias("node_id"))
@@ -233,5 +232,5 @@ def architecture_report(index: Index, manifest: Manifest | None = None) -> dict[
     """Counts by type, findings of all rules, and the types' graph."""
     manifest = manifest or Manifest()
     spark = index.files.sparkSession
-    found = rules.evaluate(index.graph, manifest.apps(spark), manifest.apis(spark), path_belongs, waivers=manifest.waiver_table(spark))
+    found = rules.evaluate(index.graph, manifest.apps(spark), manifest.apis(spark), waivers=manifest.waiver_table(spark))
     return {"types": index.graph.type_counts(), "findings": found, "sinks": index.graph.of_types(*SINK_TYPES), "residuals": first_seen(index.residuals, "what", "path")}
