@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkweave.functions.urls import route_template
+from sparkweave.operators import layout, rules
 from sparkweave.operators.scratch import Scratch
 from sparkweave.plans import stitching
-from sparkweave.plans.lens import read
+from sparkweave.plans.lens import lens, read
 from sparkweave.plans.live import LiveIndex
-from sparkweave.plans.queries import query
+from sparkweave.plans.queries import ORACLES, query
 from sparkweave.sources.extraction import RAW
+from sparkweave.sources.store import Store
 from sparkweave.sources.tree import Manifest
 
 
@@ -88,3 +91,43 @@ def superseded_clients(spark, sf):
     nodes = raw_nodes(c, "react.api_client", "key", "url", F.struct(F.col("url").alias("raw"))).withColumnRenamed("path", "file_path")
     globs = Manifest(generated_clients=list(GLOBS)).globs(spark)
     return stitching.superseded(stitching.clients(nodes, globs)).select("client", "generated", "superseded")
+
+
+@query("""SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN '/a/{id}/b' || p_partkey WHEN 1 THEN '/{id}/c' || p_partkey WHEN 2 THEN '/{id}/{id}/d' ELSE '/e' || p_partkey || '(f|g)/{id}' END AS template FROM part""")
+def nested_groups(spark, sf):
+    """Routes whose named groups hold groups four deep, classes with brackets, and escaped ones."""
+    k, n = F.col("p_partkey"), F.col("p_size") % 4
+    route = F.when(n == 0, F.concat(F.lit("^a/(?P<x>[^/]+)/b"), k, F.lit("/$"))).when(n == 1, F.concat(F.lit("(?P<x>(?:(?:(?:a|b(c))d)e)+)/c"), k)).when(
+        n == 2, r"(?P<x>[)(]+)/(?P<y>\)\()/d").otherwise(F.concat(F.lit("e"), k, F.lit(r"(f|g)/(?P<y>\d{4})")))
+    return read(spark, sf, "part").select("p_partkey", route_template(route).alias("template"))
+
+
+@query(f"SELECT rule, count(*) AS n FROM (SELECT 'cascade_crosses_context' AS rule FROM ({ORACLES['cascade_cross_context']})) GROUP BY 1")
+def cached_findings(spark, sf):
+    """Findings kept by version: the second time no rule runs."""
+    def never():
+        raise AssertionError("findings of this version are kept")
+
+    kept, empty = Store(spark, Scratch(spark).path), spark.createDataFrame([], "app string, context string")
+    kept.cached("findings", "v1", lambda: rules.cascades(lens(spark, sf), empty))
+    return kept.cached("findings", "v1", never).groupBy("rule").agg(F.count("*").alias("n"))
+
+
+#: Files of a project: apps by nation, UI features by segment, with what tells which directory is what.
+_LAYOUT = """f AS (
+  SELECT 'srv/n' || c_nationkey || '/' || CASE c_custkey % 3 WHEN 0 THEN 'models.py' WHEN 1 THEN 'views/list.py' ELSE 'util.py' END AS path FROM customer
+  UNION SELECT 'web/src/features/' || lower(c_mktsegment) || '/' || 'C' || c_custkey % 5 || '.tsx' FROM customer UNION SELECT 'web/package.json' UNION SELECT 'srv/manage.py' UNION SELECT 'srv/n3/tests/x/manage.py')"""
+
+
+@query(f"""WITH {_LAYOUT} SELECT kind, name, root FROM (
+  SELECT 'app' AS kind, regexp_extract(path, '([^/]+)/models\\.py$', 1) AS name, regexp_extract(path, '^(.*)/models\\.py$', 1) AS root FROM f WHERE path LIKE '%/models.py'
+  UNION SELECT 'feature', regexp_extract(path, '/features/([^/]+)/', 1), regexp_extract(path, '^(.*/features/[^/]+)/', 1) FROM f WHERE path LIKE '%/features/%'
+  UNION SELECT 'root', 'backend', 'srv' UNION SELECT 'root', 'frontend', 'web/src')""")
+def layout_parts(spark, sf):
+    """Apps, UI features and the roots above them, inferred from paths."""
+    c = read(spark, sf, "customer")
+    app = F.concat(F.lit("srv/n"), "c_nationkey", F.lit("/"), F.when(F.col("c_custkey") % 3 == 0, "models.py").when(F.col("c_custkey") % 3 == 1, "views/list.py").otherwise("util.py"))
+    ui = F.concat(F.lit("web/src/features/"), F.lower("c_mktsegment"), F.lit("/C"), F.col("c_custkey") % 5, F.lit(".tsx"))
+    fixed = spark.createDataFrame([("web/package.json",), ("srv/manage.py",), ("srv/n3/tests/x/manage.py",)], "path string")
+    files = c.select(F.explode(F.array(app, ui)).alias("path")).unionByName(fixed)
+    return layout.layout(files).select("kind", "name", "root")

@@ -6,6 +6,8 @@ reader can take in.
 
 from __future__ import annotations
 
+import hashlib
+import json
 from dataclasses import dataclass
 from html import escape
 
@@ -19,6 +21,7 @@ from sparkweave.operators.scratch import Scratch
 from sparkweave.plans import stitching
 from sparkweave.schema import INFERRED_BELOW, SINK_TYPES
 from sparkweave.sources import extraction
+from sparkweave.sources.store import Store, fingerprint
 from sparkweave.sources.tree import Manifest
 
 
@@ -228,9 +231,46 @@ def html(document: dict) -> str:
     return "<!doctype html><meta charset=utf-8>" + "\n".join(out) + "\n"
 
 
-def architecture_report(index: Index, manifest: Manifest | None = None) -> dict[str, DataFrame]:
-    """Counts by type, findings of all rules, and the types' graph."""
-    manifest = manifest or Manifest()
+def findings_version(index: Index, manifest: Manifest) -> str:
+    """Findings follow from the files, the described operations, the manifest and the rules' revision."""
+    operations = None if index.operations is None else fingerprint(index.operations.select(F.concat_ws(" ", "method", "path").alias("path"), F.lit("").alias("hash")))
+    told = json.dumps([manifest.write(), rules.REVISION, operations])
+    return f"{fingerprint(index.files)}{hashlib.sha256(told.encode()).hexdigest()[:16]}"
+
+
+def all_findings(index: Index, manifest: Manifest, store: Store | None = None) -> DataFrame:
+    """Findings of the manifest's rules over the whole index; of an unchanged one those that the store keeps."""
     spark = index.files.sparkSession
-    found = rules.evaluate(index.graph, manifest.apps(spark), manifest.apis(spark), waivers=manifest.waiver_table(spark))
+    enabled = tuple(manifest.rules) if manifest.rules is not None else rules.RULES
+    compute = lambda: rules.evaluate(index.graph, manifest.apps(spark), manifest.apis(spark), enabled, manifest.waiver_table(spark))
+    return compute() if store is None else store.cached("findings", findings_version(index, manifest), compute)
+
+
+def architecture_report(index: Index, manifest: Manifest | None = None, store: Store | None = None) -> dict[str, DataFrame]:
+    """Counts by type, findings of all rules, and the types' graph."""
+    found = all_findings(index, manifest or Manifest(), store)
     return {"types": index.graph.type_counts(), "findings": found, "sinks": index.graph.of_types(*SINK_TYPES), "residuals": first_seen(index.residuals, "what", "path")}
+
+
+def index_summary(index: Index, manifest: Manifest, store: Store, limit: int = 40) -> dict:
+    """What a reader of an index sees first; it is kept as the index's card, and older findings are forgotten."""
+    version, found = findings_version(index, manifest), all_findings(index, manifest, store)
+    store.forget("findings", version)
+    counts = index.graph.counts().first().asDict()
+    by_rule = {(r["rule"], r["waived"]): r["count"] for r in found.groupBy("rule", "waived").count().collect()}
+    summary = {
+        "version": version, "counts": counts, "files": index.files.count(), "types": {r["type"]: r["n"] for r in index.graph.type_counts().collect()},
+        "contexts": {c["name"]: {k: c.get(k) or [] for k in ("apps", "ui", "public_api", "owners")} for c in manifest.contexts},
+        "rules": list(manifest.rules if manifest.rules is not None else rules.RULES),
+        "findings": {rule: n for (rule, waived), n in sorted(by_rule.items()) if not waived}, "waived": sum(n for (_, waived), n in by_rule.items() if waived),
+        "deepening": [r.asDict() for r in rules.deepening_cards(found).collect()],
+        "residuals": [r["what"] for r in first_seen(index.residuals, "what", "path").limit(limit).collect()],
+    }
+    store.set_meta("card", json.dumps({k: summary[k] for k in ("version", "counts", "files", "contexts")}))
+    return summary
+
+
+def index_card(store: Store) -> dict:
+    """Counts and contexts of the index last summarised, without a look at it."""
+    kept = store.get_meta("card")
+    return {"indexed": False, "counts": {"nodes": 0, "edges": 0}, "contexts": {}} if kept is None else {"indexed": True} | json.loads(kept)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from datetime import datetime, timezone
 
 from pyspark.errors import AnalysisException
@@ -56,6 +57,34 @@ class Store:
         df.write.mode("overwrite").parquet(f"{self.path}/{table}")
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{table}")
 
+    def cached(self, table: str, version: str, compute: Callable[[], DataFrame]) -> DataFrame:
+        """The rows kept under a version, or those computed now, which are kept from then on.
+
+        A version's rows are whole once its write has committed; what an interrupted one left is written anew.
+        Rows of other versions stay until ``forget``.
+        """
+        path = f"{self.path}/{table}/version={version}"
+        if not self._exists(f"{path}/_SUCCESS"):
+            compute().write.mode("overwrite").parquet(path)
+        return self.spark.read.parquet(path)
+
+    def forget(self, table: str, but: str) -> list[str]:
+        """Delete all versions of a table but one; their names."""
+        folder, fs = self._at(f"{self.path}/{table}")
+        old = [x.getPath() for x in fs.listStatus(folder)] if fs.exists(folder) else []
+        old = [x for x in old if x.getName().startswith("version=") and x.getName() != f"version={but}"]
+        for x in old:
+            fs.delete(x, True)
+        return sorted(x.getName().removeprefix("version=") for x in old)
+
+    def _at(self, path: str):
+        folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return folder, folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _exists(self, path: str) -> bool:
+        folder, fs = self._at(path)
+        return fs.exists(folder)
+
     def read(self, table: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{table}")
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkweave.functions.paths import in_skipped_dir
+from sparkweave.operators import layout
 from sparkweave.operators.evolution import split_patches
 from sparkweave.sources import tree_source
 
@@ -120,9 +121,9 @@ def write_draft(root: str, manifest: Manifest, overwrite: bool = False) -> bool:
 
 
 def draft_manifest(files: DataFrame) -> Manifest:
-    """A context for each app that has models or views; one row an app comes to the driver."""
-    apps = files.where(F.col("path").rlike(r"/(models|views)(/|\.py$)")).select(F.element_at(F.split(F.regexp_replace("path", r"/(models|views)(/.*|\.py)$", ""), "/"), -1).alias("app")).distinct()
-    return Manifest([{"name": r["app"], "apps": [r["app"]]} for r in apps.orderBy("app").collect()])
+    """A context for each name of apps and UI features, owned by a team of that name; one row a context comes to the driver."""
+    rows = layout.contexts(layout.layout(files)).orderBy("name").collect()
+    return Manifest([{"name": r["name"], "apps": r["apps"], "ui": r["ui"], "owners": [f"{r['name']}-team"]} for r in rows] or [{"name": "app", "apps": [], "ui": [], "owners": ["app-team"]}])
 
 
 def parse_codeowners(text: str) -> list[tuple[str, list[str]]]:

@@ -29,7 +29,10 @@ TREE = {
     "front/src/App.tsx": "import { OrderPage } from './features/orders/OrderPage'\nexport const App = () => <Route path=\"/orders/:id\" element={<OrderPage/>}/>\n",
     "front/node_modules/x/index.js": "fetch('/never')\n",
 }
-MANIFEST = tree.Manifest([{"name": "shop", "apps": ["shop"], "owners": ["shop-team"]}, {"name": "people", "apps": ["people"], "owners": ["people-team"]}])
+MANIFEST = tree.Manifest([
+    {"name": "shop", "apps": ["shop"], "owners": ["shop-team"], "ui": ["front/src/features/orders"], "public_api": ["GET /api/other"]},
+    {"name": "people", "apps": ["people"], "owners": ["people-team"], "public_api": ["GET /api/orders"]},
+])
 
 
 @pytest.fixture(scope="module")
@@ -70,6 +73,8 @@ def test_review(spark, index):
     reached = ids(r.impact.nodes)
     assert {"django.route:shop:orders/<int:pk>/", "react.form_schema:orders.orderSchema", "react.page:orders.OrderPage", "django.task:shop.mail_buyer"} <= reached
     found = {f["rule"] for f in r.document["findings"]}
+    # UI files have a context by their directory, and call what another one publishes
+    assert index.graph.node("react.hook:orders.useOrder").first()["context"] == "shop" and "react_feature_may_only_call_own_or_shared_api" in found
     assert {"views_cannot_import_other_context_models", "serializers_are_the_only_published_contract", "celery_tasks_must_be_idempotent_on_model_pk", "queryset_nplusone"} <= found
     assert r.document["confidence"]["level"] == "low" and R.gate(r.document) == 2 and "public_contract" in r.document["kinds"]
     assert r.document["reviewers"][0] in ("people-team", "shop-team") and r.document["read_order"] == ["back/shop/serializers.py"]
@@ -83,9 +88,25 @@ def test_review(spark, index):
     assert docs.document["findings"] == [] and docs.document["confidence"]["level"] == "high"
 
 
-def test_architecture_and_drift(index, files):
-    report = R.architecture_report(index, MANIFEST)
+def test_architecture_and_drift(spark, index, files, tmp_path, monkeypatch):
+    kept = store.Store(spark, str(tmp_path / "kept"))
+    assert R.index_card(kept) == {"indexed": False, "counts": {"nodes": 0, "edges": 0}, "contexts": {}}
+    report = R.architecture_report(index, MANIFEST, kept)
+    found = sorted(map(repr, report["findings"].collect()))
     assert {r["rule"] for r in report["findings"].collect()} >= {"cascade_crosses_context", "migration_blast_radius", "queryset_missing_index"}
+    # the second time no rule runs; a manifest with other rules is another version
+    evaluate = R.rules.evaluate
+    monkeypatch.setattr(R.rules, "evaluate", None)
+    assert sorted(map(repr, R.architecture_report(index, MANIFEST, kept)["findings"].collect())) == found
+    summary = R.index_summary(index, MANIFEST, kept)
+    assert summary["counts"]["nodes"] == index.graph.nodes.count() and summary["findings"]["cascade_crosses_context"] >= 1 and summary["contexts"]["shop"]["apps"] == ["shop"]
+    assert R.index_card(kept)["counts"] == summary["counts"] and R.index_card(kept)["version"] == R.findings_version(index, MANIFEST)
+    fewer = tree.Manifest(MANIFEST.contexts, rules=["cascade_crosses_context"])
+    with pytest.raises(TypeError):
+        R.architecture_report(index, fewer, kept)
+    monkeypatch.setattr(R.rules, "evaluate", evaluate)
+    assert {r["rule"] for r in R.architecture_report(index, fewer, kept)["findings"].collect()} == {"cascade_crosses_context"}
+    assert kept.forget("findings", R.findings_version(index, fewer)) == [R.findings_version(index, MANIFEST)]
     assert R.reindex(index, extraction.source_files(files), MANIFEST) is index
 
 
@@ -144,6 +165,8 @@ def test_owners_openapi_and_manifest(spark):
     got = {tuple(r) for r in tree.openapi_operations(spark, spark.createDataFrame([(doc,)], "content string")).collect()}
     assert got == {("/a/{pk}", "GET", "one"), ("/b", "POST", None)}
     m = tree.Manifest.parse(MANIFEST.write())
+    other = tree.Manifest.parse(json.dumps({"contexts": [], "generated_clients": ["**/gen/*.ts"], "theme": {"dark": 1}}))
+    assert other.generated_clients == ["**/gen/*.ts"] and json.loads(other.write())["theme"] == {"dark": 1} and ids(other.globs(spark), "pattern") == {"**/gen/*.ts"}
     assert m.rules is None and m.waive("leaked_seam", None, "x") and not m.waive("leaked_seam", None, "y")
 
 
