@@ -137,8 +137,8 @@ def cascades(graph: Graph, apps: DataFrame) -> DataFrame:
     return findings(rows.where("s_in <> t_in").withColumnsRenamed({"s_id": "node_id", "s_file_path": "file_path"}), RULES[7], F.col("t_qualified_name"))
 
 
-def blast_radius(graph: Graph) -> DataFrame:
-    """Migrations that drop a field or model to which something still refers."""
+def blast_radius(graph: Graph, shown: int | None = 8) -> DataFrame:
+    """Migrations that drop a field or model to which something still refers; the finding names the first ``shown`` of these, or all."""
     ops = graph.of_types("django.migration_op").select(F.col("id").alias("node_id"), "file_path", extra("op").alias("op"), extra("app").alias("app"), extra("model_name").alias("model"), extra("field_name").alias("field"), extra("args", "array<string>").alias("args"))
     ops = ops.withColumn("model", F.coalesce("model", F.get("args", F.lit(0)))).withColumn("field", F.coalesce("field", F.get("args", F.lit(1)))).where("model is not null")
     ops = ops.withColumn("of_model", F.lower(F.concat_ws(".", "app", "model")))
@@ -149,13 +149,14 @@ def blast_radius(graph: Graph) -> DataFrame:
     own_field = drop_field.withColumn("low", F.concat_ws(".", "of_model", F.lower("field"))).join(names.where("type = 'django.field'").select("ref", "low"), "low")
     of_model = drop_field.join(e.where("type = 'serializes'").select("of_model", F.col("src").alias("serializer")), "of_model")
     children = graph.edges_of("has_field").select(F.col("src").alias("serializer"), F.col("dst").alias("ref"))
-    shown = of_model.join(children, "serializer").join(names.select("ref", F.col("name").alias("field")), ["ref", "field"])
+    served = of_model.join(children, "serializer").join(names.select("ref", F.col("name").alias("field")), ["ref", "field"])
     own_model = drop_model.withColumn("low", F.col("of_model")).join(names.where("type = 'django.model'").select("ref", "low"), "low")
     users = drop_model.join(e.where("type in ('serializes', 'queries_model', 'relates_to')").select("of_model", F.col("src").alias("ref")), "of_model").join(names.select("ref"), "ref", "left_semi")
     still = own_field.select("node_id", "file_path", "ref")
-    for part in (shown, own_model, users):
+    for part in (served, own_model, users):
         still = still.unionByName(part.select("node_id", "file_path", "ref"))
-    rows = still.groupBy("node_id", "file_path").agg(F.array_join(F.slice(F.sort_array(F.collect_set("ref")), 1, 8), ",").alias("refs"))
+    refs = F.sort_array(F.collect_set("ref"))
+    rows = still.groupBy("node_id", "file_path").agg(F.array_join(refs if shown is None else F.slice(refs, 1, shown), ",").alias("refs"))
     return findings(rows, RULES[8], F.col("refs"))
 
 

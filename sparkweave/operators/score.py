@@ -11,6 +11,8 @@ from sparkweave.operators.traverse import walk
 from sparkweave.schema import CONTRACT_TYPES, HUB_TYPES, INFERRED_BELOW, SINK_TYPES
 
 TEST_TYPES = ("django.test", "react.test")
+#: Confidence of a client that a generated one supersedes.
+SUPERSEDED = 0.4
 
 
 def tested_ids(impact: Graph) -> DataFrame:
@@ -138,6 +140,40 @@ def untested_fields(impact: Graph, names: DataFrame) -> DataFrame:
     return fields.join(names.select("name").distinct(), "name", "left_semi").join(said, "name", "left_anti").select("type", "name")
 
 
+def path_residuals(impact: Graph) -> DataFrame:
+    """kind, node_id, what: what the walk can't vouch for on its way.
+
+    One scan of the nodes and one of the edges: each row gives an array of tagged structs, of which those that hold
+    are kept, whatever number of kinds there is.
+    """
+    def tagged(**kinds: Column) -> Column:
+        return F.filter(F.array(*(F.when(when, F.struct(F.lit(kind).alias("kind"), what.alias("what"))) for kind, (when, what) in kinds.items())), lambda x: x.isNotNull())
+
+    flag = lambda key: F.coalesce(extra(key, "boolean"), F.lit(False))
+    name, place = F.col("qualified_name"), F.coalesce(F.concat_ws(":", "file_path", F.col("start_line").cast("string")), F.col("qualified_name")) if "start_line" in impact.nodes.columns else F.coalesce("file_path", "qualified_name")
+    hits = F.from_json(F.get_json_object("extra", "$.nplusone"), "array<struct<line:int,loop_var:string,accessed:array<string>>>")
+    tested = impact.edges_of("tested_by").select(F.col("src").alias("id")).distinct().withColumn("tested", F.lit(True))
+    nodes = impact.nodes.join(tested, "id", "left")
+    of_node = tagged(
+        untested_receiver=((F.col("type") == "django.receiver") & F.col("tested").isNull(), F.concat(F.lit("no test: "), "name", F.lit(" "), place)),
+        dynamic_serializer=(flag("get_serializer_class") & (F.size(F.coalesce(extra("serializer_classes", "array<string>"), F.array().cast("array<string>"))) == 0), F.concat(F.lit("serializer chosen at run time: "), name)),
+        string_reference=(flag("string_ref"), F.concat(F.lit("model named by a string: "), name)),
+        inferred_node=(flag("inferred"), F.concat(F.lit("inferred: "), "name")),
+        queryset=(flag("queryset_in_serializer"), F.concat(F.lit("queryset inside a serializer: "), name)),
+    )
+    loops = F.transform(hits, lambda h: F.struct(F.lit("nplusone").alias("kind"), F.concat(F.lit("queries in a loop: "), F.array_join(F.array_sort(h["accessed"]), ","), F.lit(" in "), F.coalesce("file_path", F.lit("?")), F.lit(":"), h["line"].cast("string")).alias("what")))
+    rows = nodes.select(F.col("id").alias("node_id"), F.explode(F.concat(of_node, F.coalesce(loops, F.array().cast("array<struct<kind:string,what:string>>")))).alias("r"))
+    unsure = F.col("confidence") < INFERRED_BELOW
+    ends = F.concat_ws(" ", "type", "src", "dst")
+    of_edge = tagged(
+        overlap=((F.col("type") == "matches_schema") & unsure, F.concat(F.lit("inferred from shared fields: "), "src", F.lit(" and "), "dst")),
+        superseded=((F.col("type") == "consumed_by_client") & (F.col("confidence") == SUPERSEDED), F.concat(F.lit("a generated client covers "), "dst")),
+        inferred_edge=(~F.col("type").isin("matches_schema") & unsure & (F.col("confidence") != SUPERSEDED), F.concat(F.lit("inferred: "), ends)),
+    )
+    edges = impact.edges.select(F.col("dst").alias("node_id"), F.explode(of_edge).alias("r"))
+    return rows.unionByName(edges).select("r.kind", "node_id", "r.what").distinct()
+
+
 def ui_residuals(impact: Graph, paths: DataFrame, names: DataFrame) -> DataFrame:
     """what: mutations that leave queries stale, changed pages without an error boundary, changed fields that no form has."""
     n = impact.nodes

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkweave.functions.urls import route_template
-from sparkweave.operators import layout, rules
+from sparkweave.operators import layout, rules, score
+from sparkweave.operators.graph import Graph, make_edges
 from sparkweave.operators.scratch import Scratch
 from sparkweave.plans import stitching
 from sparkweave.plans.lens import lens, read
@@ -131,3 +132,28 @@ def layout_parts(spark, sf):
     fixed = spark.createDataFrame([("web/package.json",), ("srv/manage.py",), ("srv/n3/tests/x/manage.py",)], "path string")
     files = c.select(F.explode(F.array(app, ui)).alias("path")).unionByName(fixed)
     return layout.layout(files).select("kind", "name", "root")
+
+
+@query("""WITH p AS (SELECT p_partkey AS k, p_size % 7 AS m, 'n' || p_partkey AS q, p_brand || '.py' AS f FROM part),
+e AS (SELECT k, 'n' || k AS src, 'n' || (k + 1) AS dst, CASE WHEN k % 5 = 0 THEN 'tested_by' WHEN k % 5 < 3 THEN 'consumed_by_client' WHEN k % 5 = 3 THEN 'matches_schema' ELSE 'calls' END AS type, CASE k % 4 WHEN 0 THEN 0.4 WHEN 1 THEN 0.55 ELSE 1.0 END AS c FROM p)
+SELECT 'untested_receiver' AS kind, q AS node_id, 'no test: ' || q || ' ' || f AS what FROM p WHERE m = 0 AND k % 5 <> 0
+UNION SELECT 'dynamic_serializer', q, 'serializer chosen at run time: ' || q FROM p WHERE m = 1
+UNION SELECT 'string_reference', q, 'model named by a string: ' || q FROM p WHERE m = 2
+UNION SELECT 'inferred_node', q, 'inferred: ' || q FROM p WHERE m IN (2, 3)
+UNION SELECT 'queryset', q, 'queryset inside a serializer: ' || q FROM p WHERE m = 4
+UNION SELECT 'nplusone', q, 'queries in a loop: a,z in ' || f || ':' || k FROM p WHERE m = 5
+UNION SELECT 'overlap', dst, 'inferred from shared fields: ' || src || ' and ' || dst FROM e WHERE type = 'matches_schema' AND c < 0.8
+UNION SELECT 'superseded', dst, 'a generated client covers ' || dst FROM e WHERE type = 'consumed_by_client' AND c = 0.4
+UNION SELECT 'inferred_edge', dst, 'inferred: ' || type || ' ' || src || ' ' || dst FROM e WHERE type <> 'matches_schema' AND c < 0.8 AND c <> 0.4""")
+def path_residuals(spark, sf):
+    """What a walk can't vouch for, over parts as nodes of seven kinds and edges between neighbours."""
+    k, m = F.col("p_partkey"), F.col("p_size") % 7
+    p, name = read(spark, sf, "part"), F.concat(F.lit("n"), F.col("p_partkey"))
+    hit = F.array(F.struct(k.cast("int").alias("line"), F.lit("x").alias("loop_var"), F.array(F.lit("z"), F.lit("a")).alias("accessed")))
+    extras = F.to_json(F.struct(
+        F.when(m == 1, True).alias("get_serializer_class"), F.when(m == 2, True).alias("string_ref"), F.when(m.isin(2, 3), True).alias("inferred"), F.when(m == 4, True).alias("queryset_in_serializer"), F.when(m == 5, hit).alias("nplusone")))
+    nodes = p.select(name.alias("id"), F.when(m == 0, "django.receiver").otherwise("django.view").alias("type"), name.alias("name"), name.alias("qualified_name"), F.concat("p_brand", F.lit(".py")).alias("file_path"), extras.alias("extra"))
+    kind = F.when(k % 5 == 0, "tested_by").when(k % 5 < 3, "consumed_by_client").when(k % 5 == 3, "matches_schema").otherwise("calls")
+    sure = F.when(k % 4 == 0, 0.4).when(k % 4 == 1, 0.55).otherwise(1.0)
+    edges = p.select(name.alias("src"), F.concat(F.lit("n"), k + 1).alias("dst"), kind.alias("type"), sure.alias("confidence"))
+    return score.path_residuals(Graph(nodes, make_edges(edges)))

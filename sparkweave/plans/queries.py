@@ -344,14 +344,14 @@ def queryset_nplusone(spark, sf):
     return rules.nplusone(lens(spark, sf)).select("node_id", "subject")
 
 
-@query(on_lens("""SELECT node_id, CAST(least(8, count(DISTINCT ref)) AS INTEGER) AS refs FROM (
+@query(on_lens("""SELECT node_id, string_agg(DISTINCT ref, ',' ORDER BY ref) AS refs FROM (
 SELECT 'django.migration_op:' || o.part AS node_id, 'django.field:' || o.part || '.' || o.field AS ref FROM prt o WHERE o.p_size >= 45 AND o.p_size % 2 = 0
 UNION SELECT 'django.migration_op:' || o.part, 'django.serializer_field:' || i.supplier || '.' || o.field FROM prt o JOIN items i ON i.part = o.part WHERE o.p_size >= 45 AND o.p_size % 2 = 0 AND o.field <> 'f50'
 UNION SELECT 'django.migration_op:' || o.part, 'django.model:' || o.part FROM prt o WHERE o.p_size >= 45 AND o.p_size % 2 = 1
 UNION SELECT 'django.migration_op:' || o.part, e.src FROM prt o JOIN edges e ON e.dst = 'django.model:' || o.part AND e.type IN ('serializes', 'queries_model', 'relates_to') WHERE o.p_size >= 45 AND o.p_size % 2 = 1)
 GROUP BY node_id"""))
 def blast_radius(spark, sf):
-    return rules.blast_radius(lens(spark, sf)).select("node_id", F.size(F.split("subject", ",")).alias("refs"))
+    return rules.blast_radius(lens(spark, sf), None).select("node_id", F.col("subject").alias("refs"))
 
 
 _SEAMS = on_lens("""SELECT q.v AS node_id, m.qualified_name || ' ' || coalesce(

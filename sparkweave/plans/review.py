@@ -14,12 +14,12 @@ from html import escape
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkweave.functions.paths import is_skippable
+from sparkweave.functions.paths import is_skippable, is_source
 from sparkweave.operators import evolution, rules, score, traverse
 from sparkweave.operators.graph import Graph, first_seen, index_drift
 from sparkweave.operators.scratch import Scratch
 from sparkweave.plans import stitching
-from sparkweave.schema import INFERRED_BELOW, SINK_TYPES
+from sparkweave.schema import SINK_TYPES
 from sparkweave.sources import extraction
 from sparkweave.sources.store import Store, fingerprint
 from sparkweave.sources.tree import Manifest
@@ -104,11 +104,12 @@ def review(spark: SparkSession, index: Index, diff: DataFrame, manifest: Manifes
     in_diff = paths.select(F.col("path").alias("file_path"))
     found = found.join(on_path.withColumn("on_path", F.lit(True)), "node_id", "left").join(in_diff.withColumn("in_diff", F.lit(True)), "file_path", "left").where("on_path or in_diff").drop("on_path", "in_diff")
     found = scratch.cut(found)
-    weak = impact.edges.where(F.col("confidence") < INFERRED_BELOW).select(F.concat_ws(" ", F.lit("inferred"), "type", "src", "dst").alias("what"))
+    weak = score.path_residuals(impact).select("what")
+    touched = paths.unionByName(impact.nodes.where("file_path is not null").select(F.col("file_path").alias("path"))).distinct()
     changed = evolution.patch_identifiers(diff)
     unsaid = score.untested_fields(impact, changed).select(F.concat(F.lit("no test mentions "), "name").alias("what"))
     shown = score.ui_residuals(impact, paths, changed)
-    residuals = scratch.cut(index.residuals.join(paths, "path", "left_semi").select("what").unionByName(weak).unionByName(unsaid).unionByName(shown).distinct())
+    residuals = scratch.cut(index.residuals.join(touched, "path", "left_semi").select("what").unionByName(weak).unionByName(unsaid).unionByName(shown).distinct())
     confidence = score.score_confidence(impact, found, residuals.count())
     clusters = score.title_of(traverse.change_clusters(impact.edges, seeds), seeds)
     kinds = score.classify_change(impact, found, seeds)
@@ -133,6 +134,12 @@ def review(spark: SparkSession, index: Index, diff: DataFrame, manifest: Manifes
     if commits is not None:
         spots = evolution.hotspots(commits).join(impact.nodes.select(F.col("file_path").alias("file")).distinct(), "file", "left_semi")
         document["hotspots"] = [r.asDict() for r in spots.orderBy(F.desc("commits"), "file").limit(16).collect()]
+        files = impact.nodes.where("file_path is not null").groupBy(F.col("file_path").alias("file")).agg(F.min("context").alias("context"))
+        sources = commits.where(is_source(F.col("file")))
+        pairs = scratch.cut(evolution.couplings(evolution.co_change(sources), files, files))
+        document["couplings"] = [r.asDict() for r in pairs.orderBy(F.desc("together"), "a", "b").collect()]
+        document["evolution"] = [r.asDict() for r in evolution.notes(spots, pairs).orderBy("kind", F.desc("n"), "subject").limit(limit).collect()]
+        document["knowledge"] = [r.asDict() for r in evolution.knowledge_owners(commits.join(files.select("file"), "file", "left_semi")).collect()]
     views = score.auth_path(impact).orderBy("guarded", "name").limit(limit).collect()
     document["auth"] = [v.asDict() for v in views]
     document["sinks"] = [r.asDict() for r in score.sink_summaries(impact).orderBy("type", "name").limit(limit).collect()]
@@ -186,6 +193,11 @@ def checklist(document: dict) -> list[dict]:
     """What is left to do, blockers first."""
     todo = [{"kind": "finding", "status": "done" if f["waived"] else "todo", "title": f"{f['severity']}: {f['rule']}", "node_id": f["node_id"]} for f in document["findings"]]
     todo.sort(key=lambda t: (t["status"] == "done", not t["title"].startswith("blocker")))
+    if document["contract_break"]["kind"] != "none":
+        todo.append({"kind": "contract", "status": "todo" if document["contract_break"]["kind"] == "breaking" else "info", "title": f"contract: {document['contract_break']['kind']}", "node_id": None})
+    todo += [{"kind": "auth", "status": "todo", "title": f"no permission on {v['name']}", "node_id": v.get("id")} for v in document["auth"] if not v["guarded"]]
+    todo += [{"kind": "history", "status": "info", "title": f"{n['kind']}: {n['subject']}", "node_id": None} for n in document.get("evolution", [])[:8]]
+    todo += [{"kind": "reviewer", "status": "info", "title": f"ask {r}", "node_id": None} for r in document["reviewers"][:4]]
     todo += [{"kind": "test", "status": "todo", "title": f"test {u['name']}", "node_id": u["id"]} for u in document["untested"]]
     todo += [{"kind": "residual", "status": "info", "title": r, "node_id": None} for r in document["residuals"][:8]]
     if not any(t["status"] == "todo" for t in todo):
