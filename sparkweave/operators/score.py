@@ -241,10 +241,32 @@ def contract_sides(fields: DataFrame, limit: int = 40) -> DataFrame:
     return by.crossJoin(sides).select("field", "server", "client", status.alias("status")).orderBy("field").limit(limit)  # one row
 
 
+#: Kinds of test by type of sink, what such a test is to show, and its body; {ident} and {name} are filled in.
+SKETCHES = {
+    "django.route": ("pytest", "Request {name}", "def test_{ident}_is_served(client):\n    assert client.get('{name}').status_code < 400\n"),
+    "fastapi.route": ("pytest", "Request {name} of the API", "def test_{ident}_answers(client):\n    assert client.get('{name}').status_code < 500\n"),
+    "react.page": ("rtl", "Render {name}", "it('renders {name}', () => {\n  const { container } = render(<{name} />)\n  expect(container.firstChild).not.toBeNull()\n})\n"),
+    "react.form_schema": ("rtl", "Submit what {name} accepts", "it('accepts what {name} describes', () => {\n  expect({name}.safeParse(valid).success).toBe(true)\n})\n"),
+    "react.route": ("playwright", "Open {name} in a browser", "test('opens {name}', async ({ page }) => {\n  const answer = await page.goto('{name}')\n  expect(answer.ok()).toBeTruthy()\n})\n"),
+    "graphql.operation": ("graphql", "Run operation {name}", "def test_{ident}_has_no_errors(run):\n    assert 'errors' not in run('{name}')\n"),
+    "django.consumer": ("channels", "Connect to {name}", "async def test_{ident}_accepts(connect):\n    assert await connect('{name}')\n"),
+    "django.websocket_route": ("channels", "Open the socket {name}", "async def test_{ident}_opens(connect):\n    assert await connect('{name}')\n"),
+    "django.template": ("django", "Render the template {name}", "def test_{ident}_renders():\n    assert render_to_string('{name}', {})\n"),
+    "django.cache_key": ("pytest", "Read {name} back after a write", "def test_{ident}_is_cached(write):\n    write()\n    assert cache.get('{name}') is not None\n"),
+    "django.feature_flag": ("pytest", "Both sides of the flag {name}", "@pytest.mark.parametrize('on', (False, True))\ndef test_{ident}(client, on, set_flag):\n    set_flag('{name}', on)\n    assert client.get('/').status_code < 500\n"),
+    "django.task": ("pytest", "Run the task {name} twice", "def test_{ident}_can_run_twice(run_task, snapshot):\n    run_task('{name}')\n    first = snapshot()\n    run_task('{name}')\n    assert snapshot() == first\n"),
+    "django.side_effect": ("pytest", "Nothing of {name} happens on a rollback", "def test_{ident}_waits_for_commit(outbox, rolled_back):\n    rolled_back()\n    assert outbox == []\n"),
+}
+
+
 def suggested_tests(untested: DataFrame, limit: int = 8) -> DataFrame:
-    """A test to write for each kind and name of untested sink."""
-    rows = untested.dropDuplicates(["type", "name"]).select("type", "name", F.format_string("test_%s_%s", F.substring_index("type", ".", -1), F.regexp_replace(F.lower("name"), "[^a-z0-9]+", "_")).alias("test"))
-    return rows.orderBy("type", "name").limit(limit)
+    """type, name, test (its name), kind, title, body of a test to write, for each kind and name of untested sink; other types have no sketch."""
+    ident = F.regexp_replace(F.lower("name"), "[^a-z0-9]+", "_")
+    texts = F.create_map(*(x for kind, texts in SKETCHES.items() for x in (F.lit(kind), F.array(*map(F.lit, texts)))))
+    rows = untested.dropDuplicates(["type", "name"]).withColumn("sketch", texts[F.col("type")])
+    filled = lambda n: F.replace(F.replace(F.get("sketch", F.lit(n)), F.lit("{ident}"), ident), F.lit("{name}"), F.col("name"))
+    test = F.format_string("test_%s_%s", F.substring_index("type", ".", -1), ident)
+    return rows.orderBy("type", "name").limit(limit).select("type", "name", test.alias("test"), F.get("sketch", F.lit(0)).alias("kind"), filled(1).alias("title"), filled(2).alias("body"))
 
 
 def sink_summaries(impact: Graph) -> DataFrame:

@@ -15,7 +15,7 @@ from sparkweave.plans.live import LiveIndex
 from sparkweave.plans.queries import ORACLES, query
 from sparkweave.sources.extraction import RAW
 from sparkweave.sources.store import Store
-from sparkweave.sources.tree import Manifest
+from sparkweave.sources.tree import Manifest, openapi_operations
 
 
 def raw_nodes(rows: DataFrame, kind: str, id: str, name: str, extra) -> DataFrame:
@@ -157,3 +157,14 @@ def path_residuals(spark, sf):
     sure = F.when(k % 4 == 0, 0.4).when(k % 4 == 1, 0.55).otherwise(1.0)
     edges = p.select(name.alias("src"), F.concat(F.lit("n"), k + 1).alias("dst"), kind.alias("type"), sure.alias("confidence"))
     return score.path_residuals(Graph(nodes, make_edges(edges)))
+
+
+@query("""SELECT '/n' || s_nationkey || '/s' || s_suppkey || '/{id}' AS path, m AS method, CASE WHEN m = 'GET' THEN 'read_' || s_suppkey END AS operation FROM supplier, (SELECT unnest(['GET', 'POST']) AS m)
+UNION SELECT '/n' || s_nationkey || '/all', 'DELETE', 'drop_' || s_nationkey FROM supplier""")
+def described_operations(spark, sf):
+    """Operations of API descriptions: a nation's suppliers in YAML blocks, and what all have in JSON."""
+    s = read(spark, sf, "supplier")
+    block = F.concat(F.lit("  /n"), "s_nationkey", F.lit("/s"), "s_suppkey", F.lit("/{pk}/:\n    get:\n      tags: [a]\n      operationId: read_"), "s_suppkey", F.lit("\n    post:\n      responses: {}\n"))
+    yaml = s.select("s_nationkey", block.alias("block")).groupBy("s_nationkey").agg(F.concat(F.lit("openapi: 3.0.3\npaths:\n"), F.array_join(F.collect_list("block"), "")).alias("content")).select("content")
+    text = F.concat(F.lit('{"paths": {"/n'), "s_nationkey", F.lit('/all/": {"delete": {"operationId": "drop_'), "s_nationkey", F.lit('"}}}}'))
+    return openapi_operations(spark, yaml.unionByName(s.select(text.alias("content")).distinct()))

@@ -125,7 +125,7 @@ def review(spark: SparkSession, index: Index, diff: DataFrame, manifest: Manifes
         "clusters": [r.asDict() for r in clusters.orderBy(F.desc("files"), "title").limit(limit).collect()],
         "findings": [r.asDict() for r in found.orderBy("waived", "severity", "rule", "node_id").limit(limit).collect()],
         "untested": [r.asDict() for r in sinks.where("not covered").orderBy("type", "name").limit(limit).collect()],
-        "tests": [r["test"] for r in score.suggested_tests(sinks.where("not covered")).collect()],
+        "tests": [r.asDict() for r in score.suggested_tests(sinks.where("not covered")).collect()],
         "read_order": [r["path"] for r in order.where("not skip").orderBy("rank", "path").limit(limit).collect()],
         "reviewers": [r["owner"] for r in score.suggested_reviewers(impact, manifest.owners(spark)).orderBy("context", "owner").collect()],
         "residuals": [r["what"] for r in residuals.orderBy("what").limit(20).collect()],

@@ -347,3 +347,15 @@ def test_calls_of_apis_meet_by_hash_joins(spark):
     apis = spark.createDataFrame([("a", "/x", 0), ("b", "/c", 1)], "context string, path string, pos int")
     plan = rules.foreign_apis(g, apis)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+
+
+def test_sketches_by_kind_of_sink(spark):
+    rows = [(t, f"Name {t}") for t in (*score.SKETCHES, "django.permission")]
+    got = {r["type"]: r for r in score.suggested_tests(spark.createDataFrame(rows, "type string, name string"), 50).collect()}
+    assert {t: r["kind"] for t, r in got.items()} == {t: k for t, (k, _, _) in score.SKETCHES.items()} | {"django.permission": None}
+    flag = got["django.feature_flag"]
+    assert flag["title"] == "Both sides of the flag Name django.feature_flag" and "def test_name_django_feature_flag(client" in flag["body"] and "set_flag('Name django.feature_flag', on)" in flag["body"]
+    assert all("{ident}" not in (r["body"] or "") and "{name}" not in (r["body"] or "") for r in got.values())
+    for r in got.values():
+        if r["kind"] in ("pytest", "django", "graphql", "channels"):
+            compile(r["body"], "sketch", "exec")

@@ -163,7 +163,10 @@ def test_owners_openapi_and_manifest(spark):
     assert tree.parse_codeowners("# c\n* @all # x\n\n/a/ @b @c\nalone\n") == [("*", ["@all"]), ("/a/", ["@b", "@c"])]
     doc = json.dumps({"paths": {"/a/{pk}": {"get": {"operationId": "one"}, "parameters": {}}, "/b": {"post": {}}}})
     got = {tuple(r) for r in tree.openapi_operations(spark, spark.createDataFrame([(doc,)], "content string")).collect()}
-    assert got == {("/a/{pk}", "GET", "one"), ("/b", "POST", None)}
+    assert got == {("/a/{id}", "GET", "one"), ("/b", "POST", None)}
+    block = "openapi: 3.0.3\ninfo:\n  title: x\npaths:\n  /orders/{pk}/:\n    get:\n      operationId: orders_read\n      responses:\n        '200':\n          get: no\n    # a comment\n    parameters:\n    - name: pk\n    DELETE:\n      description: ''\n  '/quoted':\n      post:\n          operationId: \"make\"\ncomponents:\n  get:\n    operationId: never\n"
+    documents = spark.createDataFrame([(block,), (block.replace("\n", "\r\n"),), ("",), ("just text",)], "content string")
+    assert {tuple(r) for r in tree.openapi_operations(spark, documents).collect()} == {("/orders/{id}", "GET", "orders_read"), ("/orders/{id}", "DELETE", None), ("/quoted", "POST", "make")}
     m = tree.Manifest.parse(MANIFEST.write())
     other = tree.Manifest.parse(json.dumps({"contexts": [], "generated_clients": ["**/gen/*.ts"], "theme": {"dark": 1}}))
     assert other.generated_clients == ["**/gen/*.ts"] and json.loads(other.write())["theme"] == {"dark": 1} and ids(other.globs(spark), "pattern") == {"**/gen/*.ts"}
