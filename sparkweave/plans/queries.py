@@ -287,10 +287,10 @@ def change_clusters(spark, sf):
     return traverse.change_clusters(found.edges, seeds)
 
 
-@query(on_lens("SELECT cluster, count(*) AS seeds, count(DISTINCT file_path) AS files FROM (SELECT s.id, (SELECT min(id) FROM c WHERE c.root = s.id) AS cluster FROM seeds s) x JOIN nodes n ON n.id = x.id GROUP BY cluster", _CLUSTERS))
+@query(on_lens("SELECT cluster, min(n.name) AS title, count(*) AS seeds, count(DISTINCT file_path) AS files FROM (SELECT s.id, (SELECT min(id) FROM c WHERE c.root = s.id) AS cluster FROM seeds s) x JOIN nodes n ON n.id = x.id GROUP BY cluster", _CLUSTERS))
 def cluster_summary(spark, sf):
     found, seeds = impact(spark, sf)
-    return score.title_of(traverse.change_clusters(found.edges, seeds), seeds).select("cluster", "seeds", "files")
+    return score.title_of(traverse.change_clusters(found.edges, seeds), seeds).select("cluster", "title", "seeds", "files")
 
 
 # --- rules --------------------------------------------------------------------------------------------
