@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkweave.functions.paths import MAX_SOURCE_BYTES, SOURCE_SUFFIXES, app_of, file_name, in_skipped_dir, is_lockfile, is_minified, language, suffix, template_name
-from sparkweave.operators.graph import Graph, last_wins, make_edges, merge_nodes
+from sparkweave.operators.graph import Graph, last_wins, linked, make_edges, merge_nodes
+from sparkweave.operators.scratch import Scratch
 from sparkweave.operators.stitch import contexts_by_prefix
 from sparkweave.schema import edge_id
 from sparkweave.sources import frontend_source, python_source
@@ -43,9 +44,15 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, schema, strict=True)], schema=schema)
 
 
+def _dealt(files: DataFrame) -> DataFrame:
+    """Files dealt among tasks: parsing costs far more than reading, and a few read splits can hold very many files."""
+    spark = files.sparkSession
+    return files.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), "path")
+
+
 def extract_sources(files: DataFrame) -> DataFrame:
     """Raw rows of Python, TypeScript and JavaScript files (path, content as text)."""
-    return files.where(F.col("path").rlike(r"(?i)\.(py|tsx?|jsx?)$")).select("path", "content").mapInArrow(_rows, RAW)
+    return _dealt(files.where(F.col("path").rlike(r"(?i)\.(py|tsx?|jsx?)$")).select("path", "content")).mapInArrow(_rows, RAW)
 
 
 def extract_templates(files: DataFrame) -> DataFrame:
@@ -88,9 +95,15 @@ def extract(files: DataFrame) -> DataFrame:
 
 
 def to_graph(raw: DataFrame, contexts: DataFrame | None = None, ui_paths: DataFrame | None = None) -> tuple[Graph, DataFrame]:
-    """Graph and residuals of raw rows; edges without both ends go."""
+    """Graph and residuals of raw rows; edges without both ends go.
+
+    The rows are written out first: several branches read them, each of which would parse all files again.
+    """
+    raw = Scratch(raw.sparkSession).cut(raw)
     nodes, edges, residuals = folded(raw, contexts, ui_paths)
-    return Graph(nodes, edges).pruned(), residuals
+    # the ids that nodes merge under, without merging them
+    ids = raw.where("kind = 'node'").select("id").distinct()
+    return Graph(nodes, linked(edges, ids)), residuals
 
 
 def folded(raw: DataFrame, contexts: DataFrame | None = None, ui_paths: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -133,7 +146,7 @@ def functions_table(files: DataFrame) -> DataFrame:
             names = [x.split()[0] for x in FUNCTIONS.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string() if i < 2 else pa.int32()) for i in range(5)], names)
 
-    return files.where(F.col("path").endswith(".py")).select("path", "content").mapInArrow(run, FUNCTIONS)
+    return _dealt(files.where(F.col("path").endswith(".py")).select("path", "content")).mapInArrow(run, FUNCTIONS)
 
 
 def apps_of(files: DataFrame) -> DataFrame:

@@ -229,3 +229,20 @@ def test_store(spark, tmp_path):
     assert history.list_reviews(s.reviews()).columns[:1] == ["id"] and "payload" not in history.list_reviews(s.reviews()).columns
     files = spark.createDataFrame([("a", "1"), ("b", "2")], "path string, hash string")
     assert store.fingerprint(files) == store.fingerprint(files.orderBy("path", ascending=False)) != store.fingerprint(files.where("path = 'a'"))
+
+
+def test_files_are_parsed_once(spark):
+    files = spark.createDataFrame([("src/a/models.py", "class A(models.Model):\n    x = models.IntegerField()\n")], "path string, content string")
+    g, _ = extraction.to_graph(extraction.extract(files))
+    for df in (g.nodes, g.edges):
+        assert "MapInArrow" not in df._jdf.queryExecution().toString()  # read back, not parsed by each branch
+    assert {r.id for r in g.nodes.collect()} >= {"django.model:a.A", "django.field:a.A.x"}
+    assert {r.type for r in g.edges.collect()} == {"belongs_to", "has_field"}
+
+
+def test_one_split_of_files_is_parsed_by_many_tasks(spark):
+    files = spark.range(0, 200, 1, 1).selectExpr("concat('src/a/f', id, '.py') as path", "'def f():\\n    pass\\n' as content")
+    assert files.rdd.getNumPartitions() == 1
+    for df in (extraction.extract_sources(files), extraction.functions_table(files)):
+        assert df.rdd.getNumPartitions() > 1
+    assert extraction.functions_table(files).count() == 200
