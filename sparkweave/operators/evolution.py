@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+LINES_A_BIN = 64
+
 
 def hotspots(commits: DataFrame) -> DataFrame:
     """file, commits, authors of every file."""
@@ -81,8 +83,19 @@ def changed_lines(patches: DataFrame) -> DataFrame:
 
 
 def touched_functions(functions: DataFrame, lines: DataFrame) -> DataFrame:
-    """Functions (path, name, start, end, complexity) that hold a changed line: a range join within a file."""
-    return functions.join(lines, (functions["path"] == lines["path"]) & lines["line"].between(functions["start"], functions["end"]), "left_semi")
+    """Functions (path, name, start, end, complexity) that hold a changed line.
+
+    Lines count once, however many patches name them, and meet the functions' stretches of ``LINES_A_BIN`` lines under
+    equal keys, so that a file with very many lines is dealt among tasks.
+    """
+    def bin_of(c: str) -> Column:
+        return F.floor(F.col(c) / LINES_A_BIN)
+
+    at = lines.select("path", "line").distinct().withColumn("bin", bin_of("line"))
+    spans = functions.where(F.col("start") <= F.col("end")).select("path", "start", "end").distinct()
+    spans = spans.withColumn("bin", F.explode(F.sequence(bin_of("start"), bin_of("end"))))
+    held = (spans["path"] == at["path"]) & (spans["bin"] == at["bin"]) & at["line"].between(spans["start"], spans["end"])
+    return functions.join(spans.join(at, held, "left_semi").select("path", "start", "end").distinct(), ["path", "start", "end"], "left_semi").select(functions.columns)
 
 
 def patch_identifiers(patches: DataFrame) -> DataFrame:

@@ -359,3 +359,13 @@ def test_sketches_by_kind_of_sink(spark):
     for r in got.values():
         if r["kind"] in ("pytest", "django", "graphql", "channels"):
             compile(r["body"], "sketch", "exec")
+
+
+def test_touched_functions_by_stretches_of_lines(spark):
+    functions = spark.createDataFrame([("a", "far", 10, 1000, 1), ("a", "far", 10, 1000, 1), ("a", "none", 1001, 1002, 1), ("a", "turned", 9, 3, 1), ("b", "edge", 63, 64, 1), (None, "x", 1, 9, 1)], "path string, name string, start int, end int, complexity int")
+    # very many patches that name the same lines: each line meets the functions once, and only those near it
+    lines = spark.range(20_000).select(F.expr("if(id % 2 = 0, 'a', 'b')").alias("path"), F.expr("cast(if(id % 2 = 0, 500 + id % 3, 64) as int)").alias("line"))
+    got = evolution.touched_functions(functions, lines.unionByName(spark.createDataFrame([("a", None), ("a", 5), (None, 5)], "path string, line int")))
+    assert sorted(r["name"] for r in got.collect()) == ["edge", "far", "far"] and got.columns == functions.columns
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "bin" in plan and plan.count("Aggregate") >= 2
