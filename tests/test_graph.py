@@ -369,3 +369,19 @@ def test_touched_functions_by_stretches_of_lines(spark):
     assert sorted(r["name"] for r in got.collect()) == ["edge", "far", "far"] and got.columns == functions.columns
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "bin" in plan and plan.count("Aggregate") >= 2
+
+
+def test_rules_over_numbers_judge_by_labels(spark):
+    # 1: dropped model, 2: its user, 3: route, 4 and 5: views, of which the last by label is tested, 6: the migration
+    rows = [(1, "django.model:a.invoice", "django.model", "invoice", "a.invoice", None), (2, "django.view:a.V", "django.view", "V", "a.V", None), (3, "django.route:r", "django.route", "r", "r", None), (4, "django.view:z", "django.view", "z", "z", None), (5, "django.view:b", "django.view", "b", "b", None), (6, "django.migration_op:m", "django.migration_op", "m", "m", '{"op": "DeleteModel", "app": "a", "model_name": "Invoice"}')]
+    nodes = spark.createDataFrame(rows, "id long, label string, type string, name string, qualified_name string, extra string").selectExpr("*", "'f' AS file_path", "string(null) AS context")
+    edges = spark.createDataFrame([(2, 1, "queries_model"), (3, 4, "publishes_route"), (3, 5, "publishes_route"), (4, 9, "tested_by")], "src long, dst long, type string")
+    g = graph.Graph(nodes, edges)
+    assert [tuple(r) for r in rules.blast_radius(g).select("node_id", "subject").collect()] == [(6, "django.model:a.invoice,django.view:a.V")]
+    assert [tuple(r) for r in rules.bypassed_interfaces(g).select("node_id", "subject").collect()] == [(3, "z")]
+
+
+def test_whole_sets_are_compared_as_their_fields(spark):
+    server = spark.createDataFrame([("s1", f) for f in "abcd"] + [("s2", f) for f in "xy"], "key string, field string")
+    held = spark.createDataFrame([("f", ["a", "b", None, "c", "a"]), ("g", ["q"]), ("h", [])], "key string, fields array<string>")
+    assert [tuple(r) for r in stitch.schema_similarity(server, held).collect()] == [("s1", "f", 3, 4)]
