@@ -219,3 +219,34 @@ def test_probabilities_add_up_to_one(spark, corpus):
 def test_packing_of_numbers():
     for a in ([], [0], [255], [256, 1], [1 << 40], [(1 << 64) - 1]):
         assert py.unpack(py.pack(np.array(a, np.uint64))).tolist() == a
+
+
+def counted(c, discount):
+    """Logarithms of the ways to seat c customers at 1 to c tables."""
+    return dict(py.seatings(c, discount))[c]
+
+
+def test_ways_to_seat_customers():
+    # 4 customers: one table; 1 + 3 or 2 + 2; 1 + 1 + 2; each alone
+    d = 0.3
+    want = [(1 - d) * (2 - d) * (3 - d), 4 * (1 - d) * (2 - d) + 3 * (1 - d) ** 2, 6 * (1 - d), 1]
+    assert np.allclose(np.exp(counted(4, d)), want)
+    for d in (0.1, 0.5, 0.95):
+        t = np.arange(1, 1101)
+        factorials = np.cumsum(np.log(t))
+        assert np.allclose(py.log_parts(1100, t, d), counted(1100, d) + factorials + t * math.log(d) - factorials[-1], atol=1e-6, rtol=0)
+
+
+@pytest.mark.parametrize("customers", [40, 300, 1500])
+def test_a_step_seats_all_customers(customers):
+    """The numbers of tables are as likely as the ways to have them, however many customers a pair has."""
+    n, weight, d = 3000, 4.0, 0.6
+    t = np.arange(1, customers + 1)
+    logs = counted(customers, d) + t * math.log(weight)
+    chance = np.exp(logs - logs.max())
+    chance /= chance.sum()
+    mean = (chance * t).sum()
+    spread = (chance * (t - mean) ** 2).sum()
+    _, _, last = py.sample_tables(np.full(n, customers), np.arange(n), n, np.full(n, weight), 1.0, d, py.Plan(), 5, np.ones(n))
+    assert abs(last.mean() - mean) < 5 * (spread / n) ** 0.5
+    assert 0.85 < last.var() / spread < 1.15
