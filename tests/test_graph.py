@@ -385,3 +385,15 @@ def test_whole_sets_are_compared_as_their_fields(spark):
     server = spark.createDataFrame([("s1", f) for f in "abcd"] + [("s2", f) for f in "xy"], "key string, field string")
     held = spark.createDataFrame([("f", ["a", "b", None, "c", "a"]), ("g", ["q"]), ("h", [])], "key string, fields array<string>")
     assert [tuple(r) for r in stitch.schema_similarity(server, held).collect()] == [("s1", "f", 3, 4)]
+
+
+def test_uses_of_a_name_stay_one_row_each(spark):
+    """However many fields of an app have the name that a loop touches, none is met one by one."""
+    n = 40
+    nodes = [(f"f{i}", "django.field", "base", f"a.M{i}.base", None, '{"app":"a","field_type":"%s"}' % ("ForeignKey" if i == 3 else "CharField")) for i in range(n)]
+    nodes += [(f"v{i}", "django.view", f"v{i}", f"a.v{i}", "a.py", '{"app":"a","nplusone":[{"line":1,"loop_var":"x","accessed":["base"]}],"lookups":[{"kind":"filter","fields":["base"],"line":2}]}') for i in range(n)]
+    g = graph.Graph(spark.createDataFrame(nodes, "id string, type string, name string, qualified_name string, file_path string, extra string"), None)
+    assert finding_ids(rules.nplusone(g)) == {(f"v{i}", "base") for i in range(n)}
+    assert finding_ids(rules.missing_index(g)) == {(f"v{i}", "base a.M0.base") for i in range(n)}
+    uses = g.of_types("django.view").select(F.col("id").alias("node_id"), F.lit("a").alias("app"), F.lit("base").alias("field"))
+    assert rules._scoped(uses, rules._fields(g)).count() == n
