@@ -397,3 +397,13 @@ def test_uses_of_a_name_stay_one_row_each(spark):
     assert finding_ids(rules.missing_index(g)) == {(f"v{i}", "base a.M0.base") for i in range(n)}
     uses = g.of_types("django.view").select(F.col("id").alias("node_id"), F.lit("a").alias("app"), F.lit("base").alias("field"))
     assert rules._scoped(uses, rules._fields(g)).count() == n
+
+
+def test_similar_sets_are_compared_without_being_carried_on(spark):
+    """Equal sets once; of lefts that are as similar the first."""
+    server = spark.createDataFrame([("s2", x) for x in "abcd"] + [("s1", x) for x in "abcd"] + [("s3", x) for x in "abxy"], "key string, field string")
+    client = spark.createDataFrame([("g", list("abc")), ("f", list("abc")), ("h", list("xy")), ("i", list("q")), ("j", [None, "a", "b", "x", "y", "y"])], "key string, fields array<string>")
+    got = stitch.schema_similarity(server, client, 0.4)
+    assert sorted(map(tuple, got.collect())) == [("s1", "f", 3, 4), ("s1", "g", 3, 4), ("s3", "h", 2, 4), ("s3", "j", 4, 4)]
+    # candidates name sets by the first right that has them
+    assert "first" in got._jdf.queryExecution().optimizedPlan().toString()
