@@ -399,6 +399,17 @@ def test_uses_of_a_name_stay_one_row_each(spark):
     assert rules._scoped(uses, rules._fields(g)).count() == n
 
 
+def test_serializers_with_equal_fields_give_a_finding_each(spark):
+    nodes = [(f"s{i}", "django.serializer", f"S{i}") for i in range(3)] + [("f", "react.form_schema", "f")]
+    nodes += [(f"s{i}.{x}", "django.serializer_field", f"S{i}.{x}") for i in range(3) for x in ("a", "b")[: 2 - i // 2]]
+    rows = spark.createDataFrame([(i, t, q.rsplit(".", 1)[-1], q, None, None, '{"fields":["a","b","gone"]}' if i == "f" else None) for i, t, q in nodes], "id string, type string, name string, qualified_name string, file_path string, context string, extra string")
+    edges = graph.make_edges(spark.createDataFrame([(f"s{i}", "f", "matches_schema") for i in range(3)], "src string, dst string, type string"))
+    found = rules.contract_drift(graph.Graph(rows, edges))
+    assert sorted(r.subject for r in found.collect()) == ["b,gone", "gone", "gone"]
+    # the form meets each set of fields once, not each serializer
+    assert "first" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_similar_sets_are_compared_without_being_carried_on(spark):
     """Equal sets once; of lefts that are as similar the first."""
     server = spark.createDataFrame([("s2", x) for x in "abcd"] + [("s1", x) for x in "abcd"] + [("s3", x) for x in "abxy"], "key string, field string")
